@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, repair, substring
+from . import packing, pieces, repair, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op2_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_file, op2_difference_cover_dedup, op6_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_repair_token_file, op2_difference_cover_dedup, op3_longest_match_counts, op6_sum_of_squares_packing)}
 ORACLE: dict[str, str] = {}

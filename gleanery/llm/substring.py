@@ -34,12 +34,6 @@ def cover(window: int) -> tuple[int, tuple[int, ...]]:
     return (max(fit), COVERS[max(fit)]) if fit else (1, (0,))
 
 
-def _starts(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document of each word, and its position in the document."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return doc, np.arange(n) - offsets[doc]
-
-
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, text, marks: each document (doc: doc_id, null as NO_ID) with the starts of its windows that occur before."""
     period, residues = cover(window)
