@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, repair, substring
+from . import jaccard, packing, pieces, repair, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,19 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_file, op2_difference_cover_dedup, op3_longest_match_counts, op6_sum_of_squares_packing)}
+def op8_count_vector_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "copy_of", "n_links")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repair_token_file,
+        op2_difference_cover_dedup,
+        op3_longest_match_counts,
+        op6_sum_of_squares_packing,
+        op8_count_vector_rtree_join,
+    )
+}
+#: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
