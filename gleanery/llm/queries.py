@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, pieces, repair, substring
+from . import contamination, jaccard, packing, pieces, quality, repair, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
 
@@ -35,15 +40,54 @@ def op8_count_vector_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "copy_of", "n_links")
 
 
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_token_file,
         op2_difference_cover_dedup,
         op3_longest_match_counts,
+        op4_robust_outlier_rules,
         op6_sum_of_squares_packing,
         op8_count_vector_rtree_join,
+        op9_minhash_containment,
     )
 }
+#: Words w of each document, and (folded) of each document or item.
+_WORDS = "select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents"
+_FOLDED = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)"
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_difference_cover_dedup": f"""
+        with d as ({_WORDS}),
+        win as (select doc_id, unnest(range(1, len(w) - 18)) s, w from d where len(w) >= 20),
+        seq as (select doc_id, s, array_to_string(w[s : s + 19], ' ') t from win),
+        late as (select doc_id, s from (select doc_id, s, row_number() over (partition by t order by doc_id, s) r from seq) where r > 1),
+        gone as (select distinct doc_id, p from (select doc_id, unnest(range(s, s + 20)) p from late)),
+        cut as (select doc_id, list(p) gone from gone group by 1),
+        kept as (select d.doc_id, len(w) n, list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(coalesce(gone, []), i) then null else w[i] end), lambda x: x is not null) k from d left join cut using (doc_id))
+        select doc_id, n::bigint n_words, (n - len(k))::bigint n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept""",
+    "op8_count_vector_rtree_join": f"""
+        with recursive d as (select doc_id, {_SHINGLES} s from (select doc_id, {_FOLDED} w from documents)),
+        reps as (select min(doc_id) rep, list_sort(s) ss, len(any_value(s)) n from d where len(s) > 0 group by list_sort(s)),
+        own as (select rep, n, unnest(ss) x from reps),
+        pairs as (select a.rep a, b.rep b from own a join own b on a.x = b.x and a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        edges as (select a u, b v from pairs union all select b, a from pairs),
+        reach(node, other) as (select rep, rep from reps union select node, v from reach join edges on other = u),
+        comp as (select node, min(other) c from reach group by 1),
+        deg as (select u, count(*) k from edges group by 1)
+        select doc_id, len(s)::bigint n_shingles, coalesce(c, doc_id)::bigint component_id, coalesce(rep, doc_id)::bigint copy_of, coalesce(k, 0)::bigint n_links
+        from d left join reps on list_sort(s) = ss left join comp on node = rep left join deg on u = rep""",
+    "op9_minhash_containment": f"""
+        with i as (select item_id, {_SHINGLES} s from (select item_id, {_FOLDED} w from benchmark)),
+        d as (select doc_id, {_SHINGLES} s from (select doc_id, {_FOLDED} w from documents)),
+        ix as (select item_id, len(s) n, unnest(s) x from i),
+        dx as (select doc_id, unnest(s) x from d)
+        select doc_id, item_id, n::bigint n_item_shingles, count(*)::bigint n_shared from ix join dx using (x)
+        group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+}
