@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkit as tk
 
 #: Bytes of text of which a task compares the keys before it sends them.
 SLICE = 8 << 20
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("marks", pa.binary())])
+_ANSWER = pa.schema([("owner", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary())])
 _MARKS = pa.schema([("doc", pa.int64()), ("marks", pa.binary())])
 #: keys, further key bits, document, mark of each entry
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -41,11 +41,17 @@ def _verdict(keys, more, docs, marks, later: bool) -> tuple[np.ndarray, np.ndarr
     return order, (d != d[lead]) | (p != p[lead])
 
 
-def _by_doc(docs: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+def _read(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+
+
+def _by_doc(table: pa.Table) -> pa.Table:
+    """All marks of each document of a bucket."""
+    docs, marks = _read(table, "docs", "<i8"), _read(table, "marks", "<i4")
     order = np.lexsort((marks, docs))
     docs, marks = docs[order], marks[order]
     at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(docs[at]), tk.blobs(marks.astype("<i4"), np.append(at, len(docs)))], schema=_MARKS)
+    return pa.table([pa.array(docs[at]), tk.blobs(marks.astype("<i4"), np.append(at, len(docs)))], schema=_MARKS)
 
 
 def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], later: bool = False, buckets: int | None = None) -> DataFrame:
@@ -53,7 +59,7 @@ def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], later:
 
     docs: the columns that ``entries`` wants, ``text`` among them.  ``later``
     marks an entry only if the same key occurs at a smaller (document, mark).
-    A document is answered in several rows.
+    A document without marks has no row.
     """
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,7 +74,7 @@ def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], later:
             settled = order[hit]
             rows = []
             if len(settled):
-                rows.append((int(ids[settled[0]] % n), True, b"", b"", ids[settled].astype("<i8").tobytes(), marks[settled].astype("<i4").tobytes()))
+                rows.append((int(keys[settled[0]] % np.uint64(n)), True, b"", b"", ids[settled].astype("<i8").tobytes(), marks[settled].astype("<i4").tobytes()))
             out = order[first]
             out.sort()  # documents in order compress better
             bucket = (keys[out] % np.uint64(n)).astype(np.int64)
@@ -81,32 +87,30 @@ def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], later:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT.types)], schema=_SENT)
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda name, kind, rows: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
         done = table.filter(table.column("settled"))
         rest = table.filter(pa.compute.invert(table.column("settled")))
-        keys, ids, marks = read("keys", "<u8", rest), read("docs", "<i8", rest), read("marks", "<i4", rest)
+        keys, ids, marks = _read(rest, "keys", "<u8"), _read(rest, "docs", "<i8"), _read(rest, "marks", "<i4")
         more = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") if x else np.zeros(len(k) // 8, "<u4") for x, k in zip(rest.column("more").to_pylist(), rest.column("keys").to_pylist()))])
         order, hit = _verdict(keys, more, ids, marks, later)
         found = order[hit]
-        return pa.Table.from_batches([_by_doc(np.concatenate([ids[found], read("docs", "<i8", done)]), np.concatenate([marks[found], read("marks", "<i4", done)]))])
+        ids, marks = np.concatenate([ids[found], _read(done, "docs", "<i8")]), np.concatenate([marks[found], _read(done, "marks", "<i4")])
+        owner = ids % n
+        order = np.lexsort((ids, owner))
+        ids, marks, owner = ids[order], marks[order], owner[order]
+        at = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+        return pa.table([pa.array(owner[at[:-1]].astype(np.int32)), tk.blobs(ids.astype("<i8"), at), tk.blobs(marks.astype("<i4"), at)], schema=_ANSWER)
 
     sent = docs.mapInArrow(send, "bucket int, settled boolean, keys binary, more binary, docs binary, marks binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "doc long, marks binary")
+    answers = sent.groupBy("bucket").applyInArrow(meet, "owner int, docs binary, marks binary")
+    return answers.groupBy("owner").applyInArrow(_by_doc, "doc long, marks binary")
 
 
 def joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs (with a ``doc`` column) and an array of all marks of each."""
-    own = marks.groupBy("doc").agg(F.collect_list("marks").alias("marks"))
-    return docs.join(own.hint("shuffle_hash"), "doc", how)
+    """docs (with a ``doc`` column) and the marks of each."""
+    return docs.join(marks.hint("shuffle_hash"), "doc", how)
 
 
 def positions(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of an array<binary> column: the row of each and the mark."""
-    rows, found = [], []
-    for i, parts in enumerate(column.to_pylist()):
-        for x in parts or ():
-            found.append(np.frombuffer(x, "<i4"))
-            rows.append(np.full(len(found[-1]), i))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(found).astype(np.int64)
+    """Marks of a column: the row of each and the mark."""
+    parts = [np.frombuffer(x or b"", "<i4") for x in column.to_pylist()]
+    return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate([np.zeros(0, "<i4"), *parts]).astype(np.int64)

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, most: int = SEQUENCE, cu
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(tokenizer, cut_at)
         held: list[tuple] = []
-        for part in tk.slices(batches):
+        for part in tk.slices(batches, limit=tokens.SLICE):
             ids, at = coder.encode(part.column("text"), end)
             doc, start, length = cut(np.diff(at), most)
             edges = at[doc] + start

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, packing, pieces, quality, repair, substring
+from . import contamination, ftrl, jaccard, languages, neighbours, packing, pieces, quality, repair, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,18 @@ def op4_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
 
 
+def op7_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_mixtures(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op8_count_vector_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "copy_of", "n_links")
 
@@ -44,6 +52,11 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.get("evidence", F.lit(0))["doc_id"].alias("nearest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -51,9 +64,12 @@ QUERIES = {
         op2_difference_cover_dedup,
         op3_longest_match_counts,
         op4_robust_outlier_rules,
+        op5_ftrl_quality,
         op6_sum_of_squares_packing,
+        op7_language_mixtures,
         op8_count_vector_rtree_join,
         op9_minhash_containment,
+        op10_block_max_neighbours,
     )
 }
 #: Words w of each document, and (folded) of each document or item.

@@ -22,10 +22,11 @@ from . import tokens
 
 #: Ids of a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: A pair that occurs less often in its shard isn't replaced.
 MIN_COUNT = 8
 #: Rounds end when one shortens the sequence by less than this share.
-MIN_GAIN = 0.04
+MIN_GAIN = 0.05
 FILE = "part int, shard int, part_start long, n_ids long, terminals int, doc_ids binary, doc_ends binary, left binary, right binary, expand binary, body binary"
 
 
@@ -34,29 +35,39 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
     body = np.asarray(ids, np.uint64)
     terminals = int(body.max()) + 1 if len(body) else 0
     left, right, symbols = [], [], terminals
+    bits = max(10, min(22, int(len(body)).bit_length()))
     while len(body) > min_count:
         pairs = (body[:-1] << np.uint64(32)) | body[1:]
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= min_count)[slot])
-        names, name, counts = np.unique(pairs[often], return_inverse=True, return_counts=True)
-        # a symbol is the left end of one pair and the right end of one, its most frequent: few matches overlap
-        good = counts >= min_count
-        for ends in (names >> np.uint64(32), names & np.uint64(0xFFFFFFFF)):
-            best = np.lexsort((names, -counts, ends))
-            lead = np.concatenate([[True], ends[best][1:] != ends[best][:-1]]) if len(best) else np.zeros(0, bool)
-            share = counts >= counts[best][lead][np.cumsum(lead)[np.argsort(best)] - 1] / 8 if len(best) else lead
-            good &= share
-        hit = often[good[name]]
+        # pairs meet in slots; where two share a slot, the other waits for another round's hash
+        slot = ((pairs * _ODD[len(left) % len(_ODD)]) >> np.uint64(64 - bits)).astype(np.int32)
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= min_count)[slot])
+        own, named = slot[often], pairs[often]
+        names = np.zeros(1 << bits, np.uint64)
+        names[own[::-1]] = named[::-1]  # the first in the sequence
+        is_it = names[own] == named
+        often, own = often[is_it], own[is_it]
+        counts = np.bincount(own, minlength=1 << bits)
+        # a pair waits if another with the same first or second symbol is eight times as frequent
+        some = np.flatnonzero(counts >= min_count)
+        good = np.zeros(1 << bits, bool)
+        good[some] = True
+        for ends in (names[some] >> np.uint64(32), names[some] & np.uint64(0xFFFFFFFF)):
+            ends = ends.astype(np.int64)
+            most = np.zeros(int(ends.max(initial=0)) + 1, np.int64)
+            np.maximum.at(most, ends, counts[some])
+            good[some] &= counts[some] * 8 >= most[ends]
+        chosen = good[own]
+        hit, own = often[chosen], own[chosen]
         if not len(hit):
             break
         # of a run of overlapping matches every second is replaced
         starts = np.concatenate([[True], np.diff(hit) > 1])
         run = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
         take = (np.arange(len(hit)) - run) % 2 == 0
-        at, which = hit[take], name[good[name]][take]
-        counts = np.bincount(which, minlength=len(names))
-        kept = counts >= min_count
-        at, which = at[kept[which]], which[kept[which]]
+        at, which = hit[take], own[take]
+        kept = np.bincount(which, minlength=1 << bits) >= min_count
+        ok = kept[which]
+        at, which = at[ok], which[ok]
         if not len(at) or len(at) < min_gain * len(body):
             break
         number = np.cumsum(kept) - 1 + symbols
@@ -155,7 +166,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, cut_at: str
             held.clear()
             return out
 
-        for rows in tk.slices(batches):
+        for rows in tk.slices(batches, limit=tokens.SLICE):
             ids, at = coder.encode(rows.column("text"), end)
             doc_ids = rows.column("doc_id").fill_null(none).to_numpy(zero_copy_only=False)
             lengths, i = np.diff(at), 0

@@ -120,8 +120,9 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenation of the runs [start, start + length)."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return np.arange(total) + shift
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(total)
+    return out
 
 
 def int_lists(flat: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -8,6 +8,7 @@ isn't safe the whole text goes through the library.
 from __future__ import annotations
 
 import re
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ import pyarrow.compute as pc
 
 from . import textkit as tk
 
-#: Distinct pieces that a worker remembers; a full memory is emptied.
-REMEMBER = 1_000_000
+#: Distinct pieces that a worker remembers; once it is full, new ones are encoded for their slice alone.
+REMEMBER = 1_200_000
+#: Bytes of text encoded at once.
+SLICE = 8 << 20
 #: Letters and signs that both pre-tokenizers always part: no digits, apostrophes or marks; signs of ASCII only.
 ATOMS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)?)?")
 _READY: dict[tuple[str, str], "Encoder"] = {}
@@ -38,11 +41,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.atoms: dict[str, int] = {}
+        self.late: list[str] = []  # atoms of the last pieces learnt
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.runs = np.zeros((1 << 15, 2), np.int64)  # start and length in ids, of atoms and pieces
         self.n_runs = 0
@@ -62,31 +63,44 @@ class Encoder:
         self.used, self.n_runs = self.used + len(ids), to
         return slot
 
+    def _drop(self, new: list[bytes], held: tuple[int, int]) -> None:
+        """Forget pieces that came after ``held``."""
+        for x in new:
+            del self.known[x]
+        self.used, self.n_runs = held
+        for x in self.late:
+            del self.atoms[x]
+
     def _learn(self, new: list[bytes]) -> None:
         """Encode pieces that aren't known; their letters and signs, which the pre-tokenizer parts, once for all."""
-        fold = self.cut == "words"
-        split, texts = [], [x.decode() for x in new]
-        for x in texts:
-            m = ATOMS.fullmatch(x)
-            parts = [y for y in m.groups() if y] if m else [x]
-            split.append([y.lower() for y in parts] if fold and x.isascii() else parts)
-        fresh = [x for x in dict.fromkeys(y for parts in split for y in parts) if x not in self.atoms]
+        split, fold = [], self.cut == "words"
+        match = ATOMS.fullmatch
+        for x in new:
+            x = x.decode()
+            if fold and x.isascii():
+                x = x.lower()
+            split.append([y for y in m.groups() if y] if (m := match(x)) else [x])
+        atoms = [y for parts in split for y in parts]
+        fresh = list(set(atoms).difference(self.atoms))
+        fresh.sort()
+        self.late = fresh
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             slot = self._hold(np.array(got.ids, np.int32), sizes)
             self.atoms.update(zip(part, range(slot, slot + len(part))))
-        n = np.array([len(parts) for parts in split])
-        slots = np.array([self.atoms[y] for parts in split for y in parts], np.int64)
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        slots = np.fromiter(map(self.atoms.__getitem__, atoms), np.int64, len(atoms))
         first = np.cumsum(n) - n
-        self.known.update((x, int(slots[f])) for x, f, k in zip(new, first, n) if k == 1)
+        own = n == 1
+        self.known.update(zip(compress(new, own.tolist()), slots[first[own]].tolist()))
         many = np.flatnonzero(n > 1)
-        own = slots[tk.gather(first[many], n[many])]
-        ids = self.ids[tk.gather(self.runs[own, 0], self.runs[own, 1])]
-        ends = np.concatenate([[0], np.cumsum(self.runs[own, 1])])[np.concatenate([[0], np.cumsum(n[many])])]
+        part = slots[tk.gather(first[many], n[many])]
+        ids = self.ids[tk.gather(self.runs[part, 0], self.runs[part, 1])]
+        ends = np.concatenate([[0], np.cumsum(self.runs[part, 1])])[np.concatenate([[0], np.cumsum(n[many])])]
         slot = self._hold(ids, np.diff(ends))
-        self.known.update(zip((new[i] for i in many), range(slot, slot + len(many))))
+        self.known.update(zip(compress(new, (~own).tolist()), range(slot, slot + len(many))))
 
     def _pieces(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         if self.cut == "words":
@@ -110,15 +124,16 @@ class Encoder:
             if odd.any():
                 text = pc.if_else(pa.array(odd), "", text)
         codes, offsets, vocab = self._pieces(text)
-        if len(self.known) > REMEMBER:
-            self.forget()
-        used = np.flatnonzero(np.bincount(codes, minlength=len(vocab))) if len(codes) else np.zeros(0, np.int64)
-        used = used[[bool(vocab[i]) for i in used]] if len(used) else used
-        get = self.known.get
-        if new := [vocab[i] for i in used if vocab[i] not in self.known]:
+        full, held = len(self.known) > REMEMBER, (self.used, self.n_runs)
+        used = np.bincount(codes, minlength=len(vocab)) > 0
+        used &= np.fromiter(map(len, vocab), np.int64, len(vocab)) > 0
+        wanted = list(compress(vocab, used.tolist()))
+        new = [x for x in wanted if x not in self.known]
+        self.late = []
+        if new:
             self._learn(new)
         slot = np.zeros(len(vocab), np.int64)
-        slot[used] = [get(vocab[i]) for i in used]
+        slot[used] = np.fromiter(map(self.known.__getitem__, wanted), np.int64, len(wanted))
         sizes = np.zeros(len(vocab), np.int64)
         sizes[used] = self.runs[slot[used], 1]
         per = sizes[codes]
@@ -129,6 +144,8 @@ class Encoder:
         body[ends[1:] + np.arange(n)] = False
         out[body] = self.ids[tk.gather(self.runs[slot, 0][codes], per)]
         at = ends + np.arange(n + 1)
+        if full:
+            self._drop(new, held)
         if odd.any():
             rows = np.split(out, at[1:-1])
             for i in np.flatnonzero(odd):

@@ -22,6 +22,16 @@ def test_cached_pieces_give_the_ids_of_whole_texts(name, cut):
         assert np.array_equal(at, where) and np.array_equal(ids, want)
 
 
+@pytest.mark.parametrize("name,cut", FILES)
+def test_a_full_memory_changes_nothing(name, cut, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", 6)
+    coder = tokens.Encoder(public_tokenizers.path(name), cut)
+    for texts in (TEXTS[:4], TEXTS, TEXTS[::-1], TEXTS):
+        ids, at = coder.encode(pa.array(texts), 2)
+        want, where = coder.encode_whole(pa.array(texts), 2)
+        assert np.array_equal(at, where) and np.array_equal(ids, want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
