@@ -77,6 +77,19 @@ def points(flat: np.ndarray, at: np.ndarray, groups: int) -> tuple[np.ndarray, n
     return (-(-counts // scale[:, None])).astype(np.uint8), scale
 
 
+def finer(one: np.ndarray) -> np.ndarray:
+    """Counts of one set over about a quarter as many groups, a power of two, as bytes; 255 stands for any more."""
+    groups = 1 << max(5, (len(one) // 4).bit_length())
+    return np.minimum(np.bincount((one & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def finer_bound(a: np.ndarray, b: np.ndarray, n: int) -> int:
+    """Most that the sets of two ``finer`` points, of n shingles at most, overlap in; the longer is folded."""
+    short = min(len(a), len(b))
+    a, b = (np.where(x == 255, n, x.astype(np.int64)).reshape(-1, short).sum(0) for x in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def needed(a, b, percent: int):
     """Least overlap of linked sets of sizes a and b."""
     return (percent * (a + b) + 99 + percent) // (100 + percent)
@@ -155,15 +168,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, g
         ids = part.column("doc").to_numpy()
         return flat[take], np.zeros(len(take), np.uint32), ids[doc], (take - at[doc]).astype(np.int32)
 
-    features = written(keys.joined(own, keys.marked(own, entries), "inner").mapInArrow(lambda b: _features(b, k, groups), "doc long, n long, scale int, point binary, shingles binary, keys array<long>"), "features")
+    features = written(keys.joined(own, keys.marked(own, entries), "inner").mapInArrow(lambda b: _features(b, k, groups), "doc long, n long, scale int, point binary, fine binary, keys array<long>"), "features")
     cells = features.select("doc", "n", "scale", "point", F.explode("keys").alias("key"))
     first = written(_meet(cells, percent, groups, None), "candidates")
-    links = written(_verified(first, features, percent), "verified")
+    links = written(_verified(_bounded(first, features, percent), rows, percent, k), "verified")
     found = components(links)
     crowded = first.where("a is null").select(F.col("b").alias("key")).distinct()
     if not crowded.isEmpty():
         known = cells.join(crowded, "key", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        more = _verified(_meet(known, percent, groups, "component"), features, percent)
+        more = _verified(_bounded(_meet(known, percent, groups, "component"), features, percent), rows, percent, k)
         links = written(links.unionAll(more), "verified")
         found = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
@@ -192,13 +205,14 @@ def _features(batches: Iterable[pa.RecordBatch], k: int, groups: int) -> Iterato
     for part in tk.slices(batches):
         flat, at = sets(part.column("text"), k)
         point, scale = points(flat, at, groups)
+        fine = [finer(flat[a:b]) for a, b in zip(at, at[1:])]
         rows, marks = keys.positions(part.column("marks"))
         ok = marks < np.diff(at)[rows]  # else another text of the same doc_id
         rows, marks = rows[ok], marks[ok]
         n = np.bincount(rows, minlength=len(at) - 1)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc"), pa.array(np.diff(at)), pa.array(scale.astype(np.int32)), tk.blobs(point.ravel(), np.arange(len(at)) * groups), tk.blobs(flat, at), tk.int_lists(flat[at[rows] + marks].view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())],
-            names=["doc", "n", "scale", "point", "shingles", "keys"],
+            [part.column("doc"), pa.array(np.diff(at)), pa.array(scale.astype(np.int32)), tk.blobs(point.ravel(), np.arange(len(at)) * groups), pa.array([x.tobytes() for x in fine], pa.binary()), tk.int_lists(flat[at[rows] + marks].view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())],
+            names=["doc", "n", "scale", "point", "fine", "keys"],
         )
 
 
@@ -263,9 +277,29 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
     return cells.select(columns).repartition(n_parts, "key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may be linked by their points over as many groups as their sizes ask for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            read = lambda c: [np.frombuffer(x, np.uint8) for x in t.column(c).to_pylist()]
+            x, y, m, n = read("fa"), read("fb"), t.column("na").to_pylist(), t.column("nb").to_pylist()
+            keep = pa.array([finer_bound(p, q, max(i, j)) >= needed(i, j, percent) for p, q, i, j in zip(x, y, m, n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+
+    of = lambda x: features.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    real = pairs.where("a is not null and a <> b")
+    return written(real.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long").distinct(), "bounded")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs whose whole sets are linked."""
 
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tk.slices(batches):
+            flat, at = sets(part.column("text"), k)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), tk.blobs(flat, at)], names=["doc", "shingles"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             ok = []
@@ -278,6 +312,7 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
-    of = lambda id_, name: features.select(F.col("doc").alias(id_), F.col("shingles").alias(name))
-    real = pairs.where("a is not null and a <> b")
-    return real.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "pair-ids")
+    own = written(rows.join(ids, "doc", "left_semi").mapInArrow(whole, "doc long, shingles binary"), "pair-sets")
+    of = lambda id_, name: own.select(F.col("doc").alias(id_), F.col("shingles").alias(name))
+    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()

@@ -71,6 +71,7 @@ def test_bounds_hold():
         (p, q), scale = jaccard.points(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 2)
         both = len(np.intersect1d(a, b))
         assert np.minimum(p.astype(int) * scale[0], q.astype(int) * scale[1]).sum() >= both
+        assert jaccard.finer_bound(jaccard.finer(a >> np.uint64(14)), jaccard.finer(b >> np.uint64(14)), max(len(a), len(b))) >= len(np.intersect1d(a >> np.uint64(14), b >> np.uint64(14)))
         for percent in (50, 80, 95):
             assert (100 * both >= percent * (len(a) + len(b) - both)) == (both >= jaccard.needed(len(a), len(b), percent))
 
