@@ -3,8 +3,9 @@
 Words are taken twice, as they read (folded, digits as 0) and as their shape
 (runs of capitals, small letters and digits as one sign each, other signs as
 they are): one- and two-word grams of the first, one- to three-word grams of
-the second.  A feature's value is its share of the document's words, so a score
-is one sparse dot product whatever the length.
+the second, and whether a three-word gram has stood in the text before.  A
+feature's value is its share of the document's words, so a score is one sparse
+dot product whatever the length.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from .labelled import examples, held_out
 ROWS, SHARDS, EPOCHS = 20_000, 8, 4
 #: Buckets of the feature hash; scale of the values; the regularised leader's constants.
 BITS, SCALE, ALPHA, BETA, L1, L2 = 18, 8.0, 0.5, 1.0, 0.02, 0.05
-_RUNS = [(re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "A"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "B"), (re.compile(r"[^\W\d_AB]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(.)\1+"), r"\1\1")]
+_RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]{2,})|([A-ZÀ-ÖØ-Þ])|([^\W\d_A-ZÀ-ÖØ-Þ]+)|(\d+)|(\W)\5+")
 
 
 def shape(word: str) -> str:
-    for pattern, to in _RUNS:
-        word = pattern.sub(to, word)
-    return word
+    """A, B, a, 0 for a run of capitals, one capital, small letters, digits; of a run of one sign two stay."""
+    return _RUNS.sub(lambda m: m[5] * 2 if m[5] else "ABa0"[m.lastindex - 1], word)
 
 
 def grams(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -48,6 +48,17 @@ def grams(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
             inside, _ = tk.window_docs(offsets, k, len(codes))
             at[: len(inside)][inside] = (tk.rolling(base, k)[inside] * np.uint64(2 * k + 1) >> np.uint64(64 - BITS)).astype(np.int64)
             out.append(at)
+    # whether the three words from here have stood in the text before
+    again = np.full(len(codes), -1, np.int64)
+    inside, doc = tk.window_docs(offsets, 3, len(codes))
+    at = np.flatnonzero(inside)
+    if len(at):
+        three = tk.rolling(plain, 3)[at]
+        order = np.lexsort((three, doc[at]))
+        same = (three[order][1:] == three[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
+        again[at] = 0
+        again[at[order[1:][same]]] = 1
+    out.append(again)
     return out, offsets
 
 

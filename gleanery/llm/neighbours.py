@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the first letters of longer words.  The index holds those
-that tell the labels of the examples apart.  Examples stand in blocks; a
+that are much more frequent in examples with the mark than in others.  Examples stand in blocks; a
 term's list has its weights and, per block, the greatest of them.  A query
 opens blocks by their bound, the summed products with those greatest weights,
 and stops when no closed block can hold one of the k nearest, so its neighbours
@@ -23,22 +23,21 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .labelled import examples, held_out
 
-#: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; first letters that are a term.
-ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 64, 4
-#: A term is in the index if it is in this share of one label's examples or more, in four of them at least, and so many times as frequent there as in the other's.
-LEAST_SHARE, LEAST_EXAMPLES, RATIO = 0.02, 4, 4.0
+#: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; so many first letters are terms.
+ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 64, (4, 5, 6, 7, 8)
+#: A term is in the index if it is in this share of the marked examples or more, in four of them at least, and so many times as frequent there as in the others.
+LEAST_SHARE, LEAST_EXAMPLES, RATIO = 0.01, 5, 25.0
 PREDICT = 0.7
 
 
 def terms(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Term hashes of each distinct word, and their offsets: its letters and marks folded, without signs at the ends; its first letters."""
+    """Term hashes of each distinct word, and their offsets: folded, without signs at the ends; its first letters."""
     h = xxhash.xxh3_64_intdigest
     out, n = [], []
     for w in pc.utf8_lower(vocab.cast(pa.string())).to_pylist():
         w = w.strip("#*$%&|<>.,;:!?\"'()[]{}-_=+/\\~`^@…»«“”„’‘¡¿")
         own = [h(w.encode())] if w else []
-        if len(w) > FIRST:
-            own.append(h(w[:FIRST].encode(), 1))
+        own += [h(w[:k].encode(), 1) for k in FIRST if len(w) > k]
         out += own
         n.append(len(own))
     return np.array(out, np.uint64), np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
@@ -123,14 +122,16 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Index:
-    """The index over a bounded sample of labelled documents; of near copies among them one stays."""
+    """The index over a bounded sample of labelled documents; of near copies among them (the same MinHash of five-word shingles) one stays."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches):
             doc, term, times = counts(part.column("text"))
             n = np.bincount(doc, minlength=part.num_rows)
             ends = np.concatenate([[0], np.cumsum(n)])
-            least = [[int(tk.mix(term[a:b] + np.uint64(salt)).min()) & 0x7FFFFFFFFFFFFFFF if b > a else -1 for a, b in zip(ends, ends[1:])] for salt in (11, 23, 37)]
+            codes, offsets, vocab = tk.words(part.column("text"), lower=True)
+            five = tk.rolling(tk.hashes(vocab)[codes], 5)
+            least = [[int(tk.mix(five[a : b - 4] + np.uint64(salt)).min() >> np.uint64(1)) if b - a > 4 else -1 for a, b in zip(offsets, offsets[1:])] for salt in (11, 23, 37)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array(x, pa.int64()) for x in least), tk.blobs(term, ends), tk.blobs(times.astype("<i4"), ends)], names=["doc_id", "y", "a", "b", "c", "terms", "times"])
 
     found = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, a long, b long, c long, terms binary, times binary").toPandas().sort_values("doc_id")
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     d1, d0 = (np.bincount(which[label_of == k], minlength=len(names)) for k in (1, 0))
     r1, r0 = (d1 + 0.5) / n1, (d0 + 0.5) / n0
-    tells = (d1 >= LEAST_EXAMPLES) & (d1 >= LEAST_SHARE * n1) & (r1 >= RATIO * r0) | (d0 >= LEAST_EXAMPLES) & (d0 >= LEAST_SHARE * n0) & (r0 >= RATIO * r1)
+    tells = (d1 >= LEAST_EXAMPLES) & (d1 >= LEAST_SHARE * n1) & (r1 >= RATIO * r0)
     vocabulary = names[tells]
     idf = np.log((len(y) + 1) / ((d1 + d0)[tells] + 0.5))
     vectors = np.zeros((len(y), len(vocabulary)), np.float64)
