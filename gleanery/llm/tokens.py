@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from . import textkit as tk
 
 #: Distinct pieces that a worker remembers; once it is full, new ones are encoded for their slice alone.
-REMEMBER = 1_200_000
+REMEMBER = 600_000
 #: Bytes of text encoded at once.
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Letters and signs that both pre-tokenizers always part: no digits, apostrophes or marks; signs of ASCII only.
 ATOMS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)?)?")
 _READY: dict[tuple[str, str], "Encoder"] = {}
