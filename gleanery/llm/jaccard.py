@@ -25,7 +25,7 @@ from .storage import written
 from .substring import NO_ID
 
 #: Words of a shingle; per cent of the union that a linked pair shares; groups that shingles are hashed into.
-SHINGLE, PERCENT, GROUPS = 5, 80, 32
+SHINGLE, PERCENT, GROUPS = 5, 80, 64
 #: Points of a leaf; a cell of at most so many compares all its pairs at once.
 LEAF = 32
 #: A shingle in more than one of so many documents comes last in the order. The table of those is broadcast: at most so many times the mean set size.
@@ -130,7 +130,7 @@ def _leaders(point: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int,
     count, out = 0, []
     for i in range(len(n)):
         own = lead[:count]
-        own = own[np.searchsorted(n[own] * 100, percent * n[i]) :]
+        own = own[np.minimum(n[own], n[i]) * 100 >= percent * np.maximum(n[own], n[i])]
         fit = own[_bound(point[own], point[i][None]) >= needed(n[own], n[i], percent)] if len(own) else own
         if len(fit):
             out.append((int(fit[0]), i))
@@ -141,12 +141,12 @@ def _leaders(point: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int,
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, groups: int = GROUPS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), copy_of (least doc_id with the same set), n_links.
+    """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), copy_of (least doc_id with the same set).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
-    shingle sets.  ``n_links`` counts verified links between different sets;
-    inside a cell of many documents those already in one component aren't
-    compared again, so it is a lower bound there.
+    shingle sets.  A cell's documents are first held against its leaders; then
+    against each other where they are in different components still, so no
+    link between components is lost, and a group of near copies costs its size.
 
     A null or empty text has no shingles and is linked with nothing; a null
     doc_id is less than all others and comes back null; rows that share a
@@ -173,17 +173,13 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, g
     first = written(_meet(cells, percent, groups, None), "candidates")
     links = written(_verified(_bounded(first, features, percent), rows, percent, k), "verified")
     found = components(links)
-    crowded = first.where("a is null").select(F.col("b").alias("key")).distinct()
-    if not crowded.isEmpty():
-        known = cells.join(crowded, "key", "left_semi").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        more = _verified(_bounded(_meet(known, percent, groups, "component"), features, percent), rows, percent, k)
-        links = written(links.unionAll(more), "verified")
-        found = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
+    known = cells.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    more = _verified(_bounded(_meet(known, percent, groups, "component"), features, percent), rows, percent, k)
+    found = components(links.unionAll(more))
+    reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = sizes.join(reps, ["s1", "s2", "n"], "left")
     real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep", "doc")).alias("component_id"), real(F.coalesce("rep", "doc")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep", "doc")).alias("component_id"), real(F.coalesce("rep", "doc")).alias("copy_of"))
 
 
 def _digest(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -217,11 +213,7 @@ def _features(batches: Iterable[pa.RecordBatch], k: int, groups: int) -> Iterato
 
 
 def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) -> DataFrame:
-    """Candidate pairs a, b of all cells.
-
-    Without components, a crowded cell gives each document with a leader, and a
-    row (null, key) that says so; with them, all pairs of different components.
-    """
+    """Candidate pairs a, b of all cells: without components each document and a leader, with them all of different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -230,7 +222,8 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
         t = pa.Table.from_batches(held)
         get = lambda name: t.column(name).to_numpy()
         key, doc, n = get("key"), get("doc"), get("n")
-        order = np.lexsort((doc, n, key))
+        # leaders are the least documents, the same in many cells; trees go by size
+        order = np.lexsort((doc, n, key) if component else (doc, key))
         key, doc, n = key[order], doc[order], n[order]
         raw = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, groups)[order]
         point = raw.astype(np.int32) * get("scale")[order][:, None].astype(np.int32)
@@ -238,27 +231,28 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(first[1:], len(key))
         size = ends - first
-        a_all, b_all = [], []
-
-        if component is None:
-            small = np.flatnonzero((size > 1) & (size <= LEAF))
-            at = tk.gather(first[small], size[small])
+        small = np.flatnonzero((size > 1) & (size <= LEAF))
+        at = tk.gather(first[small], size[small])
+        if component:
             after = np.repeat(ends[small], size[small]) - at - 1
             a, b = np.repeat(at, after), tk.gather(at + 1, after)
-            near = n[a] * 100 >= percent * n[b]
-            a, b = a[near], b[near]
-            seen = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
-            a, b = a[seen], b[seen]
-            for i in range(0, len(a), 1 << 16):
-                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-                ok = (_bound(point[x], point[y]) >= needed(n[x], n[y], percent)) & (doc[x] != doc[y])
-                a_all.append(doc[x[ok]])
-                b_all.append(doc[y[ok]])
-        names = []
+            apart = part[a] != part[b]
+        else:
+            a, b = np.repeat(first[small], size[small]), at
+            apart = doc[a] != doc[b]
+        near = apart & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
+        a, b = a[near], b[near]
+        seen = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
+        a, b = a[seen], b[seen]
+        a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            ok = _bound(point[x], point[y]) >= needed(n[x], n[y], percent)
+            a_all.append(doc[x[ok]])
+            b_all.append(doc[y[ok]])
         for f, e in zip(first[size > LEAF], ends[size > LEAF]):
             if component is None:
                 found = np.array(_leaders(point[f:e], n[f:e], percent), np.int64).reshape(-1, 2)
-                names.append(key[f])
                 a_all.append(doc[f:e][found[:, 0]])
                 b_all.append(doc[f:e][found[:, 1]])
             elif part[f:e].min() != part[f:e].max():
@@ -267,10 +261,9 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
                     j = tree.partners(i, percent)
                     a_all.append(doc[f:e][j])
                     b_all.append(np.full(len(j), doc[f + i]))
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *a_all]), np.concatenate([none, *b_all])
+        a, b = np.concatenate(a_all), np.concatenate(b_all)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(names), pa.int64())]), pa.array(np.concatenate([pairs[:, 1], np.array(names, np.int64)]))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     columns = ["key", "doc", "n", "scale", "point", *([component] if component else [])]
     n_parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -288,7 +281,7 @@ def _bounded(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     of = lambda x: features.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-    real = pairs.where("a is not null and a <> b")
+    real = pairs.where("a <> b")
     return written(real.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long").distinct(), "bounded")
 
 

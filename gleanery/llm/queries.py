@@ -45,7 +45,7 @@ def op7_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_count_vector_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "copy_of", "n_links")
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "copy_of")
 
 
 def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,9 @@ ORACLE: dict[str, str] = {
         pairs as (select a.rep a, b.rep b from own a join own b on a.x = b.x and a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
         edges as (select a u, b v from pairs union all select b, a from pairs),
         reach(node, other) as (select rep, rep from reps union select node, v from reach join edges on other = u),
-        comp as (select node, min(other) c from reach group by 1),
-        deg as (select u, count(*) k from edges group by 1)
-        select doc_id, len(s)::bigint n_shingles, coalesce(c, doc_id)::bigint component_id, coalesce(rep, doc_id)::bigint copy_of, coalesce(k, 0)::bigint n_links
-        from d left join reps on list_sort(s) = ss left join comp on node = rep left join deg on u = rep""",
+        comp as (select node, min(other) c from reach group by 1)
+        select doc_id, len(s)::bigint n_shingles, coalesce(c, doc_id)::bigint component_id, coalesce(rep, doc_id)::bigint copy_of
+        from d left join reps on list_sort(s) = ss left join comp on node = rep""",
     "op9_minhash_containment": f"""
         with i as (select item_id, {_SHINGLES} s from (select item_id, {_FOLDED} w from benchmark)),
         d as (select doc_id, {_SHINGLES} s from (select doc_id, {_FOLDED} w from documents)),
