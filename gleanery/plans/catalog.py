@@ -6,14 +6,16 @@ week), parts for repositories, events for reader actions, pages for links.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, scoring, text, urls
-from ..operators import dedupe, publish, queue, ranking, search, serve, state
-from ..sources.tables import table
+from ..operators import blocks, dedupe, publish, queue, ranking, search, serve, state
+from ..sources.tables import shared, table
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,14 +33,17 @@ def query(sql: str | None = None):
 
 NOW = "2024-02-01 12:00:00"
 WEEK = "strftime(o_orderdate, '%G-W%V')"
-DAY = F.to_date("o_orderdate")
 BUDAPEST = "(ts at time zone 'UTC' at time zone 'Europe/Budapest')"
 
 
+def _day():
+    return F.to_date("o_orderdate")
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Orders as stories."""
     return table(spark, d, "orders").select(
-        dates.iso_week(DAY).alias("issue_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("Story "), "o_orderkey").alias("title"), F.col("o_totalprice").alias("score"), (F.col("o_orderkey") % 30 + 1).alias("read_minutes"), "o_orderdate"
+        dates.iso_week(_day()).alias("issue_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("Story "), "o_orderkey").alias("title"), F.col("o_totalprice").alias("score"), (F.col("o_orderkey") % 30 + 1).alias("read_minutes"), "o_orderdate"
     )
 
 
@@ -58,7 +63,7 @@ def must_read_top3(spark, d):
 
 def _ranks(spark, d):
     """Parts of a week by what they sold: the week's repository list."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, d, "orders").select("o_orderkey", DAY.alias("day")), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, d, "orders").select("o_orderkey", _day().alias("day")), F.col("l_orderkey") == F.col("o_orderkey"))
     sold = lines.groupBy(dates.iso_week(F.col("day")).alias("issue_id"), "l_partkey").agg(F.sum("l_quantity").cast("long").alias("stars"))
     return ranking.top(sold, ["issue_id"], [F.desc("stars"), "l_partkey"], 10).select("issue_id", "rank", F.concat(F.lit("Owner/Part"), "l_partkey").alias("repo"), "stars")
 
@@ -221,7 +226,7 @@ def fnv_ids(spark, d):
     strftime(o_orderdate, '%m / %d') label, replace({WEEK}, '-', ' / ') week_label from orders""")
 def iso_week_calendar(spark, d):
     day = F.col("day")
-    rows = table(spark, d, "orders").select(DAY.alias("day")).distinct()
+    rows = table(spark, d, "orders").select(_day().alias("day")).distinct()
     return rows.select("day", dates.iso_week(day).alias("week"), dates.iso_week_monday(dates.iso_week(day)).alias("monday"), dates.week_period(day).alias("period"), dates.day_label(day).alias("label"), dates.week_label(dates.iso_week(day)).alias("week_label"))
 
 
@@ -431,3 +436,57 @@ def row_checks(spark, d):
 def star_labels(spark, d):
     n = F.floor("o_totalprice").cast("long")
     return table(spark, d, "orders").where("o_totalprice < 990000").select(n.alias("n")).distinct().select("n", text.format_stars(F.col("n")).alias("label"))
+
+
+@query()
+def html_blocks(spark, d):
+    """Blocks of all pages after the noise rules, by kind."""
+    found = blocks.extract_pages(table(spark, d, "pages"))
+    return found.select("page_id", "error", F.explode_outer(F.transform("blocks", lambda b: b["type"])).alias("kind")).groupBy("page_id", "error", "kind").agg(F.count("kind").alias("n"))
+
+
+@query(r"select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') title from pages")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", blocks.page_title(F.col("html")).alias("title"))
+
+
+_LINES = "select doc_id, unnest(range(1, len(l) + 1)) pos, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)"
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+@query(f"""with r as (select doc_id, pos, row_number() over w n, sum(length(line)) over w c from ({_LINES}) window w as (partition by doc_id order by pos)), k as (select *, n = 1 or (n <= 12 and c <= 1500) ok from r)
+    select doc_id, pos, max(not ok) over (partition by doc_id) clipped from k qualify ok""")
+def clip_blocks(spark, d):
+    return blocks.clip(_lines(spark, d).withColumn("n", F.length("line")), "doc_id", "pos", "n", 12, 1500).select("doc_id", "pos", "clipped")
+
+
+@query()
+def block_ids(spark, d):
+    return blocks.with_ids(_lines(spark, d), "doc_id", "pos", F.lit("paragraph"), F.col("line")).select("doc_id", "pos", "block_id")
+
+
+@query("select strftime(ts, '%G-W%V') as week, event_type, count(*) n, round(sum(value), 4) total from events group by all")
+def tumbling_week_stream(spark, d):
+    stream = streams.weekly(streams.events_stream(spark, _folder(spark, d, "events")))
+    return streams.run_once(stream, "weekly", _place(spark), "complete").withColumn("total", F.round("total", 4))
+
+
+@query("select distinct event_id, event_type from events")
+def dedupe_watermark_stream(spark, d):
+    once = streams.events_stream(spark, _folder(spark, d, "events"))
+    stream = streams.first_seen(once.unionByName(once), "event_id", "60 days").select("event_id", "event_type")
+    return streams.run_once(stream, "first-seen", _place(spark))
+
+
+def _place(spark) -> str:
+    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _folder(spark, d, name) -> str:
+    """A folder for the file stream that holds the table."""
+    path = f"{_place(spark)}/{name}"
+    table(spark, d, name).write.parquet(path)
+    return path
