@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.dates import iso_week
+from ..operators.queue import ATTEMPTS, LEASE_MINUTES
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,11 +29,32 @@ def first_seen(stream: DataFrame, key: str, within: str = "14 days") -> DataFram
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
+def _advance(key, batches, state):
+    """Fold an item's steps: a claim takes an attempt while a lease isn't held, results end it, three failures close it."""
+    status, attempts, claimed = state.get if state.exists else ("pending", 0, 0)
+    for rows in batches:
+        for r in rows.sort_values("ts").itertuples():
+            at = int(r.ts.timestamp())
+            if r.step == "claim" and status != "done" and attempts < ATTEMPTS and at - claimed >= LEASE_MINUTES * 60:
+                attempts, claimed = attempts + 1, at
+            elif r.step == "done":
+                status, claimed = "done", 0
+            elif r.step == "error" and status != "done":
+                status, claimed = ("failed" if attempts >= ATTEMPTS else "pending"), 0
+    state.update((status, attempts, claimed))
+    yield pd.DataFrame({"id": [key[0]], "status": [status], "attempts": [attempts]})
+
+
+def work_queue(steps: DataFrame) -> DataFrame:
+    """State of each queued link after a stream of steps (id, ts, step: claim, done or error)."""
+    return steps.groupBy("id").applyInPandasWithState(_advance, "id long, status string, attempts int", "status string, attempts int, claimed long", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_once(frame: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is there now into a table; a restart goes on where the checkpoint stands."""
     path = f"{checkpoint}/{name}-rows"
-    if mode == "complete":
-        write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    if mode != "append":
+        write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
         run = frame.writeStream.outputMode(mode).foreachBatch(write)
     else:
         run = frame.writeStream.outputMode(mode).format("parquet").option("path", path)
