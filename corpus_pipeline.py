@@ -35,11 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that start earlier too are cut; a text without cuts stays as it is, one of which nothing is left goes."""
-    cut = storage.written(substring.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("text").alias("kept")), "cut")
-    text = F.coalesce("kept", "text")
-    rows = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", text)
-    return rows.where("kept is null or kept <> ''").select(COLUMNS)
+    rows = substring.substring_dedup(docs, carry=["lang", "source", "n_chars"])
+    cut = F.col("n_removed") > 0
+    n_chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.where(~cut | (F.col("text") != "")).withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

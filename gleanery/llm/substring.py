@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import keys
 from . import textkit as tk
@@ -34,8 +35,8 @@ def cover(window: int) -> tuple[int, tuple[int, ...]]:
     return (max(fit), COVERS[max(fit)]) if fit else (1, (0,))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, text, marks: each document (doc: doc_id, null as NO_ID) with the starts of its windows that occur before."""
+def repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """doc, text, carried columns, marks: each document (doc: doc_id, null as NO_ID) with the starts of its windows that occur before."""
     period, residues = cover(window)
     size = window - period + 1
     on = np.isin(np.arange(period), residues)
@@ -65,13 +66,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ids = part.column("doc").to_numpy()
         return one, (two >> np.uint64(32)).astype(np.uint32), ids[doc[at]], (at - offsets[doc[at]]).astype(np.int32)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", *(F.col(c).alias(f"with_{c}") for c in carry or []))
     candidates = keys.joined(rows, keys.marked(rows, anchors), "inner")
     return keys.joined(rows, keys.marked(candidates, windows, later=True), "left")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, text (kept words joined by one space), n_words, n_removed, spans.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, text (kept words joined by one space), n_words, n_removed, spans; and, with ``carry``, those columns, the text as it was where nothing went.
 
     A window is ``window`` consecutive words of one document.  Each word of a
     window whose word sequence also starts earlier (smaller doc_id, or the same
@@ -106,13 +107,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     kept += words[at : s["start"]]
                     at = s["end"]
                 kept += words[at:]
-                texts.append(b" ".join(kept))
+                texts.append(text if carry is not None and not cut else b" ".join(kept))
                 n_removed.append(len(words) - len(kept))
                 spans.append(cut)
             doc = part.column("doc").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, mask=doc == NO_ID), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "text", "n_words", "n_removed", "spans"],
+                [pa.array(doc, mask=doc == NO_ID), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *(part.column(f"with_{c}") for c in carry or [])],
+                names=["doc_id", "text", "n_words", "n_removed", "spans", *(carry or [])],
             )
 
-    return repeats(docs, window).mapInArrow(keep, "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>")
+    found = repeats(docs, window, carry)
+    more = [T.StructField(c, docs.schema[c].dataType) for c in carry or []]
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    own = [("doc_id", T.LongType()), ("text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("spans", span)]
+    return found.mapInArrow(keep, T.StructType([*(T.StructField(k, t) for k, t in own), *more]))
