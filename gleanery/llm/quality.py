@@ -99,6 +99,19 @@ def _triangle(rows: DataFrame) -> DataFrame:
     return rows
 
 
+#: Groups whose estimates are broadcast; more of them meet the rows in a join that is salted over all partitions.
+BROADCAST_GROUPS = 20_000
+
+
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with what a written table has of their group; a group of any share of the rows stays spread."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys or F.lit(True), how)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % n).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
 _G = ["level", "lang", "source"]
 _L = [f"l{i}{j}" for i in range(_P) for j in range(i + 1)]
 
@@ -114,11 +127,11 @@ def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     start = start.select(*_G, "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)), *((F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(least[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)))
     now = written(start, "estimates")
     for _ in range(steps):
-        far = rows.join(now, _G).withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 16))
-        bins = far.groupBy(*_G, "n", "bin").agg(F.count("*").alias("rows"))
+        bin_ = F.floor(F.log(_distance() + 1e-6) * 16)
+        bins = _beside(rows, now, _G).groupBy(*_G, "n", bin_.alias("bin")).agg(F.count("*").alias("rows"))
         run = Window.partitionBy(*_G).orderBy("bin")
         cut = bins.withColumn("sum", F.sum("rows").over(run)).where(F.col("sum") >= F.ceil(F.col("n") * KEEP)).groupBy(_G).agg(F.min("bin").alias("cut"))
-        near = far.join(cut, _G).where("bin <= cut")
+        near = _beside(rows, written(now.join(cut, _G), "cuts"), _G).where(bin_ <= F.col("cut"))
         moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)]
         moments += [(F.covar_pop(_X[i], _X[j]) * CONSISTENT + (least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i, _P)]
         now = written(_triangle(near.groupBy(*_G, "n").agg(*moments)).select(*_G, "n", *(f"m{i}" for i in range(_P)), *_L), "estimates")
@@ -138,7 +151,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEA
     rows = stats.select("*", *(F.expr(f"case when base_failed then null else {e} end").alias(x) for x, (e, _) in STATISTICS.items()))
     for k, on in enumerate((["lang", "source"], ["lang"], [])):
         own = found.where(F.col("level") == k).select(*on, F.struct(*(f"m{i}" for i in range(_P)), *_L).alias(f"p{k}"))
-        rows = rows.join(own, on, "left") if on else rows.join(F.broadcast(own), F.lit(True), "left")
+        rows = _beside(rows, own, on, "left")
     rows = rows.withColumn("p", F.coalesce("p0", "p1", "p2")).withColumn("distance", _distance("p."))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "distance"]
     return rows.select(*out, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from gleanery.llm import quality
 
@@ -66,10 +67,12 @@ def corpus(seed, n=260):
     return rows + [(900, None, "en", "a"), (901, "", "en", "a"), (902, "a b " * 200, "xx", "z"), (903, "### " * 3 + " ".join(f"q{i}" for i in range(60)), "xx", "q"), (903, " \n\x0b\n \n", None, None)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_against_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
     rows = corpus(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as n_words", "2 as level").repartition(3)
-    for least in (100, 30):
+    for least in (30,) if most == 1 else (100, 30):
         want = Counter(((i, n, c, s, d, m, r), failed, kept) for (i, *_), ((n, c, s, d, m, r), failed, kept) in zip(rows, brute(rows, least=least)))
         got = Counter(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_lines, r.n_repeat_words), r.base_failed, r.kept) for r in quality.quality_rules(docs, least_rows=least).collect())
         assert got == want
