@@ -68,26 +68,21 @@ def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -
     return doc[take], take
 
 
-def points(flat: np.ndarray, at: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per group as bytes, and the document's scale: byte * scale is the count or a little more."""
-    n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(doc * groups + ((flat >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=len(n) * groups).reshape(-1, groups)
-    scale = np.maximum(1, -(-counts.max(axis=1, initial=0) // 255))
-    return (-(-counts // scale[:, None])).astype(np.uint8), scale
+def points(one: np.ndarray) -> np.ndarray:
+    """Counts of one set per group as bytes; about a quarter as many groups as shingles, a power of two, GROUPS at least. 255 stands for any more."""
+    groups = max(GROUPS, 1 << (len(one) // 4).bit_length())
+    return np.minimum(np.bincount((one & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
-def finer(one: np.ndarray) -> np.ndarray:
-    """Counts of one set over about a quarter as many groups, a power of two, as bytes; 255 stands for any more."""
-    groups = 1 << max(5, (len(one) // 4).bit_length())
-    return np.minimum(np.bincount((one & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+def folded(point: np.ndarray, groups: int, n: int) -> np.ndarray:
+    """The same set's counts over fewer groups, at least; n is its size."""
+    return np.where(point == 255, n, point.astype(np.int32)).reshape(-1, groups).sum(0)
 
 
-def finer_bound(a: np.ndarray, b: np.ndarray, n: int) -> int:
-    """Most that the sets of two ``finer`` points, of n shingles at most, overlap in; the longer is folded."""
-    short = min(len(a), len(b))
-    a, b = (np.where(x == 255, n, x.astype(np.int64)).reshape(-1, short).sum(0) for x in (a, b))
-    return int(np.minimum(a, b).sum())
+def bound(a: np.ndarray, b: np.ndarray, m: int, n: int) -> int:
+    """Most that two sets of sizes m and n overlap in, by their points over as many groups as both have."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups, m), folded(b, groups, n)).sum())
 
 
 def needed(a, b, percent: int):
@@ -140,7 +135,7 @@ def _leaders(point: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int,
     return out
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, groups: int = GROUPS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), copy_of (least doc_id with the same set).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -168,13 +163,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, g
         ids = part.column("doc").to_numpy()
         return flat[take], np.zeros(len(take), np.uint32), ids[doc], (take - at[doc]).astype(np.int32)
 
-    features = written(keys.joined(own, keys.marked(own, entries), "inner").mapInArrow(lambda b: _features(b, k, groups), "doc long, n long, scale int, point binary, fine binary, keys array<long>"), "features")
-    cells = features.select("doc", "n", "scale", "point", F.explode("keys").alias("key"))
-    first = written(_meet(cells, percent, groups, None), "candidates")
-    links = written(_verified(_bounded(first, features, percent), rows, percent, k), "verified")
+    features = written(keys.joined(own, keys.marked(own, entries), "inner").mapInArrow(lambda b: _features(b, k), "doc long, n long, fine binary, keys array<long>"), "features")
+    cells = features.select("doc", "n", "fine", F.explode("keys").alias("key"))
+    links = written(_verified(written(_meet(cells, percent, None), "candidates"), rows, percent, k), "verified")
     found = components(links)
     known = cells.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = _verified(_bounded(_meet(known, percent, groups, "component"), features, percent), rows, percent, k)
+    more = _verified(written(_meet(known, percent, "component"), "candidates"), rows, percent, k)
     found = components(links.unionAll(more))
     reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = sizes.join(reps, ["s1", "s2", "n"], "left")
@@ -197,22 +191,21 @@ def _digest(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(pa.int64()), b]) for a, b in columns], names=["doc", "n", "s1", "s2", "times"])
 
 
-def _features(batches: Iterable[pa.RecordBatch], k: int, groups: int) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for part in tk.slices(batches):
         flat, at = sets(part.column("text"), k)
-        point, scale = points(flat, at, groups)
-        fine = [finer(flat[a:b]) for a, b in zip(at, at[1:])]
+        fine = [points(flat[a:b]) for a, b in zip(at, at[1:])]
         rows, marks = keys.positions(part.column("marks"))
         ok = marks < np.diff(at)[rows]  # else another text of the same doc_id
         rows, marks = rows[ok], marks[ok]
         n = np.bincount(rows, minlength=len(at) - 1)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc"), pa.array(np.diff(at)), pa.array(scale.astype(np.int32)), tk.blobs(point.ravel(), np.arange(len(at)) * groups), pa.array([x.tobytes() for x in fine], pa.binary()), tk.int_lists(flat[at[rows] + marks].view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())],
-            names=["doc", "n", "scale", "point", "fine", "keys"],
+            [part.column("doc"), pa.array(np.diff(at)), pa.array([x.tobytes() for x in fine], pa.binary()), tk.int_lists(flat[at[rows] + marks].view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())],
+            names=["doc", "n", "fine", "keys"],
         )
 
 
-def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) -> DataFrame:
+def _meet(cells: DataFrame, percent: int, component: str | None) -> DataFrame:
     """Candidate pairs a, b of all cells: without components each document and a leader, with them all of different components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +218,12 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
         # leaders are the least documents, the same in many cells; trees go by size
         order = np.lexsort((doc, n, key) if component else (doc, key))
         key, doc, n = key[order], doc[order], n[order]
-        raw = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(-1, groups)[order]
-        point = raw.astype(np.int32) * get("scale")[order][:, None].astype(np.int32)
+        own: dict[int, tuple[np.ndarray, int]] = {}  # a document's point stands in many cells
+        for d, m, x in zip(get("doc").tolist(), get("n").tolist(), t.column("fine").to_pylist()):
+            if d not in own:
+                own[d] = np.frombuffer(x, np.uint8), m
+        names = np.array(sorted(own), np.int64)
+        point = np.stack([folded(*((own[d][0], GROUPS, own[d][1]))) for d in names.tolist()])[np.searchsorted(names, doc)]
         part = get(component)[order] if component else None
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(first[1:], len(key))
@@ -263,26 +260,14 @@ def _meet(cells: DataFrame, percent: int, groups: int, component: str | None) ->
                     b_all.append(np.full(len(j), doc[f + i]))
         a, b = np.concatenate(a_all), np.concatenate(b_all)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        # a box and a leaf go by few groups, a pair by as many as its sizes ask for
+        sizes = ((own[x], own[y]) for x, y in pairs.tolist())
+        pairs = pairs[[bound(p, q, m, n_) >= needed(m, n_, percent) for (p, m), (q, n_) in sizes]] if len(pairs) else pairs
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    columns = ["key", "doc", "n", "scale", "point", *([component] if component else [])]
+    columns = ["key", "doc", "n", "fine", *([component] if component else [])]
     n_parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.select(columns).repartition(n_parts, "key").mapInArrow(run, "a long, b long").distinct()
-
-
-def _bounded(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may be linked by their points over as many groups as their sizes ask for."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            read = lambda c: [np.frombuffer(x, np.uint8) for x in t.column(c).to_pylist()]
-            x, y, m, n = read("fa"), read("fb"), t.column("na").to_pylist(), t.column("nb").to_pylist()
-            keep = pa.array([finer_bound(p, q, max(i, j)) >= needed(i, j, percent) for p, q, i, j in zip(x, y, m, n)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
-
-    of = lambda x: features.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-    real = pairs.where("a <> b")
-    return written(real.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long").distinct(), "bounded")
+    return cells.select(columns).repartition(n_parts, "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
