@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the first letters of longer words.  The index holds those
-that are much more frequent in examples with the mark than in others.  Examples stand in blocks; a
-term's list has its weights and, per block, the greatest of them.  A query
-opens blocks by their bound, the summed products with those greatest weights,
-and stops when no closed block can hold one of the k nearest, so its neighbours
-are the exact ones.  Votes, weighted by cosine, are calibrated on the examples,
-each held against all others.
+Terms are words and the first letters of longer words, all terms of all
+examples; a term's weight is TF-IDF times its relevance frequency, 1 or more,
+which grows with how much more frequent the term is in examples with the mark.
+Examples stand in blocks.  A term in many examples is a row of a dense matrix;
+another's list has its weights and, per block, the greatest of them.  A query
+opens blocks by their bound, the most that the dense rows give in the block and
+the summed products with those greatest weights, and stops when no closed block
+can hold one of the k nearest, so its neighbours are the exact ones.  Votes,
+weighted by cosine, are calibrated on the examples, each held against all others.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .labelled import examples, held_out
 
 #: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; so many first letters are terms.
 ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 64, (4, 5, 6, 7, 8)
-#: A term is in the index if it is in this share of the marked examples or more, in four of them at least, and so many times as frequent there as in the others.
-LEAST_SHARE, LEAST_EXAMPLES, RATIO = 0.01, 5, 25.0
+#: So many terms at most, each in this share of the examples or more, are dense rows; blocks opened before the bound is looked at; queries of a matrix product.
+DENSE, DENSE_SHARE, FIRST_BLOCKS, BATCH = 1_024, 0.02, 8, 256
+#: Cases at the base rate that are added to a term's counts; per cent of the union of their five-word shingles that near copies share.
+PRIOR, COPY = 5.0, 80
 PREDICT = 0.7
 
 
@@ -64,34 +68,77 @@ def counts(text: pa.Array, of: np.ndarray | None = None) -> tuple[np.ndarray, np
 
 
 class Index:
-    """Examples as unit vectors over the vocabulary, in blocks."""
+    """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight)."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors: np.ndarray, y: np.ndarray, ids: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple, y: np.ndarray, ids: np.ndarray):
         self.vocabulary, self.idf, self.y, self.ids = vocabulary, idf, y, ids
-        self.vectors = np.ascontiguousarray(vectors.T)  # the lists: by term, then by example
-        blocks = np.arange(0, len(y), BLOCK)
-        self.most = np.maximum.reduceat(self.vectors, blocks, axis=1) if len(blocks) and len(vocabulary) else np.zeros((len(vocabulary), len(blocks)))
+        example, term, weight = vectors if isinstance(vectors, tuple) else (*(at := np.nonzero(vectors)), vectors[at])
+        order = np.lexsort((example, term))
+        example, term, weight = example[order].astype(np.int32), term[order], weight[order].astype(np.float32)
+        n = np.bincount(term, minlength=len(vocabulary))
+        self.sent = example.astype(np.uint16) if len(y) < 1 << 16 else example, n.astype(np.int32), weight
+        often = np.flatnonzero(n >= max(DENSE_SHARE * len(y), 1))
+        self.often = np.sort(often[np.argsort(-n[often], kind="stable")[:DENSE]])
+        self.row = np.full(len(vocabulary), -1, np.int32)
+        self.row[self.often] = np.arange(len(self.often))
+        self.dense = np.zeros((len(self.often), len(y)), np.float32)
+        row = self.row[term]
+        self.dense[row[row >= 0], example[row >= 0]] = weight[row >= 0]
+        # the lists: by term, then by example; an entry for each block of a list
+        self.example, term, self.weight = example[row < 0], term[row < 0], weight[row < 0]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.at = block[first], np.append(first, len(term))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.entries = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        self.blocks = np.arange(0, len(y), BLOCK)
         self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.zeros(1)
 
+    def __reduce__(self):
+        """A broadcast has the bare lists; every worker sets up its blocks and dense rows."""
+        return _received, (self.vocabulary, self.idf.astype(np.float32), *self.sent, self.y, self.ids, self.knots)
+
     def weigh(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         q = (1 + np.log(times)) * self.idf[term]
         return q / np.sqrt(q @ q) if len(q) else q
 
-    def nearest(self, term: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def base(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each query the part of the cosine with every example that dense rows give."""
+        q = np.zeros((len(queries), len(self.often)), np.float32)
+        for i, (term, weight) in enumerate(queries):
+            row = self.row[term]
+            q[i, row[row >= 0]] = weight[row >= 0]
+        return q @ self.dense
+
+    def nearest(self, term: np.ndarray, q: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of cosine over 0, nearest first, ties by place."""
-        bound = q @ self.most[term]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosine) == k and bound[b] < cosine[-1] - 1e-12:
-                break
-            at = slice(b * BLOCK, (b + 1) * BLOCK)
-            s = q @ self.vectors[term, at]
-            own = np.arange(at.start, at.start + len(s))
-            keep = (s > 0) & (own != skip)
-            found, cosine = np.concatenate([found, own[keep]]), np.concatenate([cosine, s[keep]])
-            order = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[order], cosine[order]
-        return found, cosine
+        if not len(self.y):
+            return np.zeros(0, np.int64), np.zeros(0)
+        s = (self.base([(term, q)])[0] if base is None else base).astype(np.float64)
+        n = self.entries[term + 1] - self.entries[term]
+        entry, weight = tk.gather(self.entries[term], n), np.repeat(q, n)
+        block = self.block[entry]
+        bound = np.maximum.reduceat(s, self.blocks) + np.bincount(block, weight * self.most[entry], minlength=len(self.blocks))
+        order = np.argsort(-bound, kind="stable")
+        least, found = 0.0, np.zeros(0, np.int64)
+        for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            # a bound is off by less than that, as are single-precision weights
+            some = some[bound[some] >= least - 1e-6] if least else some[bound[some] > 0]
+            open_ = np.zeros(len(self.blocks), bool)
+            open_[some] = True
+            own = open_[block]
+            e, w = entry[own], weight[own]
+            m = self.at[e + 1] - self.at[e]
+            p = tk.gather(self.at[e], m)
+            s += np.bincount(self.example[p], np.repeat(w, m) * self.weight[p], minlength=len(s))
+            at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            at = np.concatenate([found, at[at < len(s)]])
+            at = at[(s[at] > 0) & (at != skip)]
+            if len(at) > k:
+                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+            found = at[np.lexsort((at, -s[at]))][:k]
+            least = float(s[found[-1]]) if len(found) == k else 0.0
+        return found, s[found]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """From -1 to 1: mean over the k places of the cosine, for or against."""
@@ -101,6 +148,12 @@ class Index:
         return np.interp(votes, *self.knots)
 
 
+def _received(vocabulary, idf, example, n, weight, y, ids, knots) -> Index:
+    index = Index(vocabulary, idf, (example, np.repeat(np.arange(len(n), dtype=np.int32), n), weight), y, ids)
+    index.knots = knots
+    return index
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising step function nearest to y over x, with one case of each label added at either end's block."""
     order = np.argsort(x, kind="stable")
@@ -121,8 +174,33 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at), np.maximum.accumulate(np.array(value))
 
 
+def distinct(sets: list[np.ndarray]) -> np.ndarray:
+    """Places of the sets that stay if in turn each with a Jaccard similarity of COPY per cent or more to one that stays goes; empty ones stay."""
+    names, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_counts=True)
+    rank = np.empty(len(names), np.int32)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(names))
+    own: dict[int, np.ndarray] = {}
+    heads: dict[int, list[int]] = {}
+    stay = []
+    for i, x in enumerate(sets):
+        mine = np.sort(rank[np.searchsorted(names, x)])  # rarest first: copies share one of the first few
+        head = mine[: len(mine) - (COPY * len(mine) + 99) // 100 + 1].tolist()
+        for j in sorted({j for h in head for j in heads.get(h, ())}):
+            a, b = len(mine), len(own[j])
+            if min(a, b) * 100 >= COPY * max(a, b):
+                both = len(np.intersect1d(mine, own[j], assume_unique=True))
+                if 100 * both >= COPY * (a + b - both):
+                    break
+        else:
+            stay.append(i)
+            own[i] = mine
+            for h in head:
+                heads.setdefault(h, []).append(i)
+    return np.array(stay, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Index:
-    """The index over a bounded sample of labelled documents; of near copies among them (the same MinHash of five-word shingles) one stays."""
+    """The index over a bounded sample of labelled documents; of near copies among them (COPY per cent of their five-word shingles) the first stays."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches):
@@ -130,39 +208,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             n = np.bincount(doc, minlength=part.num_rows)
             ends = np.concatenate([[0], np.cumsum(n)])
             codes, offsets, vocab = tk.words(part.column("text"), lower=True)
-            five = tk.rolling(tk.hashes(vocab)[codes], 5)
-            least = [[int(tk.mix(five[a : b - 4] + np.uint64(salt)).min() >> np.uint64(1)) if b - a > 4 else -1 for a, b in zip(offsets, offsets[1:])] for salt in (11, 23, 37)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array(x, pa.int64()) for x in least), tk.blobs(term, ends), tk.blobs(times.astype("<i4"), ends)], names=["doc_id", "y", "a", "b", "c", "terms", "times"])
-
-    found = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, a long, b long, c long, terms binary, times binary").toPandas().sort_values("doc_id")
-    found = found.drop_duplicates("doc_id")
-    for key in "abc":
-        found = found[(found[key] < 0) | ~found.duplicated(key)]
-    y = found["y"].to_numpy(np.int64)
-    own = [(np.frombuffer(t, "<u8"), np.frombuffer(n, "<i4")) for t, n in zip(found["terms"], found["times"])]
-    names, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in own)]), return_inverse=True)
-    label_of = np.repeat(y, [len(t) for t, _ in own]) if own else np.zeros(0, np.int64)
+            five = (tk.rolling(tk.hashes(vocab)[codes], 5) >> np.uint64(32)).astype("<u4")
+            own = [np.unique(five[a : b - 4]) if b - a > 4 else five[:0] for a, b in zip(offsets, offsets[1:])]
+            shingles = tk.blobs(np.concatenate([five[:0], *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), shingles, tk.blobs(term, ends), tk.blobs(times.astype("<i4"), ends)], names=["doc_id", "y", "shingles", "terms", "times"])
+
+    found = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, shingles binary, terms binary, times binary").toArrow()
+    # the driver's memory is short: arrays of all terms are few, small and let go
+    ids, first = np.unique(found.column("doc_id").to_numpy(), return_index=True)
+    arrays = lambda name, kind, at: [np.frombuffer(found.column(name)[int(i)].as_buffer(), kind) for i in at]
+    stay = distinct(arrays("shingles", "<u4", first))
+    ids, first = ids[stay], first[stay]
+    y = found.column("y").to_numpy()[first].astype(np.int64)
+    own = arrays("terms", "<u8", first)
+    size = np.array([len(t) for t in own], np.int64)
+    names = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
+    which = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(names, t).astype(np.int32) for t in own)])
+    weight = np.concatenate([np.zeros(0, np.float32), *((1 + np.log(n)).astype(np.float32) for n in arrays("times", "<i4", first))])
+    del found, own
+    ends = np.concatenate([[0], np.cumsum(size)])
+    d = np.zeros((2, len(names)), np.int64)
+    for k, a, b in zip(y, ends, ends[1:]):
+        d[k, which[a:b]] += 1
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    d1, d0 = (np.bincount(which[label_of == k], minlength=len(names)) for k in (1, 0))
-    r1, r0 = (d1 + 0.5) / n1, (d0 + 0.5) / n0
-    tells = (d1 >= LEAST_EXAMPLES) & (d1 >= LEAST_SHARE * n1) & (r1 >= RATIO * r0)
-    vocabulary = names[tells]
-    idf = np.log((len(y) + 1) / ((d1 + d0)[tells] + 0.5))
-    vectors = np.zeros((len(y), len(vocabulary)), np.float64)
-    for i, (t, n) in enumerate(own):
-        place = np.searchsorted(vocabulary, t)
-        good = vocabulary[np.minimum(place, len(vocabulary) - 1)] == t if len(vocabulary) else np.zeros(len(t), bool)
-        w = (1 + np.log(n[good])) * idf[place[good]]
-        if len(w):
-            vectors[i, place[good]] = w / np.sqrt(w @ w)
+    share = n1 / (n1 + n0)
+    more = (d[1] + PRIOR * share) / n1 / ((d[0] + PRIOR * (1 - share)) / n0)
+    idf = np.log((len(y) + 1) / (d.sum(0) + 0.5)) * np.log2(2 + more)
+    heaviest = np.zeros(len(y), np.int64)
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        if b > a:
+            w = weight[a:b] * idf[which[a:b]]
+            weight[a:b] = w / max(np.sqrt(w @ w), 1e-300)
+            heaviest[i] = which[a + w.argmax()]
     # like examples in a block: by label, then by heaviest term
-    order = np.lexsort((vectors.max(1, initial=0), vectors.argmax(1) if len(vocabulary) else y, y))
-    index = Index(vocabulary, idf, vectors[order], y[order], found["doc_id"].to_numpy(np.int64)[order])
+    order = np.lexsort((heaviest, y))
+    place = np.empty(len(y), np.int32)
+    place[order] = np.arange(len(y))
+    index = Index(names, idf, (np.repeat(place, size), which, weight), y[order], ids[order])
     votes = np.zeros(len(y))
-    for i in range(len(y)):
-        term = np.flatnonzero(index.vectors[:, i])
-        if len(term):
-            votes[i] = index.vote(*index.nearest(term, index.vectors[term, i], NEAREST, skip=i))
+    for i in range(0, len(y), BATCH):
+        own = range(i, min(i + BATCH, len(y)))
+        queries = [(which[ends[j] : ends[j + 1]], weight[ends[j] : ends[j + 1]]) for j in own]
+        for j, (term, q), base in zip(own, queries, index.base(queries)):
+            votes[place[j]] = index.vote(*index.nearest(term, q, NEAREST, place[j], base))
     if len(y):
         index.knots = _isotonic(votes, index.y.astype(float))
     return index
@@ -178,11 +266,14 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             doc, term, times = counts(part.column("text"), own.vocabulary)
             votes, evidence = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
             edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            for a, b in zip(edges, np.append(edges[1:], len(doc))):
-                t = term[a:b].astype(np.int64)
-                found, cosine = own.nearest(t, own.weigh(t, times[a:b]), NEAREST)
-                votes[doc[a]] = own.vote(found, cosine)
-                evidence[doc[a]] = [{"doc_id": int(own.ids[j]), "y": int(own.y[j]), "cosine": float(c)} for j, c in zip(found[:3], cosine)]
+            ends = np.append(edges[1:], len(doc))
+            for i in range(0, len(edges), BATCH):
+                at = list(zip(edges[i : i + BATCH], ends[i : i + BATCH]))
+                queries = [(t := term[a:b].astype(np.int64), own.weigh(t, times[a:b])) for a, b in at]
+                for (a, _), (t, q), base in zip(at, queries, own.base(queries)):
+                    found, cosine = own.nearest(t, q, NEAREST, base=base)
+                    votes[doc[a]] = own.vote(found, cosine)
+                    evidence[doc[a]] = [{"doc_id": int(own.ids[j]), "y": int(own.y[j]), "cosine": float(c)} for j, c in zip(found[:3], cosine)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(own.score(votes)), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("y", pa.int32()), ("cosine", pa.float64())])))],
                 names=["doc_id", "held_out", "score", "evidence"],

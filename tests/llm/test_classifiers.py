@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, and the parts that have a brute-force form."""
 
+import pickle
 import random
 import zlib
 
@@ -114,3 +115,51 @@ def test_learner_weights():
 
 def test_shapes():
     assert [ftrl.shape(w) for w in ("Thnd***", "LEEUX!!", "ab-12.5", "Éa", "a", "|")] == ["Ba**", "A!!", "a-0.0", "Ba", "a", "|"]
+
+
+def test_search_goes_over_whole_vectors():
+    """Rare terms in lists and common ones in dense rows, against all cosines; the index has each term of the examples."""
+    rng = np.random.default_rng(7)
+    vectors = rng.random((900, 400)) * (rng.random((900, 400)) < np.geomspace(0.001, 0.5, 400))
+    vectors /= np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-9)
+    index = neighbours.Index(np.arange(400, dtype=np.uint64), np.ones(400), vectors, rng.integers(0, 2, 900), np.arange(900))
+    assert 0 < len(index.often) < 400 and len(index.weight) > 0
+    index = pickle.loads(pickle.dumps(index))  # as a worker has it
+    for i in range(60):
+        term = np.sort(rng.choice(400 if i % 2 else 150, rng.integers(1, 80), replace=False))
+        q = index.weigh(term, rng.integers(1, 5, len(term)))
+        cosine = vectors[:, term] @ q
+        cosine[i] = 0
+        want = [j for j in np.lexsort((np.arange(900), -cosine)) if cosine[j] > 0][:15]
+        found, got = index.nearest(term, q, 15, skip=i)
+        assert len(found) == len(want) and i not in found and np.allclose(got, cosine[want], atol=1e-6) and np.allclose(cosine[found], cosine[want], atol=1e-6)
+
+
+def test_toxic_index_keeps_every_term(spark):
+    """A text whose words are rare among marked examples, and a clean one, have neighbours; only copies verified at 0.8 go."""
+    rng = random.Random(3)
+    words = [f"w{i}q" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(300)]
+    ids = [i for i in range(10_000) if not held(i)][:302]
+    texts += [texts[0] + " tail", " ".join(texts[1].split()[:20] + ["zeppelinous"])]  # a near copy; half a text
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 10 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    index = neighbours.train(docs, labels)
+    every = neighbours.counts(pa.array(texts[:300] + texts[301:]))[1]
+    assert set(index.vocabulary.tolist()) == set(every.tolist())
+    assert sorted(index.ids.tolist()) == sorted(set(ids) - {ids[300]})
+    got = neighbours.score(spark.createDataFrame([(-1, "zeppelinous w1q")], "doc_id long, text string"), index).first()
+    assert got.evidence[0].doc_id == ids[301]
+
+
+def test_copies_by_brute_force():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 5000, 60).astype(np.uint32)) for _ in range(20)]
+    sets = [np.unique(np.append(b[rng.random(len(b)) < keep], rng.integers(0, 5000, 3).astype(np.uint32))) for b in base for keep in (1, 0.95, 0.9, 0.85, 0.8, 0.7)]
+    sets += [np.zeros(0, np.uint32)] * 2
+    stay: list[int] = []
+    for i, x in enumerate(sets):
+        like = lambda j: 100 * len(np.intersect1d(x, sets[j])) >= 80 * len(np.union1d(x, sets[j]))
+        if not any(len(x) and like(j) for j in stay):
+            stay.append(i)
+    assert neighbours.distinct(sets).tolist() == stay and len(stay) < len(sets)
