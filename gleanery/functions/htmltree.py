@@ -47,7 +47,7 @@ class Blocks(HTMLParser):
         self.links: list[str] = []
         self.plain = False  # text outside links in this block
         self.open: list[str] = []
-        self.skip = 0
+        self.skip: list[str] = []  # open elements from a noisy one on
         self.items: list[list[str]] = []
         self.pre = self.link = self.quote = 0
 
@@ -63,11 +63,14 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
+        # a start tag that ends an open paragraph or item ends a noisy one too
+        if self.skip == ["p"] and tag in BLOCKS or self.skip[:1] == ["li"] and tag == "li" and not {"ul", "ol"} & set(self.skip):
+            self.skip = []
         if self.skip:
-            self.skip += tag not in VOID
+            self.skip += [tag] * (tag not in VOID)
             return
         if is_noise(tag, attrs):
-            self.skip = int(tag not in VOID)
+            self.skip = [tag] * (tag not in VOID)
             return
         if tag in BLOCKS or tag == "hr":
             self.flush()
@@ -98,9 +101,14 @@ class Blocks(HTMLParser):
                 self.out.append({"type": "image", "text": attrs.get("alt") or "", "url": src, "hrefs": [], "link_only": False})
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.skip -= tag not in VOID
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
             return
+        if self.skip:
+            if tag not in BLOCKS - {"p"} or tag not in self.open:
+                return
+            self.skip = []
         if tag not in self.open:
             return
         while self.open:

@@ -70,3 +70,16 @@ def test_scores(spark):
     assert got == ("local", "research", "companies", "research")
     got = one(spark, *(scoring.estimate_minutes(F.lit(u), F.lit(h), F.lit(s)) for u, h, s in (("https://arxiv.org/abs/1", "companies", "x"), ("https://a", "companies", "Hacker News · 1"), ("https://a", "local", "x"), ("https://a", "companies", "x"))))
     assert got == (20, 6, 8, 5)
+
+
+def test_noise_ends_with_its_own_element():
+    """Items and paragraphs that HTML lets stand unclosed don't keep a skipped element open."""
+    from gleanery.functions.htmltree import blocks
+
+    of = lambda html: [b["text"] for b in blocks(html)]
+    assert of("<nav><ul><li>a<li>b</ul></nav><p>Text</p>") == ["Text"]
+    assert of("<footer><p>x<p>y</footer><p>Text</p>") == ["Text"]
+    assert of("<div class='ad'><p>x</div><p>Text</p>") == ["Text"]
+    assert of("<p class='ad'>Buy<p>Text</p>") == ["Text"]
+    assert of("<ul><li class='ad'>Buy<li>One</ul><p>Text</p>") == ["One", "Text"]
+    assert of("<div><aside>x</div><p>Text</p>") == ["Text"]
