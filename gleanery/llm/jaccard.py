@@ -3,10 +3,17 @@
 A document's shingles are hashed into groups; the counts per group are a
 point.  Two sets overlap in at most the summed coordinate minima of their
 points, and a set overlaps in at most that sum with the upper corner of a
-tree's box with any set inside.  Trees are built where documents meet: in the
-cells of the few shingles of each that a partner of the wanted similarity must
-share (under any one order of shingles, here: very common ones last).  Pairs
-that pass the bound are verified on whole sets.
+tree's box with any set inside.
+
+Documents meet by the few shingles of each that a partner of the wanted
+similarity must share (under any one order of shingles, here: very common ones
+last).  All that meet under a shingle go to the cell of the least of them, so
+that a group of near copies shares one or a few cells however many shingles it
+shares.  A cell's points drop the documents without a possible partner; the
+texts of the others come once a cell and are verified there on whole sets, and
+only links that join two components leave it.  A cell too heavy for a task is
+first held against a few of its documents, spread over tasks; what then is in
+other components than most of it is held against the rest in blocks.
 """
 
 from __future__ import annotations
@@ -15,10 +22,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import keys
 from . import textkit as tk
 from .graph import components
 from .storage import written
@@ -30,6 +37,14 @@ SHINGLE, PERCENT, GROUPS = 5, 80, 64
 LEAF = 32
 #: A shingle in more than one of so many documents comes last in the order. The table of those is broadcast: at most so many times the mean set size.
 COMMON = 2000
+#: Bytes of text of which a task compares or sends the shingles at once; entries of a bucket; keys of at most so many documents compare all pairs.
+SLICE, BUCKET, PAIRS = 8 << 20, 2_000_000, 8
+#: Documents and shingles of a cell, or of a block of a heavier one, that one task holds.
+CELL_DOCS, CELL_SHINGLES = 4096, 1 << 22
+#: Documents of a heavy cell that all others are held against first.
+CENTRES = 4
+#: Steps of a set's size and of a shingle's place that travel with a key, as bytes.
+_SIZES, _PLACES = 12, 255
 
 
 def sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +70,8 @@ def sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return flat[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
-def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, index in flat) of the shingles of which a partner shares one at least."""
+def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, index in flat, place in the order) of the shingles of which a partner shares one at least."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
     last = np.isin(flat, common) if len(common) else np.zeros(len(flat), bool)
@@ -65,7 +80,7 @@ def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -
     place = np.arange(len(flat)) - at[:-1][doc]
     rank = np.where(last, (n - np.diff(seen[at]))[doc] + before, place - before)
     take = np.flatnonzero(rank < (n - (percent * n + 99) // 100 + 1)[doc])
-    return doc[take], take
+    return doc[take], take, rank[take]
 
 
 def points(one: np.ndarray) -> np.ndarray:
@@ -95,18 +110,26 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A cell's points, packed by set size into leaves; each leaf has its upper corner, sizes and component."""
-
-    def __init__(self, point: np.ndarray, n: np.ndarray, component: np.ndarray):
-        self.point, self.n, self.component = point, n, component  # n ascends
-        first = np.arange(0, len(n), LEAF)
-        self.corner = np.maximum.reduceat(point, first, axis=0)
-        self.least, self.most = n[first], np.maximum.reduceat(n, first)
-        low, high = np.minimum.reduceat(component, first), np.maximum.reduceat(component, first)
+    """A cell's points, packed by set size into leaves; each leaf has its upper corner, its sizes, and its component if it has one alone."""
+
+    def __init__(self, point: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray | None = None):
+        self.point, self.n, self.component, self.side = point, n, component, side  # n ascends
+        self.first = np.arange(0, len(n), LEAF)
+        self.corner = np.maximum.reduceat(point, self.first, axis=0)
+        self.least, self.most = n[self.first], np.maximum.reduceat(n, self.first)
+        self._same()
+
+    def _same(self) -> None:
+        low, high = np.minimum.reduceat(self.component, self.first), np.maximum.reduceat(self.component, self.first)
         self.same = np.where(low == high, low, -1)
 
+    def join(self, i: int, j: int) -> None:
+        """Points i and j are in one component from now on."""
+        self.component[self.component == self.component[i]] = self.component[j]
+        self._same()
+
     def partners(self, i: int, percent: int) -> np.ndarray:
-        """Earlier points of other components that point i may be linked with."""
+        """Earlier points of other components, and with sides of the other side, that point i may be linked with."""
         n, leaf = self.n[i], i // LEAF + 1
         open_ = np.flatnonzero((self.most[:leaf] * 100 >= percent * n) & (self.same[:leaf] != self.component[i]))
         if len(open_):
@@ -116,181 +139,341 @@ class Tree:
         j = (open_[:, None] * LEAF + np.arange(LEAF)).ravel()
         j = j[j < i]
         j = j[(self.component[j] != self.component[i]) & (self.n[j] * 100 >= percent * n)]
+        if self.side is not None:
+            j = j[self.side[j] != self.side[i]]
         return j[_bound(self.point[j], self.point[i][None]) >= needed(self.n[j], n, percent)]
 
 
-def _leaders(point: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Each point with the first leader that it may be linked with; a point without one leads."""
-    lead = np.zeros(len(n), np.int64)
-    count, out = 0, []
-    for i in range(len(n)):
-        own = lead[:count]
-        own = own[np.minimum(n[own], n[i]) * 100 >= percent * np.maximum(n[own], n[i])]
-        fit = own[_bound(point[own], point[i][None]) >= needed(n[own], n[i], percent)] if len(own) else own
-        if len(fit):
-            out.append((int(fit[0]), i))
-        else:
-            lead[count] = i
-            count += 1
-    return out
-
-
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), copy_of (least doc_id with the same set).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
-    shingle sets.  A cell's documents are first held against its leaders; then
-    against each other where they are in different components still, so no
-    link between components is lost, and a group of near copies costs its size.
+    shingle sets.  No link between two components is lost; inside a component
+    only those that join it are looked for, so a group of near copies costs its
+    size and not its pairs.
 
     A null or empty text has no shingles and is linked with nothing; a null
     doc_id is less than all others and comes back null; rows that share a
-    doc_id are one document; other columns are left out; no rows give none.
+    doc_id are one document, which links as each of its texts does; other
+    columns are left out; no rows give none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    digest = written(rows.mapInArrow(lambda b: _digest(b, k), "doc long, n long, s1 long, s2 long, times long"), "digests")
-    sizes = digest.where("doc is not null")
-    n_docs = sizes.count()
-    hot = digest.where("times is not null").groupBy("s1").agg(F.sum("times").alias("n")).where(F.col("n") * COMMON > n_docs).select("s1")
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)))
-    classes = sizes.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
-    own = rows.join(classes.select(F.col("rep").alias("doc")).distinct().hint("shuffle_hash"), "doc", "left_semi")
-
-    def entries(part: pa.RecordBatch) -> keys.Entries:
-        flat, at = sets(part.column("text"), k)
-        doc, take = prefix(flat, at, common.value, percent)
-        ids = part.column("doc").to_numpy()
-        return flat[take], np.zeros(len(take), np.uint32), ids[doc], (take - at[doc]).astype(np.int32)
-
-    features = written(keys.joined(own, keys.marked(own, entries), "inner").mapInArrow(lambda b: _features(b, k), "doc long, n long, fine binary, keys array<long>"), "features")
-    cells = features.select("doc", "n", "fine", F.explode("keys").alias("key"))
-    links = written(_verified(written(_meet(cells, percent, None), "candidates"), rows, percent, k), "verified")
-    found = components(links)
-    known = cells.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    more = _verified(written(_meet(known, percent, "component"), "candidates"), rows, percent, k)
-    found = components(links.unionAll(more))
-    reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    out = sizes.join(reps, ["s1", "s2", "n"], "left")
+    digest = written(rows.mapInArrow(lambda b: _digest(b, k), "doc long, n long, s1 long, s2 long, point binary, times long"), "digests")
+    sizes = digest.where("n is not null")
+    n_docs, n_shingles = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = digest.where("times is not null").groupBy("s1").agg(F.sum("times").alias("n"), F.min("doc").alias("lead")).where(F.col("n") * COMMON > n_docs).select("s1", "lead").collect()
+    hot = sorted((r.s1 & ((1 << 64) - 1), r.lead) for r in hot)
+    common = spark.sparkContext.broadcast((np.array([h[0] for h in hot], np.uint64), np.array([h[1] for h in hot], np.int64)))
+    classes = written(sizes.where("n > 0").groupBy("s1", "s2", "n", "point").agg(F.min("doc").alias("rep")), "classes")
+    named = sizes.select("doc", "s1", "s2", "n").join(classes.drop("point"), ["s1", "s2", "n"], "left")
+
+    # documents meet: those without words or partners have no row
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * (100 - percent) / 100 + n_docs) // BUCKET)
+    sent = rows.mapInArrow(lambda b: _entries(b, k, percent, common, buckets), "bucket int, keys binary, docs binary, sizes binary, places binary, leads binary")
+    met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent), "lead long, doc long")
+    cells = written(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").select("lead", F.col("rep").alias("doc"), "n").distinct(), "cells")
+    centres = [F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(i))) for i in range(CENTRES - 1))]
+    weights = cells.groupBy("lead").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*centres)).alias("centres"))
+    heavy = written(weights.where((F.col("docs") > CELL_DOCS) | (F.col("shingles") > CELL_SHINGLES)).where("docs > 1").select("lead", "centres", _blocks("docs", "shingles").alias("blocks")), "heavy")
+    light = cells.join(heavy, "lead", "left_anti").join(classes.select(F.col("rep").alias("doc"), "n", "point"), ["doc", "n"])
+    near = written(_by(light, ["lead"]).mapInArrow(lambda b: _near(b, percent), "lead long, doc long").distinct(), "near")
+    large = cells.join(heavy, "lead")
+    texts = written(rows.join(near.select("doc").unionAll(large.select("doc")).distinct(), "doc", "left_semi").distinct(), "texts")
+
+    # a light cell in one task, a heavy one against a few of its documents
+    task = near.select("lead", F.lit(0).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "doc", F.col("doc").alias("component"))
+    several = named.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc", "a")  # texts of one doc_id
+    links = written(_linked(task, texts, percent, k).unionAll(several.join(named, "doc").select("a", F.col("rep").alias("b"))), "links")
+    if heavy.isEmpty():
+        found = components(links)
+    else:
+        links = links.unionAll(written(_stars(large, texts, percent, k), "stars"))
+        known = large.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        found = components(links.unionAll(written(_linked(_block_pairs(written(known, "known")), texts, percent, k), "links")))
+    reps = named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep", "doc")).alias("component_id"), real(F.coalesce("rep", "doc")).alias("copy_of"))
+    return reps.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep", "doc")).alias("component_id"), real(F.coalesce("rep", "doc")).alias("copy_of"))
+
+
+def _by(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the same names in one task, one after another."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
+
+
+def _blocks(docs: str, shingles: str):
+    """How many blocks of what a task may hold."""
+    return F.greatest(F.ceil(F.col(docs) / CELL_DOCS), F.ceil(F.col(shingles) / CELL_SHINGLES), F.lit(1)).cast("int")
+
+
+def _sums(flat: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each set."""
+    one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(flat + np.uint64(salt)))])
+    return (one[at[1:]] - one[at[:-1]]).view(np.int64)
 
 
 def _digest(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document with the size and a 128-bit hash of its set, and one for each shingle that is often in a slice."""
-    for part in tk.merged(batches, limit=keys.SLICE):
+    """A row for each document with the size, a 128-bit hash and the point of its set, and one for each shingle that is often in a slice, with a document."""
+    for part in tk.merged(batches, limit=SLICE):
         flat, at = sets(part.column("text"), k)
-        n = np.diff(at)
-        one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(flat + np.uint64(salt)))]) for salt in (1, 0x5851F42D4C957F2D))
-        s1, s2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (one, two))
-        names, times = np.unique(flat, return_counts=True)
+        ids, n = part.column("doc").to_numpy(), np.diff(at)
+        fine = [points(flat[a:b]).tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
+        names, where, times = np.unique(flat, return_index=True, return_counts=True)
         often = times >= 4
-        none = pa.nulls(int(often.sum()), pa.int64())
+        doc = ids[np.searchsorted(at, where[often], "right") - 1]
+        m = int(often.sum())
         blank = pa.nulls(len(n), pa.int64())
-        columns = [(part.column("doc"), none), (pa.array(n), none), (pa.array(s1), pa.array(names[often].view(np.int64))), (pa.array(s2), none), (blank, pa.array(times[often]))]
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(pa.int64()), b]) for a, b in columns], names=["doc", "n", "s1", "s2", "times"])
+        columns = [(pa.array(ids), pa.array(doc)), (pa.array(n), pa.nulls(m, pa.int64())), (pa.array(_sums(flat, at, 1)), pa.array(names[often].view(np.int64))), (pa.array(_sums(flat, at, 0x5851F42D4C957F2D)), pa.nulls(m, pa.int64())), (pa.array(fine, pa.binary()), pa.nulls(m, pa.binary())), (blank, pa.array(times[often]))]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in columns], names=["doc", "n", "s1", "s2", "point", "times"])
 
 
-def _features(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for part in tk.slices(batches):
+def _entries(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: Broadcast, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The shingles by which documents meet, many in a row, by bucket. A very common one has its cell by its table and meets in none."""
+    names, leads = common.value
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "docs", "sizes", "places", "leads"))])
+    for part in tk.merged(batches, limit=SLICE):
         flat, at = sets(part.column("text"), k)
-        fine = [points(flat[a:b]) for a, b in zip(at, at[1:])]
-        rows, marks = keys.positions(part.column("marks"))
-        ok = marks < np.diff(at)[rows]  # else another text of the same doc_id
-        rows, marks = rows[ok], marks[ok]
-        n = np.bincount(rows, minlength=len(at) - 1)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc"), pa.array(np.diff(at)), pa.array([x.tobytes() for x in fine], pa.binary()), tk.int_lists(flat[at[rows] + marks].view(np.int64), np.concatenate([[0], np.cumsum(n)]), pa.int64())],
-            names=["doc", "n", "fine", "keys"],
-        )
-
-
-def _meet(cells: DataFrame, percent: int, component: str | None) -> DataFrame:
-    """Candidate pairs a, b of all cells: without components each document and a leader, with them all of different components."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        get = lambda name: t.column(name).to_numpy()
-        key, doc, n = get("key"), get("doc"), get("n")
-        # leaders are the least documents, the same in many cells; trees go by size
-        order = np.lexsort((doc, n, key) if component else (doc, key))
-        key, doc, n = key[order], doc[order], n[order]
-        own: dict[int, tuple[np.ndarray, int]] = {}  # a document's point stands in many cells
-        for d, m, x in zip(get("doc").tolist(), get("n").tolist(), t.column("fine").to_pylist()):
-            if d not in own:
-                own[d] = np.frombuffer(x, np.uint8), m
-        names = np.array(sorted(own), np.int64)
-        point = np.stack([folded(*((own[d][0], GROUPS, own[d][1]))) for d in names.tolist()])[np.searchsorted(names, doc)]
-        part = get(component)[order] if component else None
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(first[1:], len(key))
-        size = ends - first
-        small = np.flatnonzero((size > 1) & (size <= LEAF))
-        at = tk.gather(first[small], size[small])
-        if component:
-            after = np.repeat(ends[small], size[small]) - at - 1
-            a, b = np.repeat(at, after), tk.gather(at + 1, after)
-            apart = part[a] != part[b]
+        ids, n = part.column("doc").to_numpy(), np.diff(at)
+        # of equal sets of a slice the least document goes
+        same = _sums(flat, at, 1)
+        order = np.lexsort((ids, same))
+        stays = np.zeros(len(n), bool)
+        stays[order[np.concatenate([[True], same[order][1:] != same[order][:-1]])]] = True
+        doc, take, place = prefix(flat, at, names, percent)
+        own = stays[doc]
+        doc, key, place = doc[own], flat[take[own]], place[own]
+        rows = []
+        if len(names):
+            i = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            hot = names[i] == key
+            if hot.any():
+                pairs = np.unique(np.stack([leads[i[hot]], ids[doc[hot]]], 1), axis=0)
+                rows.append((int(ids[0] % buckets), b"", pairs[:, 1].astype("<i8").tobytes(), b"", b"", pairs[:, 0].astype("<i8").tobytes()))
+            doc, key, place = doc[~hot], key[~hot], place[~hot]
+        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((ids[doc], bucket))
+        doc, key, place, bucket = doc[order], (key[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), place[order], bucket[order]
+        size = np.minimum(np.log2(np.maximum(n, 1)) * _SIZES, 255).astype(np.uint8)[doc]
+        place = (place * _PLACES // np.maximum(n[doc], 1)).astype(np.uint8)
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        for b, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
+            if z > a:
+                own = ids[doc[a:z]]
+                step = np.diff(own)
+                # ascending: the first, then 32-bit steps
+                near = own[0] >= 0 and (not len(step) or step.max() < 1 << 32)
+                sent = own[:1].astype("<i8").tobytes() + step.astype("<u4").tobytes() if near else own.astype("<i8").tobytes()
+                rows.append((b, key[a:z].tobytes(), sent, size[a:z].tobytes(), place[a:z].tobytes(), b""))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _cells(table: pa.Table, percent: int) -> pa.Table:
+    """(lead, doc) of the documents that meet in a bucket: under each key those that may have a partner by size and place go to the least of them."""
+    get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+    key, size, place, lead = get("keys", "<u4"), get("sizes", "u1").astype(np.int64), get("places", "u1").astype(np.int64), get("leads", "<i8")
+    docs, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, x in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist()):
+        if not k:
+            known.append(np.frombuffer(x, "<i8"))
+        elif len(x) == 2 * len(k) and len(k) > 4:
+            docs.append(np.frombuffer(x, "<i8"))
         else:
-            a, b = np.repeat(first[small], size[small]), at
-            apart = doc[a] != doc[b]
-        near = apart & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
-        a, b = a[near], b[near]
-        seen = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
-        a, b = a[seen], b[seen]
-        a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            docs.append(np.frombuffer(x, "<i8", 1)[0] + np.concatenate([[0], np.cumsum(np.frombuffer(x, "<u4", offset=8).astype(np.int64))]))
+    doc = np.concatenate(docs)
+    order = np.lexsort((doc, size, key))
+    key, doc, size, place = key[order], doc[order], size[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    m = np.diff(np.append(first, len(key)))
+    t = percent / 100
+    share = t / (1 + t)
+    step = np.arange(-256, 257)
+    ratio = 2.0 ** ((step - 1) / _SIZES)  # at least so much larger is a set that is so many steps larger
+    fits = 2.0 ** ((np.abs(step) - 1) / _SIZES) * t <= 1 + 1e-9
+    last = _PLACES * (1 - share * (1 + ratio)) + 1e-6  # a first common shingle stands no later
+    good = np.zeros(len(key), bool)
+    few = (m > 1) & (m <= PAIRS)
+    at = tk.gather(first[few], m[few])
+    after = np.repeat(first[few] + m[few], m[few]) - at - 1
+    a, b = np.repeat(at, after), tk.gather(at + 1, after)
+    d = size[b] - size[a]
+    ok = (doc[a] != doc[b]) & ((size[b] == 255) | fits[d + 256] & (place[a] <= last[d + 256]) & (place[b] <= last[256 - d]))
+    good[a[ok]] = True
+    good[b[ok]] = True
+    many = np.repeat(m > PAIRS, m)
+    close = (key[1:] == key[:-1]) & many[1:] & (fits[size[1:] - size[:-1] + 256] | (size[1:] == 255))
+    good[1:] |= close
+    good[:-1] |= close
+    key, doc = key[good], doc[good]
+    if len(key):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lead = np.concatenate([np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key)))), lead])
+    pairs = np.unique(np.stack([lead, np.concatenate([doc, *known])], 1), axis=0)
+    return pa.table({"lead": pairs[:, 0], "doc": pairs[:, 1]})
+
+
+def _tasks(batches: Iterable[pa.RecordBatch], names: list[str], limit: int, size) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of about ``limit`` that cut no run of equal names; and where each run begins, and the end."""
+
+    def runs(t: pa.Table) -> np.ndarray:
+        cut = np.zeros(max(t.num_rows - 1, 0), bool)
+        for c in names:
+            x = t.column(c).to_numpy()
+            cut |= x[1:] != x[:-1]
+        return np.concatenate([[0], np.flatnonzero(cut) + 1, [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        have += size(batch)
+        if have >= limit:
+            t = pa.Table.from_batches(held)
+            at = runs(t)
+            if len(at) > 2:
+                yield t.slice(0, at[-2]).combine_chunks(), at[:-1]
+            held = t.slice(at[-2]).to_batches()
+            have = sum(map(size, held))
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, runs(t)
+
+
+def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(lead, doc) of those whose points allow a partner in the cell."""
+    for t, at in _tasks(batches, ["lead"], 16 << 20, lambda b: b.nbytes):
+        lead, doc, n = (t.column(c).to_numpy() for c in ("lead", "doc", "n"))
+        order = np.lexsort((n, lead))
+        lead, doc, n = lead[order], doc[order], n[order]
+        raw = t.column("point").to_pylist()
+        fine = [np.frombuffer(raw[i], np.uint8) for i in order.tolist()]
+        point = np.stack([folded(x, GROUPS, m) for x, m in zip(fine, n.tolist())])
+        good = np.zeros(len(doc), bool)
+        m = np.diff(at)
+        small = np.flatnonzero((m > 1) & (m <= LEAF))
+        own = tk.gather(at[small], m[small])
+        after = np.repeat(at[1:][small], m[small]) - own - 1
+        a, b = np.repeat(own, after), tk.gather(own + 1, after)
+        fit = (doc[a] != doc[b]) & (n[a] * 100 >= percent * n[b])
+        a, b = a[fit], b[fit]
         for i in range(0, len(a), 1 << 16):
             x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
             ok = _bound(point[x], point[y]) >= needed(n[x], n[y], percent)
-            a_all.append(doc[x[ok]])
-            b_all.append(doc[y[ok]])
-        for f, e in zip(first[size > LEAF], ends[size > LEAF]):
-            if component is None:
-                found = np.array(_leaders(point[f:e], n[f:e], percent), np.int64).reshape(-1, 2)
-                a_all.append(doc[f:e][found[:, 0]])
-                b_all.append(doc[f:e][found[:, 1]])
-            elif part[f:e].min() != part[f:e].max():
-                tree = Tree(point[f:e], n[f:e], part[f:e])
-                for i in range(e - f):
-                    j = tree.partners(i, percent)
-                    a_all.append(doc[f:e][j])
-                    b_all.append(np.full(len(j), doc[f + i]))
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        # a box and a leaf go by few groups, a pair by as many as its sizes ask for
-        sizes = ((own[x], own[y]) for x, y in pairs.tolist())
-        pairs = pairs[[bound(p, q, m, n_) >= needed(m, n_, percent) for (p, m), (q, n_) in sizes]] if len(pairs) else pairs
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    columns = ["key", "doc", "n", "fine", *([component] if component else [])]
-    n_parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.select(columns).repartition(n_parts, "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs whose whole sets are linked."""
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tk.slices(batches):
-            flat, at = sets(part.column("text"), k)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), tk.blobs(flat, at)], names=["doc", "shingles"])
+            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                if not (good[p] and good[q]) and bound(fine[p], fine[q], n[p], n[q]) >= needed(n[p], n[q], percent):
+                    good[p] = good[q] = True
+        for f, e in zip(at[:-1][m > LEAF].tolist(), at[1:][m > LEAF].tolist()):
+            tree = Tree(point[f:e], n[f:e], doc[f:e].copy())
+            for i in range(f + 1, e):
+                j = tree.partners(i - f, percent) + f
+                j = j[np.argsort(good[j], kind="stable")]  # those without a partner so far, all; then any
+                for q in j.tolist():
+                    if good[q] and good[i]:
+                        break
+                    if bound(fine[q], fine[i], n[q], n[i]) >= needed(n[q], n[i], percent):
+                        good[q] = good[i] = True
+        yield pa.RecordBatch.from_arrays([pa.array(lead[good]), pa.array(doc[good])], names=["lead", "doc"])
+
+
+_TASK = ["lead", "kind", "x", "y"]
+
+
+def _linked(rows: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links a, b that join components: verified inside each task's documents, or with two kinds of sides between them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                i = np.searchsorted(q, p)
-                both = int((q[np.minimum(i, len(q) - 1)] == p).sum()) if len(q) else 0
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
-
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "pair-ids")
-    own = written(rows.join(ids, "doc", "left_semi").mapInArrow(whole, "doc long, shingles binary"), "pair-sets")
-    of = lambda id_, name: own.select(F.col("doc").alias(id_), F.col("shingles").alias(name))
-    return pairs.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+        for t, at in _tasks(batches, _TASK, tk.SLICE_BYTES, lambda b: b.nbytes):
+            flat, ends = sets(t.column("text").chunk(0), k)
+            n = np.diff(ends)
+            doc, side = t.column("doc").to_numpy(), t.column("side").to_numpy()
+            names, component = np.unique(t.column("component").to_numpy(), return_inverse=True)
+            kinds, codes = np.unique(flat, return_inverse=True)
+            mark = np.zeros(len(kinds), np.int32)
+            groups = np.repeat(np.arange(len(n)) * GROUPS, n) + (flat & np.uint64(GROUPS - 1)).astype(np.int64)
+            point = np.bincount(groups, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+            found = [np.zeros((0, 2), np.int64)]
+            for f, e in zip(at.tolist(), at[1:].tolist()):
+                if e - f > 1:
+                    order = f + np.argsort(n[f:e], kind="stable")
+                    sides = side[order] if side[f:e].min() != side[f:e].max() else None
+                    pairs = _unite(Tree(point[order], n[order], component[order], sides), codes, ends[order], mark, percent)
+                    found.append(doc[order][pairs])
+            out = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return _by(rows.join(texts, "doc"), _TASK).mapInArrow(run, "a long, b long").distinct()
+
+
+def _unite(tree: Tree, codes: np.ndarray, at: np.ndarray, mark: np.ndarray, percent: int) -> np.ndarray:
+    """Verified links between different components of a tree's sets; each makes its two components one. mark is a blank for all codes."""
+    out = []
+    for i in range(1, len(tree.n)):
+        j = tree.partners(i, percent)
+        if not len(j):
+            continue
+        own = codes[at[i] : at[i] + tree.n[i]]
+        mark[own] = 1
+        some = 1
+        while len(j):
+            # a few of each component, then more
+            j = j[np.argsort(tree.component[j], kind="stable")]
+            c = tree.component[j]
+            begins = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            rank = np.arange(len(j)) - np.repeat(begins, np.diff(np.append(begins, len(j))))
+            now, j = j[rank < some], j[rank >= some]
+            both = np.add.reduceat(mark[codes[tk.gather(at[now], tree.n[now])]], np.cumsum(tree.n[now]) - tree.n[now])
+            for q in now[100 * both >= percent * (tree.n[now] + tree.n[i] - both)].tolist():
+                if tree.component[q] != tree.component[i]:
+                    out.append((q, i))
+                    tree.join(q, i)
+            j = j[tree.component[j] != tree.component[i]]
+            some *= 4
+        mark[own] = 0
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _stars(cells: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links a, b of the centres of heavy cells with their documents; a centre goes to every block of its cell."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+        for part in tk.slices(batches):
+            flat, at = sets(part.column("text"), k)
+            out = []
+            names = ("lead", "block", "doc", "member")
+            for lead, block, doc, member, a, b in zip(*(part.column(c).to_pylist() for c in names), at.tolist(), at[1:].tolist()):
+                if (lead, block) != of:
+                    of, held = (lead, block), []
+                for other, one in held:
+                    low, high = sorted((len(one), b - a))
+                    if other != doc and low * 100 >= percent * high:
+                        p = np.searchsorted(one, flat[a:b])
+                        both = int((one[np.minimum(p, len(one) - 1)] == flat[a:b]).sum())
+                        if 100 * both >= percent * (low + high - both):
+                            out.append((other, doc))
+                if not member:
+                    held.append((doc, flat[a:b].copy()))
+            links = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    member = ~F.array_contains("centres", F.col("doc"))
+    block = F.when(member, F.array(F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = cells.select("lead", "doc", member.alias("member"), F.explode(block).alias("block")).join(texts, "doc")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "lead", "block").sortWithinPartitions("lead", "block", "member").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_pairs(known: DataFrame) -> DataFrame:
+    """Tasks for the documents of heavy cells: those outside the largest component of a cell, block by block, against its blocks and each other's."""
+    per = known.groupBy("lead", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    main = per.groupBy("lead").agg(F.max_by("component", F.struct("docs", "component")).alias("main"), F.max(F.struct("docs", "component", "shingles")).alias("top"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    parts = main.where("docs > top.docs").select("lead", "main", F.expr("docs - top.docs as d"), F.expr("shingles - top.shingles as s"), F.col("top.docs").alias("md"), F.col("top.shingles").alias("ms"))
+    parts = parts.select("lead", "main", _blocks("md", "ms").alias("mains"), _blocks("d", "s").alias("rests"))
+    rows = known.join(parts, "lead").withColumn("block", F.expr("cast(pmod(xxhash64(doc), if(component = main, mains, rests)) as int)"))
+    to = """if(component = main,
+        transform(sequence(0, rests - 1), j -> named_struct('kind', 1, 'x', block, 'y', j, 'side', 0)),
+        concat(transform(sequence(0, mains - 1), i -> named_struct('kind', 1, 'x', i, 'y', block, 'side', 1)),
+            transform(sequence(0, rests - 1), j -> named_struct('kind', 2, 'x', least(block, j), 'y', greatest(block, j), 'side', cast(block > j as int)))))"""
+    return rows.select("lead", F.explode(F.expr(to)).alias("t"), "doc", "component").select("lead", "t.*", "doc", "component")

@@ -21,8 +21,18 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Fixed value: Spark's setting that removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, name: str = "table") -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, read whole after a lost executor."""
-    path = fresh(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame as a Parquet table in the shared folder: computed once, read whole after a lost executor. Its shuffle files go when it is written."""
+    spark = frame.sparkSession
+    path = fresh(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)

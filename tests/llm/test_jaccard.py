@@ -34,8 +34,10 @@ def brute(rows, percent=80, k=5):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("percent,seed", [(80, 0), (80, 1), (60, 2), (95, 3)])
-def test_against_all_pairs(spark, percent, seed, monkeypatch):
+@pytest.mark.parametrize("percent,seed,common,cell", [(80, 0, 2000, 4096), (80, 1, 3, 4096), (60, 2, 3, 6), (95, 3, 2000, 6), (80, 4, 3, 6), (80, 5, 2000, 4)])
+def test_against_all_pairs(spark, percent, seed, common, cell, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "CELL_DOCS", cell)
     rng = random.Random(seed)
     words = [f"W{i}" for i in range(300)]
     shared = [rng.choice(words) for _ in range(12)]
@@ -49,6 +51,13 @@ def test_against_all_pairs(spark, percent, seed, monkeypatch):
             if rng.random() < 0.3:
                 text = text[: rng.randint(len(text) * 2 // 3, len(text))]
             rows.append((len(rows) * 17 % 997, (" " if rng.random() < 0.5 else "\n").join(text if rng.random() < 0.8 else [w.lower() for w in text])))
+    # a group of near misses: most of its pairs stay under the mark
+    base = [rng.choice(words) for _ in range(60)]
+    for _ in range(40):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 2])):
+            text[rng.randrange(60)] = rng.choice(words)
+        rows.append((1000 + len(rows), " ".join(text)))
     rows += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A b"), (2004, "a"), (None, rows[0][1]), (2005, "a b c d"), (2006, "É b c d e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as doc", "2 as n", "'x' as marks").repartition(3)
     got = jaccard.jaccard_classes(docs, percent).collect()
@@ -58,6 +67,19 @@ def test_against_all_pairs(spark, percent, seed, monkeypatch):
     assert {name(r.doc_id): (r.n_shingles, name(r.component_id)) for r in got} == want
 
 
+def test_very_long_and_repeated_ids(spark):
+    rng = random.Random(8)
+    long = [f"v{rng.randrange(5000)}" for _ in range(60_000)]
+    near = list(long)
+    near[100] = near[40_000] = "other"
+    few = "a b c d e f g"
+    rows = [(5, " ".join(long)), (3, " ".join(near)), (9, " ".join(long[:40_000])), (7, few), (7, "h i j k l m"), (8, few), (6, "h i j k l m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted({(r.doc_id, r.component_id) for r in jaccard.jaccard_classes(docs).collect()})
+    # document 7 has two texts and links as each does
+    assert got == [(3, 3), (5, 3), (6, 6), (7, 6), (8, 6), (9, 9)]
+
+
 def test_nothing_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (0, "A B c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_classes(docs).collect()) == [(0, 0), (1, 0), (1, 0)]
