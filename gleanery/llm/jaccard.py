@@ -37,10 +37,10 @@ SHINGLE, PERCENT, GROUPS = 5, 80, 64
 LEAF = 32
 #: A shingle in more than one of so many documents comes last in the order. The table of those is broadcast: at most so many times the mean set size.
 COMMON = 2000
-#: Bytes of text of which a task compares or sends the shingles at once; entries of a bucket; keys of at most so many documents compare all pairs.
-SLICE, BUCKET, PAIRS = 8 << 20, 2_000_000, 8
+#: Bytes of text of which a task sends the shingles at once; entries of a bucket, about.
+SLICE, BUCKET = 8 << 20, 2_000_000
 #: Documents and shingles of a cell, or of a block of a heavier one, that one task holds.
-CELL_DOCS, CELL_SHINGLES = 4096, 1 << 22
+CELL_DOCS, CELL_SHINGLES = 1024, 1 << 22
 #: Documents of a heavy cell that all others are held against first.
 CENTRES = 4
 #: Steps of a set's size and of a shingle's place that travel with a key, as bytes.
@@ -171,7 +171,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     # documents meet: those without words or partners have no row
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * (100 - percent) / 100 + n_docs) // BUCKET)
     sent = rows.mapInArrow(lambda b: _entries(b, k, percent, common, buckets), "bucket int, keys binary, docs binary, sizes binary, places binary, leads binary")
-    met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent), "lead long, doc long")
+    met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent, buckets), "owner int, leads binary, docs binary").groupBy("owner").applyInArrow(_once, "lead long, doc long")
     cells = written(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").select("lead", F.col("rep").alias("doc"), "n").distinct(), "cells")
     centres = [F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(i))) for i in range(CENTRES - 1))]
     weights = cells.groupBy("lead").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*centres)).alias("centres"))
@@ -268,8 +268,11 @@ def _entries(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: Br
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def _cells(table: pa.Table, percent: int) -> pa.Table:
-    """(lead, doc) of the documents that meet in a bucket: under each key those that may have a partner by size and place go to the least of them."""
+_MET = pa.schema([("owner", pa.int32()), ("leads", pa.binary()), ("docs", pa.binary())])
+
+
+def _cells(table: pa.Table, percent: int, buckets: int) -> pa.Table:
+    """(lead, doc) of the documents that meet in a bucket, many in a row, by bucket of the document: under each key those that may have a partner by size and place go to the least of them."""
     get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
     key, size, place, lead = get("keys", "<u4"), get("sizes", "u1").astype(np.int64), get("places", "u1").astype(np.int64), get("leads", "<i8")
     docs, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -281,34 +284,45 @@ def _cells(table: pa.Table, percent: int) -> pa.Table:
         else:
             docs.append(np.frombuffer(x, "<i8", 1)[0] + np.concatenate([[0], np.cumsum(np.frombuffer(x, "<u4", offset=8).astype(np.int64))]))
     doc = np.concatenate(docs)
-    order = np.lexsort((doc, size, key))
+    place[size == 255] = 0  # of unknown size
+    order = np.lexsort((place, size, key))
     key, doc, size, place = key[order], doc[order], size[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    m = np.diff(np.append(first, len(key)))
+    # runs of a key and a size; who may be a partner goes by the least place of each run near by
+    cell = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) * 1024 + 256 if len(key) else np.zeros(0, np.int64)
+    name = cell + size
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(key)))
+    runs, least = name[first], place[first]
+    second = np.where(many > 1, place[np.minimum(first + 1, max(len(key) - 1, 0))], 1 << 20)
+    own = np.repeat(np.arange(len(first)), many)
+    leading = np.zeros(len(key), bool)
+    leading[first] = True
     t = percent / 100
     share = t / (1 + t)
-    step = np.arange(-256, 257)
-    ratio = 2.0 ** ((step - 1) / _SIZES)  # at least so much larger is a set that is so many steps larger
-    fits = 2.0 ** ((np.abs(step) - 1) / _SIZES) * t <= 1 + 1e-9
-    last = _PLACES * (1 - share * (1 + ratio)) + 1e-6  # a first common shingle stands no later
+    ratio = lambda d: 2.0 ** ((d - 1) / _SIZES)  # noqa: E731  at least so much larger is a set that is d steps larger
+    last = lambda d: _PLACES * (1 - share * (1 + ratio(d))) + 1e-6  # noqa: E731  a first common shingle stands no later
     good = np.zeros(len(key), bool)
-    few = (m > 1) & (m <= PAIRS)
-    at = tk.gather(first[few], m[few])
-    after = np.repeat(first[few] + m[few], m[few]) - at - 1
-    a, b = np.repeat(at, after), tk.gather(at + 1, after)
-    d = size[b] - size[a]
-    ok = (doc[a] != doc[b]) & ((size[b] == 255) | fits[d + 256] & (place[a] <= last[d + 256]) & (place[b] <= last[256 - d]))
-    good[a[ok]] = True
-    good[b[ok]] = True
-    many = np.repeat(m > PAIRS, m)
-    close = (key[1:] == key[:-1]) & many[1:] & (fits[size[1:] - size[:-1] + 256] | (size[1:] == 255))
-    good[1:] |= close
-    good[:-1] |= close
+    if len(runs):
+        wide = max(d for d in range(256) if ratio(d) * t <= 1 + 1e-9)
+        for d in range(-wide, wide + 1):
+            at = np.minimum(np.searchsorted(runs, runs + d), len(runs) - 1)
+            other = np.where(runs[at] == runs + d, least[at], 1 << 20)[own]
+            if d == 0:
+                other = np.where(leading, second[own], other)
+            good |= (place <= last(d)) & (other <= last(-d))
     key, doc = key[good], doc[good]
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lead = np.concatenate([np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key)))), lead])
-    pairs = np.unique(np.stack([lead, np.concatenate([doc, *known])], 1), axis=0)
+    pairs = np.unique(np.stack([tk.mix(np.concatenate([doc, *known]).view(np.uint64)) % np.uint64(buckets), lead.view(np.uint64), np.concatenate([doc, *known]).view(np.uint64)], 1), axis=0)
+    at = np.append(np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])), len(pairs)) if len(pairs) else np.zeros(1, np.int64)
+    return pa.table([pa.array(pairs[at[:-1], 0].astype(np.int32)), tk.blobs(pairs[:, 1].view(np.int64), at), tk.blobs(pairs[:, 2].view(np.int64), at)], schema=_MET)
+
+
+def _once(table: pa.Table) -> pa.Table:
+    """The pairs (lead, doc) of a bucket of documents, each once."""
+    pairs = np.stack([np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in table.column(c).to_pylist())]) for c in ("leads", "docs")], 1)
+    pairs = np.unique(pairs, axis=0)
     return pa.table({"lead": pairs[:, 0], "doc": pairs[:, 1]})
 
 
