@@ -6,13 +6,22 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from gleanery.llm import packing, repair, tokens
 
-TEXTS = ["", None, "a\x0bb\x0cc\x1cd é", " lead", "x  y   z  ", "foo.\nBar  q", "a \nb\n c", "Don't we'll ÀÉ ß\xa0x", "<|endoftext|> hi", "\n\n a \n\n", "É é.", "AB.Cd a.b, ÉÀ., ab...", "x.\nYz! ab\nc", "x_y. a'b. a.'s", "word " * 9000]
+TEXTS = ["", None, "a\x0bb\x0cc\x1cd é", " lead", "x  y   z  ", "foo.\nBar  q", "a \nb\n c", "Don't we'll ÀÉ ß\xa0x", "<|endoftext|> hi", "\n\n a \n\n", "É é.", "AB.Cd a.b, ÉÀ., ab...", "x.\nYz! ab\nc", "x_y. a'b. a.'s", "İI straße x² ŉa ǅ ﬁne, x\u0301y J\u030c. ٣a", "a<|endoftext|>b <|STARTOFTEXT|>", "lead  <|startoftext|>x", "word " * 9000]
 FILES = [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")]
 
 
+@pytest.mark.parametrize("name,cut", FILES)
+def test_ids_are_those_of_the_library_as_it_comes(name, cut):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    ids, at = tokens.Encoder(public_tokenizers.path(name), cut).encode(pa.array(TEXTS), 7)
+    for text, a, b in zip(TEXTS, at, at[1:]):
+        assert ids[a:b].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 7]
+
+
 @pytest.mark.parametrize("name,cut", FILES)
 def test_cached_pieces_give_the_ids_of_whole_texts(name, cut):
     coder = tokens.Encoder(public_tokenizers.path(name), cut)
