@@ -25,23 +25,28 @@ SHARD_IDS = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: A pair that occurs less often in its shard isn't replaced.
 MIN_COUNT = 8
-#: Rounds end when one shortens the sequence by less than this share.
-MIN_GAIN = 0.05
 FILE = "part int, shard int, part_start long, n_ids long, terminals int, doc_ids binary, doc_ends binary, left binary, right binary, expand binary, body binary"
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(body, left, right, terminals): rule i expands symbol ``terminals + i`` to left[i], right[i]."""
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(body, left, right, terminals): rule i expands symbol ``terminals + i`` to left[i], right[i].
+
+    Rounds go on until none of the hashes of pairs shows one that can be
+    replaced ``min_count`` times.
+    """
     body = np.asarray(ids, np.uint64)
     terminals = int(body.max()) + 1 if len(body) else 0
     left, right, symbols = [], [], terminals
-    bits = max(10, min(22, int(len(body)).bit_length()))
-    while len(body) > min_count:
-        pairs = (body[:-1] << np.uint64(32)) | body[1:]
+    live = np.arange(max(len(body) - 1, 0))  # where pairs begin that may be frequent: no other becomes so without a new symbol
+    turn = idle = 0
+    while len(live) >= min_count and idle < len(_ODD):
+        bits = max(10, min(22, int(len(live)).bit_length()))
+        pairs = (body[live] << np.uint64(32)) | body[live + 1]
         # pairs meet in slots; where two share a slot, the other waits for another round's hash
-        slot = ((pairs * _ODD[len(left) % len(_ODD)]) >> np.uint64(64 - bits)).astype(np.int32)
-        often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= min_count)[slot])
-        own, named = slot[often], pairs[often]
+        slot = ((pairs * _ODD[turn % len(_ODD)]) >> np.uint64(64 - bits)).astype(np.int32)
+        often = (np.bincount(slot, minlength=1 << bits) >= min_count)[slot]
+        own, named, often = slot[often], pairs[often], live[often]
+        live = often
         names = np.zeros(1 << bits, np.uint64)
         names[own[::-1]] = named[::-1]  # the first in the sequence
         is_it = names[own] == named
@@ -58,8 +63,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
             good[some] &= counts[some] * 8 >= most[ends]
         chosen = good[own]
         hit, own = often[chosen], own[chosen]
+        turn, idle = turn + 1, idle + 1
         if not len(hit):
-            break
+            continue
         # of a run of overlapping matches every second is replaced
         starts = np.concatenate([[True], np.diff(hit) > 1])
         run = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
@@ -68,8 +74,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
         kept = np.bincount(which, minlength=1 << bits) >= min_count
         ok = kept[which]
         at, which = at[ok], which[ok]
-        if not len(at) or len(at) < min_gain * len(body):
-            break
+        if not len(at):
+            continue
+        idle = 0
         number = np.cumsum(kept) - 1 + symbols
         left.append((names[kept] >> np.uint64(32)).astype(np.uint32))
         right.append((names[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
@@ -78,7 +85,11 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
         stays[at + 1] = False
         body = body.copy()
         body[at] = number[which].astype(np.uint64)
-        body = body[stays]
+        fresh, again = np.zeros(len(body), bool), np.zeros(len(body), bool)
+        fresh[at] = again[live] = True
+        body, fresh, again = body[stays], fresh[stays], again[stays] | fresh[stays]
+        again[:-1] |= fresh[1:]
+        live = np.flatnonzero(again[:-1])
     none = np.zeros(0, np.uint32)
     return body.astype(np.uint32), np.concatenate([none, *left]), np.concatenate([none, *right]), terminals
 

@@ -45,7 +45,7 @@ def test_a_full_memory_changes_nothing(name, cut, monkeypatch):
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
     ids = rng.zipf(1.3, 4000) % 50 if seed % 2 else np.tile(rng.integers(0, 9, 17), 300)[: 5000 - seed]
-    body, left, right, terminals = repair.compress(ids, min_count=2, min_gain=0.0)
+    body, left, right, terminals = repair.compress(ids, min_count=2)
     assert np.array_equal(repair.expand(body, left, right, terminals), ids)
     assert len(body) < len(ids)
     sizes = repair.expansions(left, right, terminals)
