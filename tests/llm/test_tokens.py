@@ -86,6 +86,41 @@ def test_token_file_of_nothing(spark, tmp_path):
     assert repair.documents(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("seed,last", [(0, False), (1, False), (2, False), (3, True), (4, True)])
+def test_place_follows_the_rule(seed, last):
+    """Against the sum of squares taken anew for every choice."""
+    rng = np.random.default_rng(seed)
+    most = 24
+    lengths = rng.integers(1, most + 1, 150)
+    bins, offsets, fill = packing.place(lengths, most, last)
+    gaps: dict[int, int] = {}
+
+    def total(changed):
+        open_ = [g for g in {**gaps, **changed}.values() if g]
+        return sum(open_.count(g) ** 2 for g in set(open_))
+
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        s, b = int(lengths[i]), int(bins[i])
+        choices = [(total({c: g - s}), 0, g) for c, g in gaps.items() if g >= s]
+        if not (last and choices):
+            choices.append((total({-1: most - s}), 1, most))
+        own = (total({b: gaps[b] - s}), 0, gaps[b]) if b in gaps else (total({b: most - s}), 1, most)
+        assert own == min(choices) and offsets[i] == (most - gaps[b] if b in gaps else 0)
+        gaps[b] = gaps.get(b, most) - s
+    assert [most - gaps[b] for b in range(len(fill))] == fill.tolist()
+
+
+def test_packing_nulls_and_repeats(spark):
+    rows = [(None, "a b"), (None, None), (5, "x y z"), (5, "x y z"), (5, "other"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "'x' as full").repartition(3)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert got.columns == packing.COLUMNS
+    got = got.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "5", "5", "6", "None", "None"] and all((r.piece, r.start) == (0, 0) for r in got)
+    # what three tasks leave open is one sequence in the end
+    assert len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got)[0] == 0
+
+
 def test_packing_is_whole_and_gapless(spark):
     rows = [(i, x) for i, x in enumerate(TEXTS)] + [(100 + i, "some words here " * (40 * i % 700)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
