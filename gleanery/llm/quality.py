@@ -1,12 +1,14 @@
 """Quality rules by robust multivariate outliers.
 
 Statistics of each text are transformed and held against a minimum-covariance-
-determinant estimate of its language and source: of all halves of the data the
-one whose covariance is least, found by concentration steps.  A step keeps the
-rows of the smallest Mahalanobis distances and takes their mean and covariance
-again.  All of it is grouped aggregation: counts of distances by narrow bins
-give the cut, built-in moments the rest, so a source with a third of all rows
-is summed where its rows are.
+determinant estimate of its language and source: of all parts of the data with
+a fixed share of the rows the one whose covariance has the least determinant.
+It is searched from several robust starts (medians and quartiles, tanh scores,
+spatial signs) by concentration steps: a step keeps the rows of the smallest
+Mahalanobis distances and takes their mean and covariance again, until the
+determinant stops falling; the start with the least one wins.  A step is one
+grouped aggregation: moments by narrow bins of distance, summed up to the cut,
+so a source with a third of all rows is summed where its rows are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .wordlists import SPACES, let, words
 #: Share of a group's rows that a concentration step keeps, and the factor that makes their covariance consistent
 #: for normal data of five dimensions: share / P(chi2 of 7 <= 0.75 quantile of chi2 of 5).
 KEEP, CONSISTENT = 0.75, 1.41
-STEPS = 3
+#: A search ends when a step lowers the logarithm of its determinant by less.
+GAIN = 1e-3
 #: A group of fewer rows takes the estimate of its language, then of all rows; without so many in all, nothing is an outlier.
 LEAST_ROWS = 100
 #: Squared distance over which a text is rejected.
@@ -116,29 +119,70 @@ _G = ["level", "lang", "source"]
 _L = [f"l{i}{j}" for i in range(_P) for j in range(i + 1)]
 
 
-def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
+_M = [f"m{i}" for i in range(_P)]
+_LEAST = [s for _, s in STATISTICS.values()]
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+_LOGDET = " + ".join(f"2 * ln(l{i}{i})" for i in range(_P))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Per group and start: n, location m, triangle l and logdet."""
+    middle = rows.groupBy(_G).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i, x in enumerate(_X)))
+    scale = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(_LEAST[i]))
+    middle = written(middle.select(*_G, "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)), *(scale(i).alias(f"s{i}") for i in range(_P))), "middles")
+    z = _beside(rows, middle, _G).select(*_G, "n", *_M, *(f"s{i}" for i in range(_P)), *(((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, x in enumerate(_X)))
+    z = z.withColumn("length", F.expr("greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(_P)) + "), 1e-9)"))
+    tanh, sign = (lambda i: F.tanh(f"z{i}")), (lambda i: F.col(f"z{i}") / F.col("length"))
+    own = z.groupBy(*_G, "n", *_M, *(f"s{i}" for i in range(_P))).agg(*(F.covar_pop(f(i), f(j)).alias(f"{name}{i}{j}") for name, f in (("t", tanh), ("u", sign)) for i, j in _PAIRS))
+    found = None
+    for start, name in enumerate(("d", "t", "u")):
+        spread = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(float(i == j)) if name == "d" else F.col(f"{name}{i}{j}"))  # noqa: E731, B023
+        c = own.select(*_G, "n", F.lit(start).alias("start"), *_M, *((spread(i, j) + (_LEAST[i] ** 2 if i == j and name != "d" else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
+        c = _triangle(c).select(*_G, "n", "start", *_M, *_L)
+        found = c if found is None else found.unionAll(c)
+    return found.withColumn("logdet", F.lit(float("inf"))).withColumn("moves", F.lit(True))
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates of one concentration step: of the rows of least distance, KEEP of each group."""
+    key = [*_G, "start", "n"]
+    bin_ = F.floor(F.log(_distance() + 1e-6) * 16)
+    y = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(_X)]
+    sums = [F.sum(y[i]).alias(f"y{i}") for i in range(_P)] + [F.sum(y[i] * y[j]).alias(f"y{i}{j}") for i, j in _PAIRS]
+    bins = _beside(rows, now, _G).groupBy(*key, bin_.alias("bin")).agg(F.count("*").alias("rows"), *(F.first(m).alias(m) for m in _M), *sums)
+    before = F.sum("rows").over(Window.partitionBy(*key).orderBy("bin")) - F.col("rows")
+    near = bins.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * KEEP))
+    names = [f"y{i}" for i in range(_P)] + [f"y{i}{j}" for i, j in _PAIRS]
+    whole = near.groupBy(*key).agg(F.sum("rows").alias("rows"), *(F.first(m).alias(m) for m in _M), *((F.sum(x)).alias(x) for x in names))
+    mean = lambda x: F.col(x) / F.col("rows")
+    c = [((mean(f"y{i}{j}") - mean(f"y{i}") * mean(f"y{j}")) * CONSISTENT + (_LEAST[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return _triangle(whole.select(*key, *((F.col(f"m{i}") + mean(f"y{i}")).alias(f"m{i}") for i in range(_P)), *c)).select(*key, *_M, *_L, F.expr(_LOGDET).alias("logdet"))
+
+
+def searches(rows: DataFrame) -> DataFrame:
+    """Per group and start where its search ended: level, lang, source, n, start, m, l, logdet."""
+    names = [*_G, "n", "start", *_M, *_L, "logdet"]
+    now = written(_starts(rows).select(*names, "moves"), "starts")
+    while not now.where("moves").isEmpty():
+        after = _step(rows, now.where("moves"))
+        falls = F.col("b.logdet") < F.col("a.logdet") - GAIN
+        both = now.where("moves").alias("a").join(after.alias("b"), [*_G, "start"])
+        own = [*(F.col(x) for x in _G), F.col("a.n").alias("n"), F.col("start"), *(F.when(falls, F.col(f"b.{x}")).otherwise(F.col(f"a.{x}")).alias(x) for x in (*_M, *_L, "logdet"))]
+        now = written(now.where("not moves").unionAll(both.select(*own, falls.alias("moves"))), "estimates")
+    return now.select(names)
+
+
+def estimates(stats: DataFrame) -> DataFrame:
     """Location m and triangle l per group: level 0 language and source, 1 language, 2 all."""
     rows = stats.where("not base_failed").select("lang", "source", *(F.expr(e).alias(x) for x, (e, _) in STATISTICS.items()))
     none = F.lit("")
     group = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), (F.col("lang") if k < 2 else none).alias("lang"), (F.col("source") if k < 1 else none).alias("source")) for k in range(3))))
     rows = rows.select(group.alias("g"), *_X).select("g.*", *_X)
-    least = [s for _, s in STATISTICS.values()]
-    start = rows.groupBy(_G).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i, x in enumerate(_X)))
-    start = start.select(*_G, "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)), *((F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(least[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)))
-    now = written(start, "estimates")
-    for _ in range(steps):
-        bin_ = F.floor(F.log(_distance() + 1e-6) * 16)
-        bins = _beside(rows, now, _G).groupBy(*_G, "n", bin_.alias("bin")).agg(F.count("*").alias("rows"))
-        run = Window.partitionBy(*_G).orderBy("bin")
-        cut = bins.withColumn("sum", F.sum("rows").over(run)).where(F.col("sum") >= F.ceil(F.col("n") * KEEP)).groupBy(_G).agg(F.min("bin").alias("cut"))
-        near = _beside(rows, written(now.join(cut, _G), "cuts"), _G).where(bin_ <= F.col("cut"))
-        moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)]
-        moments += [(F.covar_pop(_X[i], _X[j]) * CONSISTENT + (least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i, _P)]
-        now = written(_triangle(near.groupBy(*_G, "n").agg(*moments)).select(*_G, "n", *(f"m{i}" for i in range(_P)), *_L), "estimates")
-    return now
-
-
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
+    best = searches(rows).groupBy(_G).agg(F.min_by(F.struct("n", *_M, *_L), F.struct("logdet", "start")).alias("p"))
+    return written(best.select(*_G, "p.*"), "estimates")
+
+
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, distance (null if base_failed or without an estimate), kept.
 
     docs: doc_id, text, lang, source; other columns are left out.  A null text
@@ -147,7 +191,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEA
     ``least_rows`` rows take a wider estimate; no rows give none.
     """
     stats = written(statistics(docs), "statistics")
-    found = estimates(stats, steps).where(F.col("n") >= least_rows)
+    found = estimates(stats).where(F.col("n") >= least_rows)
     rows = stats.select("*", *(F.expr(f"case when base_failed then null else {e} end").alias(x) for x, (e, _) in STATISTICS.items()))
     for k, on in enumerate((["lang", "source"], ["lang"], [])):
         own = found.where(F.col("level") == k).select(*on, F.struct(*(f"m{i}" for i in range(_P)), *_L).alias(f"p{k}"))

@@ -19,7 +19,7 @@ def stats(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(lines), len(covered)
 
 
-def brute(rows, cutoff=50.0, least=100, steps=3):
+def brute(rows, cutoff=50.0, least=100):
     """Verdicts by plain numpy, groups cut at bins of the logarithm of the distance as documented."""
     own = [stats(x) for _, x, *_ in rows]
     failed = [n < 50 or 100 * r > 50 * n for n, *_, r in own]
@@ -35,12 +35,22 @@ def brute(rows, cutoff=50.0, least=100, steps=3):
         y = x[members]
         # the start takes the observed value at a quantile's rank, as percentile_approx
         q = [np.sort(y, 0)[max(0, math.ceil(p * len(y)) - 1)] for p in (0.25, 0.5, 0.75)]
-        mean, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
-        for _ in range(steps):
-            d = np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
-            bins = np.floor(np.log(d + 1e-6) * 16)
-            near = y[bins <= np.sort(bins)[math.ceil(0.75 * len(y)) - 1]]
-            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENT + np.diag(floor**2)
+        scale = np.maximum((q[2] - q[0]) / 1.349, floor)
+        z = (y - q[1]) / scale
+        spread = lambda v: np.cov(v.T, bias=True) * np.outer(scale, scale) + np.diag(floor**2)  # noqa: E731, B023
+        ends = []
+        for start, cov in enumerate((np.diag(scale**2), spread(np.tanh(z)), spread(z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]))):
+            mean, least_log = q[1], math.inf
+            while True:
+                d = np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
+                bins = np.floor(np.log(d + 1e-6) * 16)
+                near = y[bins <= np.sort(bins)[math.ceil(0.75 * len(y)) - 1]]
+                to = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENT + np.diag(floor**2)
+                if (log := np.linalg.slogdet(to[1])[1]) >= least_log - quality.GAIN:
+                    break
+                (mean, cov), least_log = to, log
+            ends.append((least_log, start, mean, cov))
+        _, _, mean, cov = min(ends, key=lambda e: e[:2])
         found[g] = mean, cov, len(members)
     out = []
     for i, (_, _, lang, source) in enumerate(rows):
@@ -78,6 +88,26 @@ def test_against_brute_force(spark, most, monkeypatch):
         assert got == want
 
 
+def test_the_least_determinant_wins(spark):
+    """No start ends below the estimate that is taken; most of a group being junk of another kind, searches end apart."""
+    rng = random.Random(4)
+    rows = [(rng.gauss(6, 0.3), rng.gauss(1.7, 0.05), abs(rng.gauss(0, 0.01)), 0.0, abs(rng.gauss(0.1, 0.03)), "en", "a") for _ in range(200)]
+    rows += [(rng.gauss(3, 0.1), rng.gauss(2.5, 0.01), 1 + rng.gauss(0, 0.01), 0.5, 0.3, "en", "a") for _ in range(60)]
+    frame = spark.createDataFrame(rows, [*quality.STATISTICS, "lang", "source"]).selectExpr("0 as level", "lang", "source", *quality.STATISTICS)
+    ends = quality.searches(frame).collect()
+    assert {r.start for r in ends} == {0, 1, 2}
+    best = min(ends, key=lambda r: (r.logdet, r.start))
+    assert best.n == 260 and abs(best.m0 - 6) < 0.1 and abs(best.m2) < 0.05
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 5000}x{i}" for i in range(120_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a"), (2, " ".join(["same"] * 100_000), "en", "a")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].kept) == (120_000, 0, True)
+    assert (got[2].n_words, got[2].n_repeat_words, got[2].kept) == (100_000, 100_000, False)
+
+
 def test_nothing_and_few(spark):
     docs = spark.createDataFrame([(None, " ".join(f"q{i}" for i in range(60)), None, None)] * 2, "doc_id long, text string, lang string, source string")
     assert [(r.doc_id, r.kept, r.distance) for r in quality.quality_rules(docs).collect()] == [(None, True, None)] * 2
