@@ -2,10 +2,11 @@
 
 An item's MinHash sketch is the least hashes of its shingles.  Plain MinHash
 compares two sketches and misses a short item in a long document; here an
-item's sketch is looked up among all shingles of the document.  Sketch lengths
-go by the item's size, so that a document that holds the wanted share of the
-shingles must hold one of the sketch.  Candidates are verified by exact
-containment.
+item's sketch is looked up among all shingles of the document.  Items are
+partitioned by size; a sketch's length goes by its item's size, so that a
+document that holds the wanted share of the shingles must hold one of the
+sketch.  Each partition is probed by itself, with its own greatest hash and
+least size.  Candidates are verified by exact containment.
 """
 
 from __future__ import annotations
@@ -37,14 +38,18 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k:
     sized = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), k))).alias("shingles")).where(F.size("shingles") > 0)
     own = written(sized.select("item_id", "shingles", F.size("shingles").alias("n"), F.ceil(F.log2(F.size("shingles"))).cast("int").alias("size_class")), "items")
     sketches = own.select("item_id", "n", "size_class", F.explode(F.slice("shingles", F.lit(1), sketch_length(F.col("n"), percent))).alias("hash"))
-    # a document is cut to hashes no greater than any sketch has, and to size classes it can hold
-    limits = sketches.groupBy("size_class").agg(F.max("hash").alias("most"), F.min("n").alias("least"))
-    most, least = limits.agg(F.max("most"), F.min("least")).first()
-    if most is None:
-        most, least = -(1 << 63), 1
+    # the partitions: a document is looked up in a size class if it can hold an item of it, by hashes no greater than any of the class's sketches
+    limits = sketches.groupBy("size_class").agg(F.max("hash").alias("most"), F.min("n").alias("least")).collect()  # one row for each power of two
     rows = docs.select("doc_id", shingle_hashes(F.col("text"), k).alias("all"))
-    probes = rows.select("doc_id", let(F.col("all"), lambda a: F.when(F.size(a) * 100 >= least * percent, F.filter(a, lambda h: h <= most))).alias("low"), F.size("all").alias("size"))
-    hits = probes.select("doc_id", "size", F.explode("low").alias("hash")).join(sketches, "hash").where(F.col("size") * 100 >= F.col("n") * percent)
+
+    def low(a: Column, size_class: int, most: int, least: int) -> Column:
+        own = F.transform(F.filter(a, lambda h: h <= most), lambda h: F.struct(F.lit(size_class).alias("size_class"), h.alias("hash")))
+        return F.when(F.size(a) * 100 >= least * percent, own).otherwise(none)
+
+    none = F.array().cast("array<struct<size_class:int,hash:bigint>>")
+    probes = lambda a: F.flatten(F.array(none, *(low(a, *r) for r in limits)))
+    probe = rows.select("doc_id", let(F.col("all"), probes).alias("low"), F.size("all").alias("size")).select("doc_id", "size", F.explode("low").alias("p"))
+    hits = probe.select("doc_id", "size", "p.size_class", "p.hash").join(sketches, ["size_class", "hash"]).where(F.col("size") * 100 >= F.col("n") * percent)
     candidates = written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id")).alias("items")), "candidates")
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(candidates, F.col("id").eqNullSafe(F.col("doc_id")))
     pairs = wanted.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), k)).alias("all"), F.explode("items").alias("item"))

@@ -81,8 +81,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: list[str] | No
 
     A null text has no words, a null doc_id comes before all others, texts of
     fewer words stay whole, other columns are left out.  Rows that repeat a
-    doc_id with its text are one document and get one verdict each; no rows
-    give none.
+    doc_id are one document: with its text they get the same verdict, with
+    other texts a window goes from each at the starts that go in one of them,
+    so a table should give each text an id of its own.  No rows give none.
     """
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,3 +37,12 @@ def test_against_all_pairs(spark):
     got = contamination.contamination(left, right).collect()
     assert {(r.doc_id, r.item_id): (r.n_item_shingles, r.n_shared) for r in got} == found and len(got) == len(found)
     assert contamination.contamination(left, right.limit(0)).count() == contamination.contamination(left.limit(0), right).count() == 0
+
+
+def test_a_very_long_document(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    items = [(1, " ".join(words[50_000:50_020])), (2, " ".join(words[99_000:99_400])), (3, " ".join(f"n{i}" for i in range(20)))]
+    docs = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:300]))], "doc_id long, text string")
+    got = contamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got) == [(7, 1, 16, 16), (7, 2, 396, 396)]
