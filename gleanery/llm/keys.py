@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textkit as tk
 
@@ -22,6 +23,8 @@ SLICE = 8 << 20
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("marks", pa.binary())])
 _ANSWER = pa.schema([("owner", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary())])
 _MARKS = pa.schema([("doc", pa.int64()), ("marks", pa.binary())])
+#: Bytes of text of which a bucket gets the keys, about.
+BUCKET = 64 << 20
 #: keys, further key bits, document, mark of each entry
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -54,14 +57,19 @@ def _by_doc(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(docs[at]), tk.blobs(marks.astype("<i4"), np.append(at, len(docs)))], schema=_MARKS)
 
 
-def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], later: bool = False, buckets: int | None = None) -> DataFrame:
+def buckets(docs: DataFrame) -> int:
+    """How many buckets the keys of all texts want: a bucket is as large at every size of the table."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+
+
+def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], n: int, later: bool = False) -> DataFrame:
     """doc, marks (binary, little-endian 32-bit): the marks of each document whose keys other entries share.
 
     docs: the columns that ``entries`` wants, ``text`` among them.  ``later``
     marks an entry only if the same key occurs at a smaller (document, mark).
-    A document without marks has no row.
+    n: buckets that the keys are dealt to.  A document without marks has no row.
     """
-    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.merged(batches, limit=SLICE):

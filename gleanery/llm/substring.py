@@ -67,8 +67,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
         return one, (two >> np.uint64(32)).astype(np.uint32), ids[doc[at]], (at - offsets[doc[at]]).astype(np.int32)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", *(F.col(c).alias(f"with_{c}") for c in carry or []))
-    candidates = keys.joined(rows, keys.marked(rows, anchors), "inner")
-    return keys.joined(rows, keys.marked(candidates, windows, later=True), "left")
+    n = keys.buckets(rows)
+    candidates = keys.joined(rows, keys.marked(rows, anchors, n), "inner")
+    return keys.joined(rows, keys.marked(candidates, windows, n, later=True), "left")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
