@@ -28,7 +28,7 @@ from .labelled import examples, held_out
 #: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; so many first letters are terms.
 ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 64, (4, 5, 6, 7, 8)
 #: So many terms at most, each in this share of the examples or more, are dense rows; blocks opened before the bound is looked at; queries of a matrix product.
-DENSE, DENSE_SHARE, FIRST_BLOCKS, BATCH = 1_024, 0.02, 8, 256
+DENSE, DENSE_SHARE, FIRST_BLOCKS, BATCH = 2_048, 0.01, 4, 256
 #: Cases at the base rate that are added to a term's counts; per cent of the union of their five-word shingles that near copies share.
 PRIOR, COPY = 5.0, 80
 PREDICT = 0.7
@@ -67,6 +67,13 @@ def counts(text: pa.Array, of: np.ndarray | None = None) -> tuple[np.ndarray, np
     return doc[first], term[first], np.diff(np.append(first, len(doc)))
 
 
+def _among(x: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of x, below n, is one of some."""
+    mask = np.zeros(n, bool)
+    mask[some] = True
+    return mask[x]
+
+
 class Index:
     """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight)."""
 
@@ -88,7 +95,8 @@ class Index:
         self.example, term, self.weight = example[row < 0], term[row < 0], weight[row < 0]
         block = self.example // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.block, self.at = block[first], np.append(first, len(term))
+        self.block, self.at = block[first].astype(np.intp), np.append(first, len(term))
+        self.example, self.weight = self.example.astype(np.intp), self.weight.astype(np.float64)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.entries = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
         self.blocks = np.arange(0, len(y), BLOCK)
@@ -120,17 +128,29 @@ class Index:
         block = self.block[entry]
         bound = np.maximum.reduceat(s, self.blocks) + np.bincount(block, weight * self.most[entry], minlength=len(self.blocks))
         order = np.argsort(-bound, kind="stable")
-        least, found = 0.0, np.zeros(0, np.int64)
+        least, found, done = 0.0, np.zeros(0, np.int64), np.zeros(len(self.blocks), bool)
         for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # a bound is off by less than that, as are single-precision weights
             some = some[bound[some] >= least - 1e-6] if least else some[bound[some] > 0]
-            open_ = np.zeros(len(self.blocks), bool)
-            open_[some] = True
-            own = open_[block]
-            e, w = entry[own], weight[own]
-            m = self.at[e + 1] - self.at[e]
-            p = tk.gather(self.at[e], m)
-            s += np.bincount(self.example[p], np.repeat(w, m) * self.weight[p], minlength=len(s))
+            if not len(some):
+                break
+            if 2 * len(some) > len(self.blocks):  # most are open: their lists as they stand; blocks that were open keep what they have
+                at = (np.flatnonzero(done)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                at = at[at < len(s)]
+                old = s[at]
+                begin = self.at[self.entries[term]]
+                m = self.at[self.entries[term + 1]] - begin
+                p = tk.gather(begin, m)
+                s += np.bincount(self.example[p], np.repeat(q, m) * self.weight[p], minlength=len(s))
+                s[at] = old
+                done[:] = True
+            elif not done[some].all():
+                done[some] = True
+                own = _among(block, some, len(self.blocks))
+                e, w = entry[own], weight[own]
+                m = self.at[e + 1] - self.at[e]
+                p = tk.gather(self.at[e], m)
+                s += np.bincount(self.example[p], np.repeat(w, m) * self.weight[p], minlength=len(s))
             at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             at = np.concatenate([found, at[at < len(s)]])
             at = at[(s[at] > 0) & (at != skip)]
