@@ -18,8 +18,8 @@ def monday(day: Column) -> Column:
 
 
 def week_period(day: Column) -> Column:
-    """Year and month of the week's Thursday, 'yyyy-MM'."""
-    return F.date_format(F.date_add(monday(day), 3), "yyyy-MM")
+    """Year and month of the week's Thursday, '2026 / 09'."""
+    return F.date_format(F.date_add(monday(day), 3), "yyyy / MM")
 
 
 def week_compact(day: Column) -> Column:

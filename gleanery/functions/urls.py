@@ -17,7 +17,8 @@ def _part(url: Column, i: int) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), r"^.*@", ""), r":\d+$|\.+$", "")
+    """Host in lower case, without user, port and dots at the end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), r"^.*@", ""), r"\.*(:\d*)?$", "")
 
 
 def host_of(url: Column) -> Column:
@@ -25,22 +26,64 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit(""))
 
 
-def is_private_v4(name: Column) -> Column:
-    octet = [F.regexp_extract(name, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int") for i in (1, 2)]
-    a, b = octet
-    return F.coalesce(
-        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.isin(18, 19)),
-        F.lit(False),
+def _number(part: Column) -> Column:
+    """Value of one part of an address: decimal, 0x.. or 0.. (octal); null if it is no such number."""
+    hexed, octal = F.regexp_extract(part, r"^0x([0-9a-f]{0,12})$", 1), F.regexp_extract(part, r"^0([0-7]{1,16})$", 1)
+    return (
+        F.when(part.rlike(r"^0x[0-9a-f]{0,12}$"), F.conv(F.concat(F.lit("0"), hexed), 16, 10))
+        .when(part.rlike(r"^0[0-7]{1,16}$"), F.conv(octal, 8, 10))
+        .when(part.rlike(r"^(0|[1-9]\d{0,12})$"), part)
+        .cast("long")
     )
 
 
+def is_numeric(name: Column) -> Column:
+    """Whether a host's last part is a number, which makes the whole an IPv4 address, well spelt or not."""
+    return F.element_at(F.split(name, r"\."), -1).rlike(r"^(\d+|0x[0-9a-f]*)$")
+
+
+def ipv4(name: Column) -> Column:
+    """An IPv4 address as a number, in any spelling (one to four parts, the last one fills the rest); null if it is none."""
+    parts = F.transform(F.split(name, r"\."), _number)
+    n = F.size(parts)
+    last = F.element_at(parts, -1)
+    head = F.aggregate(F.slice(parts, F.lit(1), n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    left = F.element_at(F.array(*(F.lit(256 ** (4 - k)) for k in range(4))), F.least(n, F.lit(4)))  # values that the last part has
+    good = (n <= 4) & ~F.exists(parts, lambda x: x.isNull()) & ~F.exists(F.slice(parts, F.lit(1), n - 1), lambda x: x > 255) & (last < left)
+    return F.when(F.coalesce(good, F.lit(False)), head * left + last)
+
+
+def is_private_v4(name: Column) -> Column:
+    """Loopback, private, link-local, carrier, multicast and reserved addresses, in any spelling."""
+    whole = ipv4(name)
+    a, b = F.floor(whole / (1 << 24)), F.floor(whole / (1 << 16)) % 256
+    return F.coalesce(a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), F.lit(False))
+
+
 def is_submittable(url: Column) -> Column:
-    """http(s) to a public, dotted name."""
+    """http(s) to a public, dotted name or a public IPv4 address; every IPv6 literal is refused."""
     name = host(url)
-    refused = (name == "localhost") | name.rlike(r"\.(local|internal|localhost)$") | ~name.contains(".") | name.startswith("[") | is_private_v4(name)
+    address = is_numeric(name)
+    refused = (name == "localhost") | name.rlike(r"\.(local|internal|localhost)$") | (~address & ~name.contains(".")) | name.startswith("[")
+    refused = refused | (address & (ipv4(name).isNull() | is_private_v4(name)))
     return F.coalesce((name != "") & ~refused, F.lit(False))
 
 
+def safe_href(raw: Column, base: Column) -> Column:
+    """A link for a page of address ``base``: http(s) alone, relative ones resolved; null for every other scheme and for blanks."""
+    link = F.trim(raw)
+    root, path = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"(?i)^https?://[^/?#]+([^?#]*/)?", 1)
+    found = (
+        F.when(link.rlike(r"(?i)^https?://[^/?#\s]"), link)
+        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (link == "") | (root == ""), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"(?i)^(https?:)", 1), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("#") | link.startswith("?"), F.concat(F.regexp_extract(base, rf"^([^{'#'}?]*)", 1), link))
+        .otherwise(F.concat(root, F.when(path == "", "/").otherwise(path), F.regexp_replace(link, r"^(\./)+", "")))
+    )
+    return found
+
+
 def param(url: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(_part(url, 4), rf"(?:^|&){name}=([^&]*)", 1), F.lit(""))
 

@@ -80,7 +80,8 @@ def extracted(rows: DataFrame, extractors: dict[str, Column], kind: str = "kind"
 
 def judged(candidates: DataFrame, judge: Callable, schema: str = "pos long, score double, promotion double, category string") -> DataFrame:
     """candidates with a judge's answers by pos. The judge is a ``mapInPandas`` function of batches; made-up places and second answers count for nothing, missing ones are null."""
-    answers = candidates.mapInPandas(judge, schema).groupBy("pos").agg(F.first(F.struct("score", "promotion", "category")).alias("answer"))
+    told = candidates.mapInPandas(judge, schema).withColumn("turn", F.monotonically_increasing_id())
+    answers = told.groupBy("pos").agg(F.min_by(F.struct("score", "promotion", "category"), "turn").alias("answer"))
     return candidates.join(answers, "pos", "left")
 
 

@@ -38,11 +38,13 @@ def retry(queue: DataFrame, ids: DataFrame, owner: Column) -> DataFrame:
 
 
 def finish(queue: DataFrame, results: DataFrame) -> DataFrame:
-    """Results (id, error, has_post): success is done; an error fails, but a row with a post keeps its status; the message is cut at 500."""
+    """Results (id, error, has_post): success is done; an error fails, but a row with a post keeps its status; the message is cut at 500. A row without a result stays as it is."""
     rows = queue.join(results, "id", "left")
     answered = F.col("has_post").isNotNull()
     status = F.when(answered & F.col("error").isNull(), "done").when(answered & ~F.col("has_post"), "failed").otherwise(F.col("status"))
-    return rows.withColumns({"status": status, "last_error": F.substring("error", 1, 500)}).drop("error", "has_post")
+    told = F.substring("error", 1, 500)
+    error = F.when(answered, told).otherwise(F.col("last_error")) if "last_error" in queue.columns else told
+    return rows.withColumns({"status": status, "last_error": error}).drop("error", "has_post")
 
 
 def library_state(post_id: Column, status: Column, attempts: Column) -> Column:

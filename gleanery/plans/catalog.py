@@ -222,7 +222,7 @@ def fnv_ids(spark, d):
     return table(spark, d, "pages").select("page_id", text.item_id(F.lit("local"), dates.week_compact(day), F.col("url"), F.col("url")).alias("item_id"))
 
 
-@query(f"""select distinct o_orderdate::date as day, {WEEK} as week, date_trunc('week', o_orderdate)::date monday, strftime(date_trunc('week', o_orderdate)::date + 3, '%Y-%m') period,
+@query(f"""select distinct o_orderdate::date as day, {WEEK} as week, date_trunc('week', o_orderdate)::date monday, strftime(date_trunc('week', o_orderdate)::date + 3, '%Y / %m') period,
     strftime(o_orderdate, '%m / %d') label, replace({WEEK}, '-', ' / ') week_label from orders""")
 def iso_week_calendar(spark, d):
     day = F.col("day")
@@ -230,6 +230,33 @@ def iso_week_calendar(spark, d):
     return rows.select("day", dates.iso_week(day).alias("week"), dates.iso_week_monday(dates.iso_week(day)).alias("monday"), dates.week_period(day).alias("period"), dates.day_label(day).alias("label"), dates.week_label(dates.iso_week(day)).alias("week_label"))
 
 
+#: Links in many spellings, and whether they may be handed in; the names of the last two take each page's own host.
+_LINKS = {
+    "http://127.1/": False, "http://0x7f.0.0.1/a": False, "http://0177.0.0.1/": False, "http://2130706433/": False, "http://0x7f000001": False, "http://127.1../": False,
+    "http://localhost.:80/": False, "http://printer.local.:8080/a": False, "http://[::1]/": False, "http://intranet/x": False, "ftp://a.example/x": False, "http://192.168.257/": False,
+    "http://172.31.0.9/": False, "http://172.32.0.9/": True, "http://198.18.0.1/": True, "http://8.8.8.8:8080/": True, "http://134744072/": True, "http://0x08080808/": True,
+    "http://256.1.1.1/": False, "http://1.2.3.4.5/": False, "http://08.1.1.1/": False, "https://ffmpeg.org./": True, "https://10.example/": True, "https://user@a.example:443/x#y": True,
+}
+
+
+@query("with l(link, ok) as (values " + ", ".join(f"('{x}', {y})" for x, y in _LINKS.items()) + """),
+    p as (select distinct regexp_extract(url, '^https?://([^/?#]+)', 1) h from pages)
+    select link, ok from l union all select 'http://' || h || '.:80/x', true from p union all select 'http://' || h || '.internal/', false from p""")
+def submitted_links(spark, d):
+    fixed = spark.createDataFrame([(x,) for x in _LINKS], "link string")
+    hosts = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("h")).distinct()
+    links = fixed.unionAll(hosts.select(F.concat(F.lit("http://"), "h", F.lit(".:80/x")))).unionAll(hosts.select(F.concat(F.lit("http://"), "h", F.lit(".internal/"))))
+    return links.select("link", urls.is_submittable(F.col("link")).alias("ok"))
+
+
+@query("""select page_id, url || '#a' fragment, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/x?y=1' rooted, regexp_extract(url, '^(https?:)', 1) || '//cdn.example/z' other_host,
+    regexp_extract(url, '^([^?#]*/)', 1) || 'b/c' relative, null::varchar script from (select page_id, regexp_replace(url, '[?#].*$', '') url from pages)""")
+def safe_links(spark, d):
+    base = F.regexp_replace("url", "[?#].*$", "")
+    href = lambda x: urls.safe_href(F.lit(x), base)
+    return table(spark, d, "pages").select("page_id", href("#a").alias("fragment"), href("/x?y=1").alias("rooted"), href("//cdn.example/z").alias("other_host"), href("./b/c").alias("relative"), href(" JavaScript:alert(1)").alias("script"))
+
+
 @query(f"""select {BUDAPEST}::date as day, count(*) events, min(extract(hour from {BUDAPEST}))::int first_hour, epoch(min({BUDAPEST}::date::timestamp at time zone 'Europe/Budapest'))::bigint start_epoch from events group by 1""")
 def budapest_day(spark, d):
     ts = F.col("ts")

@@ -46,12 +46,16 @@ def parse_feeds(bodies: DataFrame, since: Column, today: Column, limit: int = PE
     return top(rows, ["source"], ["pos"], limit).select("url", "title", "source", "snippet", "published", "hint", F.lit(0).alias("points"), "weight")
 
 
+#: Fixed value: how much a story found by search counts.
+HN_WEIGHT = 0.8
+
+
 def parse_hacker_news(bodies: DataFrame, since: Column, today: Column, points: int = 80) -> DataFrame:
     """Candidates of search answers (body: JSON); rows without a link go, the source says the points."""
     hit = "struct<hits:array<struct<url:string,title:string,points:int,created_at:string>>>"
     rows = bodies.select(F.explode(F.from_json("body", hit)["hits"]).alias("h")).select("h.url", "h.title", "h.points", F.col("h.created_at").alias("date"))
     rows = _since(rows.where(F.col("points") > points), since, today, None)
-    return rows.select("url", "title", F.format_string("Hacker News · %d pts", "points").alias("source"), F.lit("").alias("snippet"), "published", F.lit("companies").alias("hint"), "points", F.lit(1.0).alias("weight"))
+    return rows.select("url", "title", F.format_string("Hacker News · %d pts", "points").alias("source"), F.lit("").alias("snippet"), "published", F.lit("companies").alias("hint"), "points", F.lit(HN_WEIGHT).alias("weight"))
 
 
 def parse_papers(bodies: DataFrame, n: int = 15) -> DataFrame:
