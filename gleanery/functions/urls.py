@@ -26,6 +26,11 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit(""))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(part: Column) -> Column:
     """Value of one part of an address: decimal, 0x.. or 0.. (octal); null if it is no such number."""
     hexed, octal = F.regexp_extract(part, r"^0x([0-9a-f]{0,12})$", 1), F.regexp_extract(part, r"^0([0-7]{1,16})$", 1)
@@ -44,29 +49,37 @@ def is_numeric(name: Column) -> Column:
 
 def ipv4(name: Column) -> Column:
     """An IPv4 address as a number, in any spelling (one to four parts, the last one fills the rest); null if it is none."""
-    parts = F.transform(F.split(name, r"\."), _number)
-    n = F.size(parts)
-    last = F.element_at(parts, -1)
-    head = F.aggregate(F.slice(parts, F.lit(1), n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    left = F.element_at(F.array(*(F.lit(256 ** (4 - k)) for k in range(4))), F.least(n, F.lit(4)))  # values that the last part has
-    good = (n <= 4) & ~F.exists(parts, lambda x: x.isNull()) & ~F.exists(F.slice(parts, F.lit(1), n - 1), lambda x: x > 255) & (last < left)
-    return F.when(F.coalesce(good, F.lit(False)), head * left + last)
+
+    def whole(parts: Column) -> Column:
+        n = F.size(parts)
+        last, front = F.element_at(parts, -1), F.slice(parts, F.lit(1), n - 1)
+        head = F.aggregate(front, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+        left = F.element_at(F.array(*(F.lit(256 ** (4 - k)) for k in range(4))), F.least(n, F.lit(4)))  # values that the last part has
+        good = (n <= 4) & ~F.exists(parts, lambda x: x.isNull()) & ~F.exists(front, lambda x: x > 255) & (last < left)
+        return F.when(F.coalesce(good, F.lit(False)), head * left + last)
+
+    return _once(F.transform(F.split(name, r"\."), _number), whole)
+
+
+def _private(whole: Column) -> Column:
+    a, b = F.floor(whole / (1 << 24)), F.floor(whole / (1 << 16)) % 256
+    return a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
 
 
 def is_private_v4(name: Column) -> Column:
     """Loopback, private, link-local, carrier, multicast and reserved addresses, in any spelling."""
-    whole = ipv4(name)
-    a, b = F.floor(whole / (1 << 24)), F.floor(whole / (1 << 16)) % 256
-    return F.coalesce(a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), F.lit(False))
+    return F.coalesce(_once(ipv4(name), _private), F.lit(False))
 
 
 def is_submittable(url: Column) -> Column:
     """http(s) to a public, dotted name or a public IPv4 address; every IPv6 literal is refused."""
-    name = host(url)
-    address = is_numeric(name)
-    refused = (name == "localhost") | name.rlike(r"\.(local|internal|localhost)$") | (~address & ~name.contains(".")) | name.startswith("[")
-    refused = refused | (address & (ipv4(name).isNull() | is_private_v4(name)))
-    return F.coalesce((name != "") & ~refused, F.lit(False))
+
+    def public(name: Column) -> Column:
+        plain = (name != "") & (name != "localhost") & ~name.rlike(r"\.(local|internal|localhost)$") & name.contains(".") & ~name.startswith("[")
+        address = _once(ipv4(name), lambda whole: whole.isNotNull() & ~F.coalesce(_private(whole), F.lit(False)))
+        return F.when(is_numeric(name), address).otherwise(plain)
+
+    return F.coalesce(_once(host(url), public), F.lit(False))
 
 
 def safe_href(raw: Column, base: Column) -> Column:
