@@ -26,25 +26,31 @@ from . import textkit as tk
 from .labelled import examples, held_out
 
 #: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; so many first letters are terms.
-ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 64, (4, 5, 6, 7, 8)
+ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 512, (4, 5, 6, 7, 8)
 #: So many terms at most, each in this share of the examples or more, are dense rows; blocks opened before the bound is looked at; queries of a matrix product.
 DENSE, DENSE_SHARE, FIRST_BLOCKS, BATCH = 2_048, 0.01, 4, 256
 #: Cases at the base rate that are added to a term's counts; per cent of the union of their five-word shingles that near copies share.
 PRIOR, COPY = 5.0, 80
+#: What a bound may be off by, as may single-precision weights.
+MARGIN = 1e-6
 PREDICT = 0.7
+#: Signs that don't count at a word's ends.
+SIGNS = "#*$%&|<>.,;:!?\"'()[]{}-_=+/\\~`^@…»«“”„’‘¡¿"
 
 
 def terms(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes of each distinct word, and their offsets: folded, without signs at the ends; its first letters."""
     h = xxhash.xxh3_64_intdigest
-    out, n = [], []
-    for w in pc.utf8_lower(vocab.cast(pa.string())).to_pylist():
-        w = w.strip("#*$%&|<>.,;:!?\"'()[]{}-_=+/\\~`^@…»«“”„’‘¡¿")
-        own = [h(w.encode())] if w else []
-        own += [h(w[:k].encode(), 1) for k in FIRST if len(w) > k]
-        out += own
-        n.append(len(own))
-    return np.array(out, np.uint64), np.concatenate([[0], np.cumsum(np.array(n, np.int64))])
+    words = pc.utf8_trim(pc.utf8_lower(vocab.cast(pa.string())), characters=SIGNS)
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    out, has = np.zeros((len(words), 1 + len(FIRST)), np.uint64), np.zeros((len(words), 1 + len(FIRST)), bool)
+    for i, k in enumerate((0, *FIRST)):
+        own = has[:, i] = length > k
+        # many words have the same first letters: each is hashed once
+        coded = (pc.utf8_slice_codeunits(words.filter(pa.array(own)), 0, k) if k else words.filter(pa.array(own))).dictionary_encode()
+        each = np.fromiter((h(w, 1 if k else 0) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+        out[own, i] = each[coded.indices.to_numpy(zero_copy_only=False)]
+    return out[has], np.concatenate([[0], np.cumsum(has.sum(1))])
 
 
 def counts(text: pa.Array, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,19 +58,21 @@ def counts(text: pa.Array, of: np.ndarray | None = None) -> tuple[np.ndarray, np
     codes, offsets, vocab = tk.words(text)
     names, at = terms(vocab)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    if of is not None:
-        place = np.searchsorted(of, names)
-        good = of[np.minimum(place, len(of) - 1)] == names if len(of) else np.zeros(len(names), bool)
+    known, place = (of, None) if of is not None else np.unique(names, return_inverse=True)
+    if place is None:
+        order = np.argsort(names)
+        place = np.empty(len(names), np.int64)
+        place[order] = np.searchsorted(known, names[order])  # in order, so that the search stays near
+        good = known[np.minimum(place, len(known) - 1)] == names if len(known) else np.zeros(len(names), bool)
         at = np.concatenate([[0], np.cumsum(good)])[at]
-        names = place[good].astype(np.uint64)
+        place = place[good]
     n = np.diff(at)[codes]
     some = n > 0
     codes, doc, n = codes[some], doc[some], n[some]
-    doc, term = np.repeat(doc, n), names[tk.gather(at[codes], n)]
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], term[first], np.diff(np.append(first, len(doc)))
+    both = np.sort(np.repeat(doc << 32, n) | place[tk.gather(at[codes], n)])
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    doc, place = both[first] >> 32, both[first] & 0xFFFFFFFF
+    return doc, known[place] if of is None else place, np.diff(np.append(first, len(both)))
 
 
 def _among(x: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
@@ -127,37 +135,39 @@ class Index:
         entry, weight = tk.gather(self.entries[term], n), np.repeat(q, n)
         block = self.block[entry]
         bound = np.maximum.reduceat(s, self.blocks) + np.bincount(block, weight * self.most[entry], minlength=len(self.blocks))
+        # the dense part of a cosine is a lower bound of it; of k and one that is skipped, k stay
+        least = float(np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k else 0.0
+        if 2 * (bound >= least - MARGIN).sum() > len(self.blocks):
+            # most blocks have to be opened: the lists as they stand
+            begin = self.at[self.entries[term]]
+            m = self.at[self.entries[term + 1]] - begin
+            p = tk.gather(begin, m)
+            s += np.bincount(self.example[p], np.repeat(q, m) * self.weight[p], minlength=len(s))
+            return self._first(s, np.arange(len(s)), k, skip)
         order = np.argsort(-bound, kind="stable")
-        least, found, done = 0.0, np.zeros(0, np.int64), np.zeros(len(self.blocks), bool)
+        found = np.zeros(0, np.int64)
         for some in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            # a bound is off by less than that, as are single-precision weights
-            some = some[bound[some] >= least - 1e-6] if least else some[bound[some] > 0]
+            some = some[(bound[some] >= least - MARGIN) & (bound[some] > 0)]
             if not len(some):
                 break
-            if 2 * len(some) > len(self.blocks):  # most are open: their lists as they stand; blocks that were open keep what they have
-                at = (np.flatnonzero(done)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                at = at[at < len(s)]
-                old = s[at]
-                begin = self.at[self.entries[term]]
-                m = self.at[self.entries[term + 1]] - begin
-                p = tk.gather(begin, m)
-                s += np.bincount(self.example[p], np.repeat(q, m) * self.weight[p], minlength=len(s))
-                s[at] = old
-                done[:] = True
-            elif not done[some].all():
-                done[some] = True
-                own = _among(block, some, len(self.blocks))
-                e, w = entry[own], weight[own]
-                m = self.at[e + 1] - self.at[e]
-                p = tk.gather(self.at[e], m)
-                s += np.bincount(self.example[p], np.repeat(w, m) * self.weight[p], minlength=len(s))
+            own = _among(block, some, len(self.blocks))
+            e, w = entry[own], weight[own]
+            m = self.at[e + 1] - self.at[e]
+            p = tk.gather(self.at[e], m)
+            s += np.bincount(self.example[p], np.repeat(w, m) * self.weight[p], minlength=len(s))
             at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            at = np.concatenate([found, at[at < len(s)]])
-            at = at[(s[at] > 0) & (at != skip)]
-            if len(at) > k:
-                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-            found = at[np.lexsort((at, -s[at]))][:k]
-            least = float(s[found[-1]]) if len(found) == k else 0.0
+            found = self._first(s, np.concatenate([found, at[at < len(s)]]), k, skip)[0]
+            least = max(least, float(s[found[-1]])) if len(found) == k else least
+        return found, s[found]
+
+    @staticmethod
+    def _first(s: np.ndarray, at: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places the k of the greatest s over 0, ties by place, and their s."""
+        own = s[at]
+        if len(at) > k + 1:  # one may be skipped
+            at = at[own >= np.partition(own, len(at) - k - 1)[len(at) - k - 1]]
+        at = at[(s[at] > 0) & (at != skip)]
+        found = at[np.lexsort((at, -s[at]))][:k]
         return found, s[found]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
