@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .labelled import examples, held_out
+from .storage import written
 
 #: Labelled rows to learn from, at most about; neighbours that vote; examples of a block; so many first letters are terms.
 ROWS, NEAREST, BLOCK, FIRST = 8_000, 15, 512, (4, 5, 6, 7, 8)
@@ -83,15 +85,26 @@ def _among(x: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight)."""
+    """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight).
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple, y: np.ndarray, ids: np.ndarray):
+    Without ``search`` it is there to be sent: whoever receives it sets up the
+    blocks and dense rows.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple, y: np.ndarray, ids: np.ndarray, search: bool = True):
         self.vocabulary, self.idf, self.y, self.ids = vocabulary, idf, y, ids
         example, term, weight = vectors if isinstance(vectors, tuple) else (*(at := np.nonzero(vectors)), vectors[at])
         order = np.lexsort((example, term))
         example, term, weight = example[order].astype(np.int32), term[order], weight[order].astype(np.float32)
         n = np.bincount(term, minlength=len(vocabulary))
         self.sent = example.astype(np.uint16) if len(y) < 1 << 16 else example, n.astype(np.int32), weight
+        self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.zeros(1)
+        self.shared: Broadcast | None = None
+        if search:
+            self._set_up(example, term, weight, n)
+
+    def _set_up(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: np.ndarray) -> None:
+        y, vocabulary = self.y, self.vocabulary
         often = np.flatnonzero(n >= max(DENSE_SHARE * len(y), 1))
         self.often = np.sort(often[np.argsort(-n[often], kind="stable")[:DENSE]])
         self.row = np.full(len(vocabulary), -1, np.int32)
@@ -108,12 +121,16 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.entries = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
         self.blocks = np.arange(0, len(y), BLOCK)
-        self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.zeros(1)
 
     def __reduce__(self):
         """A broadcast has the bare lists; every worker sets up its blocks and dense rows."""
         return _received, (self.vocabulary, self.idf.astype(np.float32), *self.sent, self.y, self.ids, self.knots)
 
+    def broadcast(self, context: SparkContext) -> Broadcast:
+        """Sent once, for training and for scores; knots that come later go with the task."""
+        self.shared = self.shared or context.broadcast(self)
+        return self.shared
+
     def weigh(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
         q = (1 + np.log(times)) * self.idf[term]
         return q / np.sqrt(q @ q) if len(q) else q
@@ -174,9 +191,6 @@ class Index:
         """From -1 to 1: mean over the k places of the cosine, for or against."""
         return float((cosine * (2 * self.y[found] - 1)).sum() / NEAREST)
 
-    def score(self, votes: np.ndarray) -> np.ndarray:
-        return np.interp(votes, *self.knots)
-
 
 def _received(vocabulary, idf, example, n, weight, y, ids, knots) -> Index:
     index = Index(vocabulary, idf, (example, np.repeat(np.arange(len(n), dtype=np.int32), n), weight), y, ids)
@@ -243,13 +257,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             shingles = tk.blobs(np.concatenate([five[:0], *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), shingles, tk.blobs(term, ends), tk.blobs(times.astype("<i4"), ends)], names=["doc_id", "y", "shingles", "terms", "times"])
 
-    found = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, shingles binary, terms binary, times binary").toArrow()
+    sample = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, shingles binary, terms binary, times binary")
+    sample = written(sample.withColumn("row", F.monotonically_increasing_id()), "examples")
+    found = sample.toArrow()
     # the driver's memory is short: arrays of all terms are few, small and let go
     ids, first = np.unique(found.column("doc_id").to_numpy(), return_index=True)
     arrays = lambda name, kind, at: [np.frombuffer(found.column(name)[int(i)].as_buffer(), kind) for i in at]
     stay = distinct(arrays("shingles", "<u4", first))
     ids, first = ids[stay], first[stay]
-    y = found.column("y").to_numpy()[first].astype(np.int64)
+    y, row = found.column("y").to_numpy()[first].astype(np.int64), found.column("row").to_numpy()[first]
     own = arrays("terms", "<u8", first)
     size = np.array([len(t) for t in own], np.int64)
     names = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
@@ -274,21 +290,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     order = np.lexsort((heaviest, y))
     place = np.empty(len(y), np.int32)
     place[order] = np.arange(len(y))
-    index = Index(names, idf, (np.repeat(place, size), which, weight), y[order], ids[order])
+    index = Index(names, idf, (np.repeat(place, size), which, weight), y[order], ids[order], search=False)
+    if not len(y):
+        return index
+    by = np.argsort(row)
+    row, place = row[by], place[by]
+    sent = index.broadcast(docs.sparkSession.sparkContext)
+
+    def against_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The votes of all other examples on each one."""
+        for batch in batches:
+            own = sent.value
+            at = np.minimum(np.searchsorted(row, batch.column("row").to_numpy()), len(row) - 1)
+            stays = np.flatnonzero(row[at] == batch.column("row").to_numpy())
+            at, votes = place[at[stays]], np.zeros(len(stays))
+            for i in range(0, len(stays), BATCH):
+                queries = []
+                for j in stays[i : i + BATCH]:
+                    term, times = (np.frombuffer(batch.column(name)[int(j)].as_buffer(), kind) for name, kind in (("terms", "<u8"), ("times", "<i4")))
+                    term = np.searchsorted(own.vocabulary, term)
+                    queries.append((term, own.weigh(term, times)))
+                for j, ((term, q), base) in enumerate(zip(queries, own.base(queries)), i):
+                    votes[j] = own.vote(*own.nearest(term, q, NEAREST, int(at[j]), base))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(votes)], names=["place", "vote"])
+
+    got = sample.select("row", "terms", "times").mapInArrow(against_others, "place long, vote double").toArrow()
     votes = np.zeros(len(y))
-    for i in range(0, len(y), BATCH):
-        own = range(i, min(i + BATCH, len(y)))
-        queries = [(which[ends[j] : ends[j + 1]], weight[ends[j] : ends[j + 1]]) for j in own]
-        for j, (term, q), base in zip(own, queries, index.base(queries)):
-            votes[place[j]] = index.vote(*index.nearest(term, q, NEAREST, place[j], base))
-    if len(y):
-        index.knots = _isotonic(votes, index.y.astype(float))
+    votes[got.column("place").to_numpy()] = got.column("vote").to_numpy()
+    index.knots = _isotonic(votes, index.y.astype(float))
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, held_out, score, evidence (up to three nearest examples: doc_id, y, cosine) of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent, knots = index.broadcast(docs.sparkSession.sparkContext), index.knots
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -305,7 +340,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                     votes[doc[a]] = own.vote(found, cosine)
                     evidence[doc[a]] = [{"doc_id": int(own.ids[j]), "y": int(own.y[j]), "cosine": float(c)} for j, c in zip(found[:3], cosine)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(own.score(votes)), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("y", pa.int32()), ("cosine", pa.float64())])))],
+                [part.column("doc_id"), part.column("held_out"), pa.array(np.interp(votes, *knots)), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("y", pa.int32()), ("cosine", pa.float64())])))],
                 names=["doc_id", "held_out", "score", "evidence"],
             )
 
