@@ -259,19 +259,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     sample = examples(docs, labels, label, rows).mapInArrow(gather, "doc_id long, y int, shingles binary, terms binary, times binary")
     sample = written(sample.withColumn("row", F.monotonically_increasing_id()), "examples")
-    found = sample.toArrow()
-    # the driver's memory is short: arrays of all terms are few, small and let go
+    # the driver's memory is short: shingles are let go before terms come, and arrays of all terms are few and small
+    found = sample.select("doc_id", "y", "row", "shingles").toArrow()
     ids, first = np.unique(found.column("doc_id").to_numpy(), return_index=True)
-    arrays = lambda name, kind, at: [np.frombuffer(found.column(name)[int(i)].as_buffer(), kind) for i in at]
-    stay = distinct(arrays("shingles", "<u4", first))
+    arrays = lambda table, name, kind, at: [np.frombuffer(table.column(name)[int(i)].as_buffer(), kind) for i in at]
+    stay = distinct(arrays(found, "shingles", "<u4", first))
     ids, first = ids[stay], first[stay]
     y, row = found.column("y").to_numpy()[first].astype(np.int64), found.column("row").to_numpy()[first]
-    own = arrays("terms", "<u8", first)
+    del found
+    pa.default_memory_pool().release_unused()
+    found = sample.select("row", "terms", "times").toArrow()
+    by = np.argsort(found.column("row").to_numpy())
+    first = by[np.searchsorted(found.column("row").to_numpy()[by], row)]
+    own = arrays(found, "terms", "<u8", first)
     size = np.array([len(t) for t in own], np.int64)
     names = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
     which = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(names, t).astype(np.int32) for t in own)])
-    weight = np.concatenate([np.zeros(0, np.float32), *((1 + np.log(n)).astype(np.float32) for n in arrays("times", "<i4", first))])
+    weight = np.concatenate([np.zeros(0, np.float32), *((1 + np.log(n)).astype(np.float32) for n in arrays(found, "times", "<i4", first))])
     del found, own
+    pa.default_memory_pool().release_unused()
     ends = np.concatenate([[0], np.cumsum(size)])
     d = np.zeros((2, len(names)), np.int64)
     for k, a, b in zip(y, ends, ends[1:]):
