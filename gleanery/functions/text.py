@@ -31,6 +31,7 @@ TAGS = {
     "policy": r"regulation|policy|legislation|lawsuit|copyright|government|eu ai act",
     "funding": r"raises?|funding|series [a-d]|valuation|acquires?|acquisition|investors?",
 }
+SENTENCE = r"[^.!?]+(?:[.!?]+(?=\s|$)|$)"
 SUMMARY_TARGET, SUMMARY_MAX, TAG_CHARS, TAGS_MAX, TITLE_MAX = 280, 600, 4000, 4, 300
 #: White space as browsers see it.
 BLANK = r"[\s ﻿ -     　 ]+"
@@ -93,8 +94,9 @@ def item_id(category: Column, compact_week: Column, title: Column, url: Column)
 
 
 def lead_summary(text: Column) -> Column:
-    """Leading sentences: to 280 characters or more where there are, never past 600."""
-    bits = F.transform(F.regexp_extract_all(collapse(text), F.lit(r"[^.!?]+(?:[.!?]+(?=\s|$)|$)"), F.lit(0)), lambda s: F.struct(F.trim(s).alias("s"), F.length(s).alias("n")))
+    """Leading sentences: to 280 characters or more where there are, never past 600; a text of marks alone is its own lead."""
+    found = F.regexp_extract_all(collapse(text), F.lit(SENTENCE), F.lit(0))
+    bits = F.transform(let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(collapse(text)))), lambda s: F.struct(F.trim(s).alias("s"), F.length(s).alias("n")))
 
     def step(a: Column, x: Column) -> Column:
         lead = a["lead"]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import written
+from .components import components
 from .ranking import first_per
 
 #: Two headlines this alike tell one story.
@@ -23,60 +27,96 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: Column | str) -> DataFra
     return rows.join(stored, key, "left_anti")
 
 
-def alike(left: DataFrame, right: DataFrame, least: float = SAME_STORY) -> DataFrame:
-    """Pairs a, b, similarity of ids whose headlines' word sets have a Jaccard similarity of ``least`` or more.
+def headlines(rows: DataFrame) -> DataFrame:
+    """id, words of the distinct word sets among rows (id, words), each under its least id; empty sets are like nothing and left out."""
+    return rows.where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id")).select("id", "words")
+
 
-    left, right: id, words.  Only headlines that share one of the words that
-    any partner must share meet: of a set's words in one order, rarest first,
-    the first n - ceil(least * n) + 1.
+def alike(left: DataFrame, right: DataFrame | None = None, least: float = SAME_STORY) -> DataFrame:
+    """Pairs a, b, similarity of distinct headlines (id, words) with a Jaccard similarity of ``least`` or more.
+
+    Without ``right``, pairs a < b of left alone.  Only headlines that share
+    one of the words that any partner must share meet: of a set's words in one
+    order, rarest first, the first n - ceil(least * n) + 1.  A pair is taken at
+    the first such word that both have, so that it comes once.
     """
-    df = left.select("words").unionAll(right.select("words")).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    both = left.select("words") if right is None else left.select("words").unionAll(right.select("words"))
+    df = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
     def prefix(rows: DataFrame, name: str) -> DataFrame:
-        bits = rows.select("id", "words", F.explode("words").alias("word")).join(df, "word")
-        bits = bits.groupBy("id", "words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by"))
-        n = F.size("words")
-        keep = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
-        return bits.select(F.col("id").alias(name), F.col("words").alias(f"w{name}"), F.explode(F.slice("by", F.lit(1), keep)).alias("p")).select(name, f"w{name}", F.col("p.word").alias("word"))
-
-    pairs = prefix(left, "a").join(prefix(right, "b"), "word").where(F.size("wa") >= least * F.size("wb") - 1e-9).where(F.size("wb") >= least * F.size("wa") - 1e-9)
-    both = F.size(F.array_intersect("wa", "wb"))
-    value = both / (F.size("wa") + F.size("wb") - both)
-    return pairs.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= least - 1e-12).distinct()
+        bits = rows.select("id", F.explode("words").alias("word")).join(df, "word")
+        own = bits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("by"))
+        n = F.size("by")
+        own = own.withColumn("p", F.slice("by", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int")))
+        return own.select(F.col("id").alias(name), F.col("by").alias(f"w{name}"), F.col("p").alias(f"p{name}"), F.explode("p").alias("word"))
+
+    n, m = F.size("wa"), F.size("wb")
+    met = prefix(left, "a").join(prefix(left if right is None else right, "b"), "word")
+    met = met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("word")))
+    if right is None:
+        met = met.where("a < b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return met.select("a", "b", (shared / (n + m - shared)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def headline_links(rows: DataFrame, least: float = SAME_STORY) -> DataFrame:
+    """a, b, similarity over rows (id, words): pairs between the least ids of alike distinct headlines, and each other row of a headline under its least id, at 1."""
+    rows = written(rows)
+    sets = written(headlines(rows))
+    same = rows.join(sets.withColumnRenamed("id", "a"), "words").where("id <> a")
+    return alike(sets, least=least).unionAll(same.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def _replay(least: float):
+    """Slots of components whose rows (component, id, words, weight) come in order; held are the words of the holders of one component's slots."""
+
+    def slots(batches):
+        component, held, having = None, [], {}
+
+        def settled():
+            return pd.DataFrame({"pos": [h[1] for h in held], "slot": [h[0] for h in held]})
+
+        for batch in batches:
+            for at, pos, own, weight in batch[["component", "id", "words", "weight"]].itertuples(index=False):
+                if at != component:
+                    yield settled()
+                    component, held, having = at, [], {}
+                near = Counter(i for w in own for i in having.get(w, ()))
+                twin = min((i for i, n in near.items() if n / (len(own) + len(held[i][3]) - n) >= least - 1e-12), default=None)
+                if twin is None:
+                    twin = len(held)
+                    held.append((pos, pos, weight, own))
+                elif weight > held[twin][2]:
+                    for w in held[twin][3]:
+                        having[w].discard(twin)
+                    held[twin] = (held[twin][0], pos, weight, own)
+                else:
+                    continue
+                for w in own:
+                    having.setdefault(w, set()).add(twin)
+        yield settled()
+
+    return slots
 
 
 def drop_repeated(candidates: DataFrame, covered: DataFrame, least: float = SAME_STORY) -> DataFrame:
     """pos, slot of the candidates that stay.
 
-    candidates: pos (their order), title, weight; covered: title.  A candidate
-    like a covered headline goes.  The rest is taken in order: one like the
-    holder of a slot, the first such, takes the slot if its weight is greater,
-    else goes; another opens a slot.  Which slots a candidate meets depends on
-    its own component of alike headlines alone, so each component is replayed
-    by itself.
+    candidates: pos (their order), title, weight (null: the least); covered:
+    title.  A candidate like a covered headline goes.  The rest is taken in
+    order: one like the holder of a slot, the first such, takes the slot if its
+    weight is greater, else goes; another opens a slot.  Headlines without
+    words are like nothing.  A headline that no other is like is settled by one
+    aggregate, however many candidates have it; components of alike headlines
+    are replayed in order, streamed.
     """
-    from ..operators.components import components
-
-    own = candidates.select(F.col("pos").alias("id"), words(F.col("title")).alias("words"), "weight")
-    old = covered.select(F.monotonically_increasing_id().alias("id"), words(F.col("title")).alias("words"))
-    gone = alike(own.select("id", "words"), old, least).select(F.col("a").alias("id")).distinct()
-    fresh = own.join(gone, "id", "left_anti")
-    pairs = alike(fresh.select("id", "words"), fresh.select("id", "words"), least).where("a < b").select("a", "b")
-    member = components(pairs)
-    lone = fresh.join(member, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("pos"), F.col("id").alias("slot"))
-    near = pairs.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("before")).unionByName(member.join(pairs, F.col("node") == F.col("b"), "left_anti").select("node", F.array().cast("array<long>").alias("before")))
-    back = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("after"))
-    rows = member.join(near, "node").join(back, "node", "left").join(fresh.select(F.col("id").alias("node"), "weight"), "node")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        slots: list[list] = []  # slot, holder, weight, neighbours of the holder
-        for r in group.sort_values("node").itertuples():
-            like = set(r.before) | set(r.after if r.after is not None else ())
-            twin = next((s for s in slots if s[1] in like), None)
-            if twin is None:
-                slots.append([r.node, r.node, r.weight])
-            elif r.weight > twin[2]:
-                twin[1:] = [r.node, r.weight]
-        return pd.DataFrame({"pos": [s[1] for s in slots], "slot": [s[0] for s in slots]})
-
-    return lone.unionByName(rows.groupBy("component").applyInPandas(replay, "pos long, slot long"))
+    rows = written(candidates.select(F.col("pos").cast("long").alias("id"), words(F.col("title")).alias("words"), F.coalesce(F.col("weight").cast("double"), F.lit(float("-inf"))).alias("weight")))
+    sets = written(headlines(rows))
+    old = written(covered.select(words(F.col("title")).alias("words")).where(F.size("words") > 0).distinct().select(F.monotonically_increasing_id().alias("id"), "words"))
+    fresh = written(sets.join(alike(sets, old, least).select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+    member = components(alike(fresh, least=least).select("a", "b"))
+    named = rows.join(fresh.withColumnRenamed("id", "headline").join(member.withColumnRenamed("node", "headline"), "headline", "left"), "words")
+    bare = rows.where(F.coalesce(F.size("words"), F.lit(0)) <= 0).select(F.col("id").alias("pos"), F.col("id").alias("slot"))
+    alone = named.where("component is null").groupBy("headline").agg(F.min_by("id", F.struct(-F.col("weight"), F.col("id"))).alias("pos"), F.min("id").alias("slot")).drop("headline")
+    ordered = named.where("component is not null").select("component", "id", "words", "weight").repartition("component").sortWithinPartitions("component", "id")
+    return bare.unionByName(alone).unionByName(ordered.mapInPandas(_replay(least), "pos long, slot long"))

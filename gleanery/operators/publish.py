@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_per, ranked
+from .ranking import first_per, top
 
 
 def insert_if_absent(stored: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
@@ -30,9 +30,10 @@ def replace_list(stored: DataFrame, new: DataFrame, scope: str) -> DataFrame:
     return stored.join(new.select(scope).distinct(), scope, "left_anti").unionByName(new)
 
 
-def must_read(items: DataFrame, issue: str, order: list, n: int = 3) -> DataFrame:
-    """items with must_read: among the n first of their issue."""
-    return ranked(items, [issue], order, "_place").withColumn("must_read", F.col("_place") <= n).drop("_place")
+def must_read(items: DataFrame, issue: str, order: list, n: int = 3, key: str = "id") -> DataFrame:
+    """items with must_read: among the n first of their issue. Only n rows an issue are ranked and joined back, by issue and key."""
+    best = top(items, [issue], order, n, "_place").select(issue, key, F.lit(True).alias("must_read"))
+    return items.join(best, [issue, key], "left").withColumn("must_read", F.coalesce("must_read", F.lit(False))).select(*items.columns, "must_read")
 
 
 def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -29,13 +29,14 @@ def top(rows: DataFrame, keys: list, order: list, n: int, name: str = "rank") ->
 def daily_top(rows: DataFrame, keys: list, short: Column, order: list, n: int = 10, least: int = 3, most: int = 5) -> DataFrame:
     """The n best of each key with ``least`` to ``most`` short ones, as far as there are so many of either kind; with their rank.
 
-    s0 short ones stand in the plain top n.  Too few are filled up, too many
+    n is ``most`` or more.  s0 short ones stand in the plain top n.  Too few are filled up, too many
     give way to long ones, always the best of the wanted kind for the last of
     the other.
     """
-    own, kind = Window.partitionBy(*keys), Window.partitionBy(*keys, "_short")
-    r = rows.withColumn("_short", short)
-    r = r.withColumn("_all", F.row_number().over(own.orderBy(*order))).withColumn("_own", F.row_number().over(kind.orderBy(*order)))
+    # the n best of either kind decide everything, so only they reach a window over the whole key
+    r = top(rows.withColumn("_short", F.coalesce(short, F.lit(False))), [*keys, "_short"], order, n, "_own")
+    own = Window.partitionBy(*keys)
+    r = r.withColumn("_all", F.row_number().over(own.orderBy(*order)))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(own)
     r = r.withColumns({"_s": count(F.col("_short")), "_l": count(~F.col("_short")), "_s0": count(F.col("_short") & (F.col("_all") <= n))})
     size = F.least(F.lit(n), F.col("_s") + F.col("_l"))

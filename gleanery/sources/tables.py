@@ -14,10 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one of this machine's only where it is unset, as in tests."""
+    """The session's spark.checkpoint.dir. Where it is unset, one of this machine's on a local master; on a cluster that is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanery-"))
     return context.getCheckpointDir()
 
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gleanery-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
