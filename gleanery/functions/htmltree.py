@@ -4,44 +4,127 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 # fixed values
-DROP = {"script", "style", "noscript", "template", "form", "button", "input", "select", "textarea", "nav", "aside", "footer", "svg", "canvas", "head"}
+DROP = {"script", "style", "noscript", "template", "form", "button", "input", "select", "textarea", "nav", "aside", "footer", "svg", "canvas"}
 DROP_ROLES = {"navigation", "banner", "complementary"}
-NOISE_NAME = re.compile(r"(^|[-_])(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|newsletter\w*|subscribe\w*|cookie\w*|popup\w*|banner\w*|paywall\w*|outbrain|taboola|share|sharing|sharedaddy|related(?![-_]work)|relatedposts|comments?)([-_]|$)", re.I)
+NOISE_NAME = re.compile(r"(^|[-_])(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|newsletter\w*|subscribe\w*|cookie\w*|popup\w*|banner\w*|paywall\w*|outbrain|taboola)([-_]|$)", re.I)
+SHARE_RELATED_COMMENT = re.compile(r"(^|[-_])(share|sharing|sharedaddy|related(?![-_]work)|relatedposts|comments?)([-_]|$)", re.I)
+MODAL_NAME = re.compile(r"^modal(-\w*)?$", re.I)
+AD_DATA_ATTR = re.compile(r"^data-ads?(-|$)", re.I)
 CONTENT_CLASSES = {"entry-content", "post-content", "article-body", "article-content", "post-body", "story-body", "markdown-body"}
 NOISE_IDS = {"comments", "respond", "disqus_thread", "related-posts", "jp-relatedposts"}
+SMALLEST_IMAGE = 64
+
+#: What stands outside the page's text.
+HEAD = {"head", "title"}
 LEVELS = {"h1": 2, "h2": 2, "h3": 3, "h4": 4, "h5": 4, "h6": 4}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "body", "html", "dl", "dt", "dd", *LEVELS}
 
 
-def is_noise(tag: str, attrs: dict) -> bool:
-    names = (attrs.get("class") or "").split() + [attrs.get("id") or ""]
-    if tag in DROP or attrs.get("role") in DROP_ROLES or attrs.get("aria-hidden") == "true" or attrs.get("id") in NOISE_IDS:
+def dropped(tag: str, attrs: dict) -> bool:
+    return tag in DROP or tag in HEAD or attrs.get("role") in DROP_ROLES or attrs.get("aria-hidden") == "true"
+
+
+def holds_content(tag: str, attrs: dict) -> bool:
+    return tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" or bool(CONTENT_CLASSES & set((attrs.get("class") or "").split()))
+
+
+def named(names: list[str]) -> bool:
+    return any(rule.search(x) for x in names for rule in (NOISE_NAME, SHARE_RELATED_COMMENT, MODAL_NAME))
+
+
+def is_noise(tag: str, attrs: dict, heading: bool, guarded: bool) -> bool:
+    """Whether names make an element noise. heading: it has one inside; guarded: it has content inside, or half of the page's text."""
+    own, classes = attrs.get("id") or "", (attrs.get("class") or "").split()
+    section = "section" in classes and any(re.fullmatch(r"level\d+", c) for c in classes)
+    if own.lower() in NOISE_IDS and tag not in LEVELS and not section:
         return True
-    if tag in ("article", "main", "body", "html") or attrs.get("role") == "main" or CONTENT_CLASSES & set(names):
-        return False
-    return any(NOISE_NAME.search(x) or re.match(r"modal(-\w*)?$", x, re.I) for x in names) or any(re.match(r"data-ads?(-|$)", a, re.I) for a in attrs)
+    by_class = named([c for c in classes if not c.startswith(("tag-", "category-"))])
+    by_id = bool(own) and named([own]) and not (tag in LEVELS or tag == "section" or heading)
+    return (by_class or by_id or any(AD_DATA_ATTR.search(a) for a in attrs)) and not guarded
+
 
+def candidates(srcset: str) -> list[str]:
+    """Links of a srcset, greatest width or density first. A link runs to white space and may hold commas; one that ends in a comma has no size."""
+    found = []
+    for m in re.finditer(r"[\s,]*(\S*[^\s,])(?:,+(?=\s|$)|\s+([^,(]*(?:\([^)]*\)[^,(]*)*)|$)", srcset):
+        size = re.fullmatch(r"(\d+(?:\.\d+)?)[wx]", (m[2] or "").strip())
+        found.append((-(float(size[1]) if size else 0.0) or -1.0, len(found), m[1]))
+    return [link for *_, link in sorted(found)]
 
-def largest(srcset: str) -> str:
-    """The source of the greatest width or density."""
-    best, link = -1.0, ""
-    for part in srcset.split(","):
-        bits = part.split()
-        if bits:
-            size = float(re.sub(r"[^\d.]", "", bits[1]) or 1) if len(bits) > 1 else 1.0
-            if size > best:
-                best, link = size, bits[0]
-    return link
+
+def image_link(attrs: dict, page: str) -> str:
+    """The best link of an image on its page; '' if it has none over HTTP."""
+    get = lambda *names: next((attrs[n] for n in names if attrs.get(n)), "")
+    for link in [*candidates(get("srcset", "data-srcset", "data-lazy-srcset")), *(attrs.get(n) for n in ("data-src", "data-lazy-src", "data-original", "src"))]:
+        if link and not link.startswith("data:"):
+            try:
+                full = urljoin(page, link.strip())
+            except ValueError:
+                continue
+            if full.startswith(("http://", "https://")) or not page and ":" not in full.split("/")[0]:
+                return full
+    return ""
+
+
+class Outline(HTMLParser):
+    """What the elements of a page hold, by the order of their start tags: text, headings, content."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.chars: list[int] = []
+        self.heading: list[bool] = []
+        self.content: list[bool] = []
+        self.open: list[tuple[str, int, bool]] = []
+        self.total = 0
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if self.open and (self.open[-1][0] == "p" and tag in BLOCKS or self.open[-1][0] == tag == "li"):
+            self.end()
+        for _, i, _ in self.open:
+            self.heading[i] |= tag in LEVELS
+            self.content[i] |= holds_content(tag, attrs)
+        out = dropped(tag, attrs) or bool(self.open) and self.open[-1][2]
+        if tag not in VOID:
+            self.open.append((tag, len(self.chars), out))
+        self.chars.append(-self.total)
+        self.heading.append(False)
+        self.content.append(holds_content(tag, attrs))
+
+    def end(self):
+        self.chars[self.open.pop()[1]] += self.total
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, *_ in self.open):
+            while self.open[-1][0] != tag:
+                self.end()
+            self.end()
+
+    def handle_data(self, data):
+        if not (self.open and self.open[-1][2]):
+            self.total += len(data)
+
+    def of(self, html: str) -> Outline:
+        self.feed(html)
+        self.close()
+        while self.open:
+            self.end()
+        return self
+
+    def guards(self, i: int) -> bool:
+        return self.content[i] or self.total > 0 and self.chars[i] >= self.total * 0.5
 
 
 class Blocks(HTMLParser):
     """Walks tags; a paragraph ends wherever a block starts or ends, so unclosed ones need no repair."""
 
-    def __init__(self):
+    def __init__(self, outline: Outline, page: str = ""):
         super().__init__(convert_charrefs=True)
+        self.outline, self.page, self.tags = outline, page, 0
         self.out: list[dict] = []
         self.text: list[str] = []
         self.links: list[str] = []
@@ -49,6 +132,7 @@ class Blocks(HTMLParser):
         self.open: list[str] = []
         self.skip: list[str] = []  # open elements from a noisy one on
         self.items: list[list[str]] = []
+        self.item_links: list[list[str]] = []
         self.pre = self.link = self.quote = 0
 
     def flush(self, kind: str = "paragraph", **more) -> None:
@@ -57,29 +141,32 @@ class Blocks(HTMLParser):
         if value:
             if self.items and kind == "paragraph":
                 self.items[-1].append(value)
+                self.item_links[-1] += self.links
             else:
                 self.out.append({"type": "quote" if self.quote and kind == "paragraph" else kind, "text": value, "hrefs": self.links, "link_only": bool(self.links) and not self.plain, **more})
         self.text, self.links, self.plain = [], [], False
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
+        attrs, at = dict(attrs), self.tags
+        self.tags += 1
         # a start tag that ends an open paragraph or item ends a noisy one too
         if self.skip == ["p"] and tag in BLOCKS or self.skip[:1] == ["li"] and tag == "li" and not {"ul", "ol"} & set(self.skip):
             self.skip = []
         if self.skip:
             self.skip += [tag] * (tag not in VOID)
+            if tag == "img" and self.skip == ["noscript"]:
+                self.image(attrs)  # what a page without scripts shows
             return
-        if is_noise(tag, attrs):
+        if dropped(tag, attrs) or not self.pre and "code" not in self.open and is_noise(tag, attrs, self.outline.heading[at], self.outline.guards(at)):
             self.skip = [tag] * (tag not in VOID)
             return
         if tag in BLOCKS or tag == "hr":
             self.flush()
         if tag not in VOID:
             self.open.append(tag)
-        if tag in ("ul", "ol"):
-            self.items.append([])
-        elif tag == "tr":
+        if tag in ("ul", "ol", "tr"):
             self.items.append([])
+            self.item_links.append([])
         elif tag == "pre":
             self.pre, self.language = self.pre + 1, (re.search(r"lang(?:uage)?-(\w+)", attrs.get("class") or "") or [None, None])[1]
         elif tag == "code" and self.pre:
@@ -94,11 +181,14 @@ class Blocks(HTMLParser):
         elif tag == "hr":
             self.out.append({"type": "divider", "text": "", "hrefs": [], "link_only": False})
         elif tag == "img":
-            size = [int(x) for x in (attrs.get("width") or "", attrs.get("height") or "") if x.isdigit()]
-            src = largest(attrs.get("srcset") or attrs.get("data-srcset") or "") or attrs.get("data-src") or attrs.get("src") or ""
-            if src and not src.startswith("data:") and not any(x < 64 for x in size):
-                self.flush()
-                self.out.append({"type": "image", "text": attrs.get("alt") or "", "url": src, "hrefs": [], "link_only": False})
+            self.image(attrs)
+
+    def image(self, attrs):
+        size = [int(x) for x in (attrs.get("width") or "", attrs.get("height") or "") if x.isdigit()]
+        link = image_link(attrs, self.page)
+        if link and not any(x < SMALLEST_IMAGE for x in size):
+            self.flush()
+            self.out.append({"type": "image", "text": attrs.get("alt") or "", "url": link, "hrefs": [], "link_only": False})
 
     def handle_endtag(self, tag):
         if tag in self.skip:
@@ -125,10 +215,9 @@ class Blocks(HTMLParser):
             self.pre -= 1
         elif tag in ("ul", "ol", "tr"):
             self.flush()
-            own = self.items.pop()
+            own, links = self.items.pop(), self.item_links.pop()
             if own:
-                self.out.append({"type": "list", "text": (" · " if tag == "tr" else "\n").join(own), "ordered": tag == "ol", "hrefs": self.links, "link_only": False})
-            self.links = []
+                self.out.append({"type": "list", "text": (" · " if tag == "tr" else "\n").join(own), "ordered": tag == "ol", "hrefs": links, "link_only": False})
         elif tag == "blockquote":
             self.flush()
             self.quote -= 1
@@ -143,8 +232,9 @@ class Blocks(HTMLParser):
             self.plain |= not self.link and bool(data.strip())
 
 
-def blocks(html: str | None) -> list[dict]:
-    walk = Blocks()
+def blocks(html: str | None, page: str | None = None) -> list[dict]:
+    """Blocks of a page; links of images are made whole by the page's own."""
+    walk = Blocks(Outline().of(html or ""), page or "")
     walk.feed(html or "")
     walk.close()
     while walk.open:

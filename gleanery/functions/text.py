@@ -76,10 +76,9 @@ def slugify(text: Column, most: int = 60) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, eight hex digits."""
-    unit = lambda x, i: F.conv(F.substring(x, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
-    fold_in = lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(4294967295)
-    code = lambda x: F.aggregate(F.sequence(F.lit(0), (F.length(x) / 4).cast("int") - 1), F.lit(2166136261).cast("long"), lambda h, i: fold_in(h, unit(x, i)))
-    digits = let(F.hex(F.encode(text, "UTF-16BE")), lambda x: F.lower(F.hex(code(x))))
+    fold_in = lambda h, c: (h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * 16777619).bitwiseAND(4294967295)
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    digits = F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), fold_in)))
     return F.when(text == "", "811c9dc5").otherwise(F.lpad(digits, 8, "0"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as entities
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +18,29 @@ BLOCK = T.StructType([T.StructField(k, t) for k, t in (("type", _TEXT), ("text",
 MOST_BLOCKS, MOST_CHARS = 400, 200_000
 # fixed values
 SHARE_LINK = r"(?i)(twitter\.com/intent|x\.com/intent|facebook\.com/sharer|linkedin\.com/share|reddit\.com/submit|news\.ycombinator\.com/submitlink|t\.me/share|wa\.me/)"
-BOILERPLATE = r"(?i)\b(subscribe to (our|the) newsletter|sign up for (our|the) newsletter|share this (post|article)|follow us|you might also like)\b|^(advertisement|sponsored|related (posts|articles|stories)|hírlevél|kapcsolódó cikkek|hirdetés)$|^(iratkozz fel|oszd meg)\b"
+BOILERPLATE_PHRASE = r"(?i)\b(subscribe to (our|the) newsletter|sign up for (our|the) newsletter|share this (post|article)|follow us|you might also like)\b"
+BOILERPLATE_EXACT = r"(?i)^(advertisement|sponsored|related (posts|articles|stories)|hírlevél|kapcsolódó cikkek|hirdetés)$"
+BOILERPLATE_PREFIX = r"(?i)^(iratkozz fel|oszd meg)\b"
+ICON_FILENAME = r"(?i)(^|[-_.])(icon|logo|emoji|badge|sprite|spacer)s?([-_.]|$)"
+BADGE_HOST = r"(?i)(^|\.)img\.shields\.io$"
+AVATAR_HOST = r"(?i)((^|\.)gravatar\.com$)|(avatars\d*\.githubusercontent\.com$)"
 
 
 @F.pandas_udf(T.ArrayType(BLOCK))
-def html_blocks(html: pd.Series) -> pd.Series:
+def html_blocks(html: pd.Series, page: pd.Series) -> pd.Series:
     keys = ("type", "text", "level", "language", "ordered", "url", "hrefs", "link_only")
-    return html.map(lambda x: [{k: b.get(k) for k in keys} for b in htmltree.blocks(x)])
+    return pd.Series([[{k: b.get(k) for k in keys} for b in htmltree.blocks(x, at)] for x, at in zip(html, page)])
+
+
+@F.pandas_udf(_TEXT)
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references as what they stand for; Spark has no function for them."""
+    return text.map(lambda x: None if x is None else entities.unescape(x))
+
+
+@F.pandas_udf(_TEXT)
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def meta(html: Column, name: str) -> Column:
@@ -31,7 +50,8 @@ def meta(html: Column, name: str) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return F.coalesce(meta(html, "og:title"), F.nullif(collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")))
+    """og:title, else the title element's text, with character references decoded; null if blank."""
+    return F.nullif(collapse(unescape(F.coalesce(meta(html, "og:title"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))), F.lit(""))
 
 
 def noarchive(html: Column, header: Column | None = None) -> Column:
@@ -47,23 +67,33 @@ def linked_data(html: Column, field: str) -> Column:
     return F.get(F.filter(F.transform(scripts, lambda s: F.coalesce(*(F.get_json_object(s, p) for p in paths))), lambda x: x.isNotNull()), F.lit(0))
 
 
+def is_icon(url: Column) -> Column:
+    """Badges, avatars, and icons by the name of their file alone."""
+    host = F.regexp_extract(url, r"^https?://([^/?#:]+)", 1)
+    path = F.regexp_extract(url, r"^(?:https?://[^/?#]+)?([^?#]*)", 1)
+    return host.rlike(BADGE_HOST) | F.array_contains(F.split(path, "/"), "badge") | host.rlike(AVATAR_HOST) | F.regexp_extract(path, "([^/]*)$", 1).rlike(ICON_FILENAME)
+
+
 def is_noise(b: Column, host: Column) -> Column:
     text = F.trim(b["text"])
+    links = F.coalesce(b["hrefs"], F.array().cast("array<string>"))
+    all_shared = F.size(F.filter(links, lambda h: h.rlike(SHARE_LINK))) >= F.size(F.split(b["text"], "\n"))
     shared = F.exists(F.coalesce(b["hrefs"], F.array().cast("array<string>")), lambda h: h.rlike(SHARE_LINK))
     inside = F.forall(F.coalesce(b["hrefs"], F.array().cast("array<string>")), lambda h: h.startswith("/") | (F.regexp_replace(F.lower(F.regexp_extract(h, r"^https?://([^/?#]+)", 1)), r"^www\.", "") == host))
     worded = b["type"].isin("paragraph", "quote", "heading")
     return (
         (worded & (text == ""))
-        | (worded & (F.length(text) < 120) & text.rlike(BOILERPLATE))
+        | (worded & (F.length(text) < 120) & (text.rlike(BOILERPLATE_PHRASE) | text.rlike(BOILERPLATE_EXACT) | text.rlike(BOILERPLATE_PREFIX)))
         | (b["type"].isin("paragraph", "quote") & shared & (F.length(text) < 200))
-        | ((b["type"] == "list") & shared)
+        | ((b["type"] == "list") & all_shared)
         | (b["type"].isin("paragraph", "quote") & F.coalesce(b["link_only"], F.lit(False)) & (F.length(text) < 40) & inside)
-        | ((b["type"] == "image") & b["url"].rlike(r"(?i)(icon|avatar|logo|gravatar)"))
+        | ((b["type"] == "image") & is_icon(b["url"]))
     )
 
 
 def identity(b: Column) -> Column:
-    return F.when(b["type"] == "code", b["text"]).when(b["type"] == "image", b["url"]).otherwise(collapse(F.lower(b["text"])))
+    """What makes two blocks the same: an image's link, else the text (given in NFKC) in lower case with single blanks."""
+    return F.when(b["type"] == "image", b["url"]).otherwise(collapse(F.lower(b["text"])))
 
 
 def without_noise(blocks: Column, host: Column) -> Column:
@@ -101,13 +131,23 @@ def plain_text(blocks: Column) -> Column:
     return F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda x: F.trim(x) != ""), "\n\n")
 
 
-def extract_pages(pages: DataFrame, least: int = 200) -> DataFrame:
-    """page_id, title, blocks, text, error of pages (page_id, url, html). Under ``least`` characters a page keeps its title alone; noarchive ones keep no text."""
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, pos, clipped, block_id and the fields of each block of pages (page_id, url, html), after the noise rules and clipped."""
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)), r"^www\.", "")
-    rows = pages.select("page_id", "url", F.coalesce(page_title(F.col("html")), F.col("url")).alias("title"), noarchive(F.col("html")).alias("noarchive"), without_noise(html_blocks("html"), host).alias("blocks"))
-    rows = rows.withColumn("text", plain_text(F.col("blocks")))
-    error = F.when(F.col("noarchive"), "noarchive").when(F.length("text") < least, "too little text")
-    none = F.col("noarchive")
-    return rows.select("page_id", "url", "title", F.when(none, F.slice("blocks", 1, 0)).otherwise(F.col("blocks")).alias("blocks"), F.when(~none, F.col("text")).alias("text"), error.alias("error"))
+    rows = pages.select("page_id", F.posexplode(without_noise(html_blocks("html", "url"), host)).alias("pos", "b")).select("page_id", "pos", "b.*")
+    kept = clip(rows.withColumn("_n", F.length("text")), "page_id", "pos", "_n").drop("_n")
+    same = kept.withColumn("_same", nfkc("text"))
+    content = F.when(F.col("type") == "image", F.col("url")).otherwise(collapse(F.lower("_same")))
+    return with_ids(same, "page_id", "pos", F.col("type"), content).drop("_same")
 
 
+def extract_pages(pages: DataFrame, least: int = 200) -> DataFrame:
+    """page_id, url, title, blocks (with their ids), clipped, text, error of pages (page_id, url, html), a row a page_id. Under ``least`` characters a page keeps its title alone; noarchive ones keep no text."""
+    fields = [f.name for f in BLOCK.fields]
+    found = page_blocks(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_id", *fields))).alias("blocks"), F.max("clipped").alias("clipped"))
+    found = found.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["block_id"].alias("block_id"), *(b[f].alias(f) for f in fields))))
+    heads = pages.select("page_id", "url", F.coalesce(page_title(F.col("html")), F.col("url")).alias("title"), noarchive(F.col("html")).alias("noarchive"))
+    rows = heads.join(found, "page_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(found.schema["blocks"].dataType))).withColumn("text", plain_text(F.col("blocks")))
+    error = F.when(F.col("noarchive"), "noarchive").when(F.length("text") < least, "too little text")
+    none = F.col("noarchive")
+    return rows.select("page_id", "url", "title", F.when(none, F.slice("blocks", 1, 0)).otherwise(F.col("blocks")).alias("blocks"), F.coalesce("clipped", F.lit(False)).alias("clipped"), F.when(~none, F.col("text")).alias("text"), error.alias("error"))

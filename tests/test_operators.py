@@ -56,12 +56,37 @@ def test_blocks(spark):
     assert [(b["type"], b["text"]) for b in got] == [("heading", "Head"), ("paragraph", "One link"), ("paragraph", "Two"), ("paragraph", "Two"), ("divider", ""), ("divider", ""), ("list", "a\nb"), ("code", "x = 1\n  y"), ("image", ""), ("paragraph", "Follow us"), ("divider", "")]
     df = spark.createDataFrame([(1, "https://a.com/x", page), (2, "https://a.com/y", None), (3, "https://a.com/z", "<meta name='robots' content='noarchive'><p>" + "word " * 90)], "page_id long, url string, html string")
     rows = {r.page_id: r for r in blocks.extract_pages(df).collect()}
-    assert [b.type for b in rows[1].blocks] == ["heading", "paragraph", "paragraph", "divider", "list", "code", "image"] and rows[1].title == "T &amp; x"
+    assert [b.type for b in rows[1].blocks] == ["heading", "paragraph", "paragraph", "divider", "list", "code", "image"] and rows[1].title == "T & x"
     assert rows[2].title == "https://a.com/y" and rows[3].error == "noarchive" and rows[3].text is None and not rows[3].blocks
     ids = blocks.with_ids(spark.createDataFrame([(1, i, k, t) for i, (k, t) in enumerate([("p", "a"), ("p", "b"), ("p", "a")])], "d int, pos int, k string, t string"), "d", "pos", F.col("k"), F.col("t")).orderBy("pos").collect()
     assert ids[2].block_id == ids[0].block_id + "-2"
 
 
+def test_noise_names():
+    kinds = lambda html: [(b["type"], b["text"]) for b in htmltree.blocks(html, "https://a.com/p/")]
+    assert kinds("<div class='newsletter-page'><article><p>Kept</p></article></div>") == [("paragraph", "Kept")]
+    assert kinds("<div class='promo-box'><p>Gone</p></div><p>Stays, and is the longer of both</p>") == [("paragraph", "Stays, and is the longer of both")]
+    assert kinds("<pre>x <span class='token comment'># why</span></pre><p>y</p>") == [("code", "x # why"), ("paragraph", "y")]
+    assert kinds("<div id='ad-hoc' class='section level2'><h2>Ad hoc</h2></div><p>long enough a text to hold more than half</p>")[0] == ("heading", "Ad hoc")
+    assert kinds("<div id='comments'><h2>3 comments</h2><p>much more text than the page itself has</p></div><p>a</p>") == [("paragraph", "a")]
+    assert kinds("<title>Not text</title><p>a</p>") == [("paragraph", "a")]
+    assert kinds("<ul><li><a href='https://t.me/share'>s</a><li>b</ul>") == [("list", "s\nb")]
+
+
+def test_images_of_pages():
+    link = lambda html: [b["url"] for b in htmltree.blocks(html, "https://a.com/p/x") if b["type"] == "image"]
+    assert link("<img srcset='/c_limit,w_424/a.jpg 424w,/c_limit,w_848/a.jpg 848w'>") == ["https://a.com/c_limit,w_848/a.jpg"]
+    assert link("<img srcset='a.jpg, b.jpg 2x'>") == ["https://a.com/p/b.jpg"] and link("<img data-lazy-src='l.png' src='data:x'>") == ["https://a.com/p/l.png"]
+    assert link("<img src='data:x'><noscript><img src='/n.png'></noscript>") == ["https://a.com/n.png"] and link("<img src='javascript:1'>") == []
+
+
+def test_ids_of_blocks(spark):
+    """The ids are fixed values: they must never change."""
+    own = spark.createDataFrame([(1, "https://blog.test/", "<p>Local models are  <b>Fast</b></p><h2>Results</h2><img src='/figure.png' alt='A figure'><p>local MODELS are fast</p>")], "page_id long, url string, html string")
+    got = blocks.page_blocks(own).orderBy("pos").collect()
+    assert [r.block_id for r in got] == ["pd6988894", "h073e213f", "i599b87fb", "pd6988894-2"] and not any(r.clipped for r in got)
+
+
 def test_linked_data(spark):
     html = "<script type='application/ld+json'>{broken</script><script type='application/ld+json'>{\"@graph\":[{\"author\":\"A\"}]}</script>"
     assert spark.range(1).select(blocks.linked_data(F.lit(html), "author").alias("x")).first().x == "A"
