@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, scoring, text, urls
-from ..operators import blocks, dedupe, publish, queue, ranking, search, serve, state
+from ..operators import blocks, dedupe, publish, queue, ranking, reading, search, serve, state
 from ..sources.tables import shared, table
 from ..streaming import streams
 
@@ -389,6 +389,106 @@ def sources_queue(spark, d):
     return closed.join(rows.select("id", queue.library_state(F.lit(None).cast("long"), F.col("status"), F.col("attempts"))["state"].alias("state")), "id")
 
 
+_FEED = f"""select i.*, o_orderstatus category, id % 9 = 0 must_read, coalesce(read, false) read, coalesce(saved, false) saved from ({_ITEMS}) i join (select o_orderkey, o_orderstatus from orders) o on o_orderkey = id
+    left join (select event_id, event_type = 'view' read, event_type = 'purchase' saved from events) e on event_id = id"""
+
+
+@query(f"""with f as ({_FEED}), v as (select 'all' as view, * from f where not must_read union all select 'saved', * from f where saved union all select 'P', * from f where category = 'P')
+    select view, issue_id, id, row_number() over (partition by view, issue_id order by case when must_read then 0 else 2 end + case when read then 1 else 0 end, score desc, id) rank from v""")
+def feed_views(spark, d):
+    event = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_type") == "view").alias("read_before"), (F.col("event_type") == "purchase").alias("saved"))
+    rows = items(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("category")), "id").join(event, "id", "left")
+    rows = rows.withColumns({"must_read": F.col("id") % 9 == 0, "saved_before": F.lit(False)})
+    found = [reading.in_view(rows, v, ["issue_id"], [F.desc("score"), "id"]).select(F.lit(v).alias("view"), "issue_id", "id", "rank") for v in ("all", "saved", "P")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by coalesce(c_acctbal < 0, false), c_custkey) rank from customer")
+def down_last_order(spark, d):
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", (F.col("c_acctbal") < 0).alias("disliked"))
+    return ranking.ranked(rows, ["c_nationkey"], reading.down_last("disliked", ["c_custkey"])).select("c_nationkey", "c_custkey", "rank")
+
+
+@query("select user_id, event_id, row_number() over (partition by user_id order by event_id % 2 = 0, ts desc, event_id desc) rank from events where event_type = 'signup'")
+def todo_order(spark, d):
+    rows = table(spark, d, "events").where("event_type = 'signup'").withColumn("done", F.col("event_id") % 2 == 0)
+    return ranking.ranked(rows, ["user_id"], reading.todo_order("done", "ts", "event_id")).select("user_id", "event_id", "rank")
+
+
+@query(f"""with n as (select *, row_number() over (partition by user_id order by claimed_at desc, id desc) k from ({_QUEUE}) qualify k <= 10)
+    select user_id, id, row_number() over (partition by user_id order by claimed_at, id) as position, case when status = 'failed' then 'failed' when status = 'done' and id % 2 = 0 then 'done' else 'pending' end state,
+    case when status = 'done' and id % 2 = 0 then id end post_id from n""")
+def source_thread(spark, d):
+    rows = reading.thread(_queue(spark, d), "user_id", [F.desc("claimed_at"), F.desc("id")], ["claimed_at", "id"])
+    told = reading.reply(F.col("status"), F.when(F.col("id") % 2 == 0, F.col("id")), F.lit("no text"))
+    return rows.select("user_id", "id", "position", told["state"].alias("state"), told["post_id"].alias("post_id"))
+
+
+_DAYS = f"""select event_type, event_id, {BUDAPEST}::date as day, row_number() over (partition by event_type, {BUDAPEST}::date order by value desc, event_id) rank from events qualify rank <= 10"""
+
+
+def _days(spark, d):
+    rows = table(spark, d, "events").select(dates.budapest_day(F.col("ts")).alias("day"), "event_type", F.col("event_id").alias("item_id"), "value")
+    return ranking.top(rows, ["event_type", "day"], [F.desc("value"), "item_id"], 10).select("event_type", "day", "item_id", "rank")
+
+
+@query(f"select day, event_type, rank, event_id item_id, title from ({_DAYS}) join ({_ITEMS}) on id = event_id")
+def day_list_items(spark, d):
+    return reading.listed(_days(spark, d), items(spark, d).select("id", "title")).select("day", "event_type", "rank", "item_id", "title")
+
+
+@query(f"select id, title, rank daily_rank from ({_ITEMS}) left join ({_DAYS}) on event_id = id")
+def item_cards(spark, d):
+    return reading.cards(items(spark, d), _days(spark, d)).select("id", "title", "daily_rank")
+
+
+@query(f"select event_id, strftime({BUDAPEST}, '%m. %d.') label from events")
+def added_labels(spark, d):
+    return table(spark, d, "events").select("event_id", reading.added_label(F.col("ts")).alias("label"))
+
+
+@query("select o_orderkey, o_custkey source_id, c_name owner from orders left join (select * from customer where c_custkey % 3 <> 0) on c_custkey = o_custkey")
+def post_sources(spark, d):
+    sources = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("owner"))
+    return reading.with_source(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("source_id")), sources, ["owner"]).select("o_orderkey", "source_id", "owner")
+
+
+@query("select 'local-' || lower(replace(strftime(o_orderdate, '%G-W%V'), '-', '')) || '-story-' || o_orderkey item_id, o_orderkey % 2 = 0 is_read from orders where strftime(o_orderdate, '%G-W%V') = '1998-W07'")
+def week_states(spark, d):
+    """Flags of one week out of all that are kept."""
+    ids = F.concat(F.lit("local-"), dates.week_compact(_day()), F.lit("-story-"), "o_orderkey")
+    return reading.week_states(table(spark, d, "orders").select(ids.alias("item_id"), (F.col("o_orderkey") % 2 == 0).alias("is_read")), "1998-W07")
+
+
+@query(f"""with i as ({_ITEMS}) select '1998-W07' asked, issue_id, id, 'Snapshot ' || id title from i where issue_id = '1998-W07' union all select '2001-W20', issue_id, id, title from i where issue_id = '2001-W20'""")
+def week_route(spark, d):
+    """A closed week from its snapshot, the present one live, and one that is no week."""
+    live = items(spark, d).select("issue_id", "id", "title")
+    kept = live.withColumn("title", F.concat(F.lit("Snapshot "), "id"))
+    found = [reading.week_items(kept, live, w, "2001-W20").select(F.lit(w).alias("asked"), "issue_id", "id", "title") for w in ("1998-W07", "2001-W20", "1998-W77")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"select count(distinct user_id) queued, count(*) filter (status <> 'pending') processed, count(*) filter (status = 'done') inserted from ({_QUEUE})")
+def run_counts(spark, d):
+    return reading.run_counts(_queue(spark, d), "user_id", F.col("status") != "pending", F.col("status") == "done")
+
+
+@query(f"with p as ({_PAGES}) select s.page_id id, s.url_key, i.page_id item_id from p s left join p i on s.url_key = i.url_key and i.page_id % 2 = 0 where s.page_id % 2 = 1")
+def items_of_links(spark, d):
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), urls.url_key(F.col("url")).alias("url_key"))
+    return reading.items_of_links(rows.where("id % 2 = 1"), rows.where("id % 2 = 0").withColumnRenamed("id", "item_id")).select("id", "url_key", "item_id")
+
+
+@query("""with c as (select doc_id, row_number() over (order by quality desc, doc_id) - 1 i, lang, source, split_part(text, chr(10), 1) t from documents join labels using (doc_id) qualify i < 60)
+    select string_agg('[' || i || '] (' || coalesce(lang, '?') || ') ' || left(t, 80) || ' — ' || coalesce(source, '?') || case when t <> '' then chr(10) || '    ' || left(t, 280) else '' end, chr(10) order by i) listing from c""")
+def judge_listing(spark, d):
+    """The 60 best documents as a judge gets them."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    rows = rows.select("doc_id", "quality", F.coalesce("lang", F.lit("?")).alias("hint"), F.coalesce("source", F.lit("?")).alias("source"), F.substring(_headline(), 1, 80).alias("title"), _headline().alias("snippet"))
+    return reading.listing(rows, [F.desc("quality"), "doc_id"])
+
+
 @query(f"select id, attempts from ({_QUEUE}) where status <> 'done' and attempts < 3 order by id limit 10")
 def queue_due(spark, d):
     return queue.due(_queue(spark, d)).select("id", "attempts")

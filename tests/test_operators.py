@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleanery.functions import htmltree, text
-from gleanery.operators import blocks, dedupe, publish, queue, ranking, search, state
+from gleanery.operators import blocks, dedupe, publish, queue, ranking, reading, search, state
 from gleanery.sources import feeds
 
 
@@ -132,3 +132,15 @@ def test_a_reader_s_columns_stay(spark):
 def test_words_of_nothing(spark):
     df = spark.createDataFrame([(None,), ("",), ("the",)], "t string")
     assert [r.w for r in df.select(text.words(F.col("t")).alias("w")).collect()] == [None, [], []]
+
+
+def test_reading(spark):
+    raw = lambda x: spark.range(1).select(reading.repository_image(F.lit(x), F.lit("Own/Repo"), F.lit("main")).alias("x")).first().x
+    base = "https://raw.githubusercontent.com/Own/Repo/"
+    assert [raw(x) for x in ("/a.png", "/own/repo/blob/dev/d/a.png", "/own/other/a.png", "//cdn.test/a.png", "a.png")] == [base + "main/a.png", base + "dev/d/a.png", base + "main/own/other/a.png", None, None]
+    one = spark.createDataFrame([("pdf",), ("other",)], "k string").select(reading.kind_name(F.col("k")).alias("n")).collect()
+    assert one[0].n.en == "PDF" and one[1].n is None
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    assert [r.t for r in reading.by_id(rows, "id", 2).collect()] == ["b"] and reading.by_id(rows, "id", 3).count() == 0
+    said = spark.createDataFrame([("failed", 1), ("done", None), ("done", 4)], "s string, p int").select(reading.reply(F.col("s"), F.col("p"), F.lit("e")).alias("r")).collect()
+    assert [tuple(r.r) for r in said] == [("failed", None, "e"), ("pending", None, None), ("done", 4, None)]
