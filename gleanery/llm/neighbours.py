@@ -95,7 +95,8 @@ class Index:
         self.vocabulary, self.idf, self.y, self.ids = vocabulary, idf, y, ids
         example, term, weight = vectors if isinstance(vectors, tuple) else (*(at := np.nonzero(vectors)), vectors[at])
         order = np.lexsort((example, term))
-        example, term, weight = example[order].astype(np.int32), term[order], weight[order].astype(np.float32)
+        example, term, weight = example[order].astype(np.int32, copy=False), term[order], weight[order].astype(np.float32, copy=False)
+        del order
         n = np.bincount(term, minlength=len(vocabulary))
         self.sent = example.astype(np.uint16) if len(y) < 1 << 16 else example, n.astype(np.int32), weight
         self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.zeros(1)
@@ -223,12 +224,14 @@ def distinct(sets: list[np.ndarray]) -> np.ndarray:
     names, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_counts=True)
     rank = np.empty(len(names), np.int32)
     rank[np.argsort(times, kind="stable")] = np.arange(len(names))
+    once = int((times == 1).sum())  # the lowest ranks: in one set alone, so no two sets meet there
     own: dict[int, np.ndarray] = {}
     heads: dict[int, list[int]] = {}
     stay = []
     for i, x in enumerate(sets):
         mine = np.sort(rank[np.searchsorted(names, x)])  # rarest first: copies share one of the first few
-        head = mine[: len(mine) - (COPY * len(mine) + 99) // 100 + 1].tolist()
+        head = mine[: len(mine) - (COPY * len(mine) + 99) // 100 + 1]
+        head = head[head >= once].tolist()
         for j in sorted({j for h in head for j in heads.get(h, ())}):
             a, b = len(mine), len(own[j])
             if min(a, b) * 100 >= COPY * max(a, b):
