@@ -85,7 +85,7 @@ def _among(x: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight).
+    """Examples as unit vectors over the vocabulary, in blocks; ``vectors`` are a matrix or (example, term, weight) by term, then by example.
 
     Without ``search`` it is there to be sent: whoever receives it sets up the
     blocks and dense rows.
@@ -93,10 +93,10 @@ class Index:
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple, y: np.ndarray, ids: np.ndarray, search: bool = True):
         self.vocabulary, self.idf, self.y, self.ids = vocabulary, idf, y, ids
-        example, term, weight = vectors if isinstance(vectors, tuple) else (*(at := np.nonzero(vectors)), vectors[at])
-        order = np.lexsort((example, term))
-        example, term, weight = example[order].astype(np.int32, copy=False), term[order], weight[order].astype(np.float32, copy=False)
-        del order
+        if not isinstance(vectors, tuple):
+            term, example = np.nonzero(vectors.T)
+            vectors = example, term, vectors[example, term]
+        example, term, weight = vectors[0].astype(np.int32, copy=False), vectors[1], vectors[2].astype(np.float32, copy=False)
         n = np.bincount(term, minlength=len(vocabulary))
         self.sent = example.astype(np.uint16) if len(y) < 1 << 16 else example, n.astype(np.int32), weight
         self.knots: tuple[np.ndarray, np.ndarray] = np.zeros(1), np.zeros(1)
@@ -276,12 +276,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     first = by[np.searchsorted(found.column("row").to_numpy()[by], row)]
     own = arrays(found, "terms", "<u8", first)
     size = np.array([len(t) for t in own], np.int64)
-    names = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
-    which = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(names, t).astype(np.int32) for t in own)])
-    weight = np.concatenate([np.zeros(0, np.float32), *((1 + np.log(n)).astype(np.float32) for n in arrays(found, "times", "<i4", first))])
-    del found, own
-    pa.default_memory_pool().release_unused()
     ends = np.concatenate([[0], np.cumsum(size)])
+    names = np.zeros(0, np.uint64)
+    for i in range(0, len(own), BATCH):
+        names = np.union1d(names, np.concatenate(own[i : i + BATCH]))
+    which, weight, times = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32), arrays(found, "times", "<i4", first)
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        which[a:b], weight[a:b] = np.searchsorted(names, own[i]), 1 + np.log(times[i])
+    del found, own, times
+    pa.default_memory_pool().release_unused()
     d = np.zeros((2, len(names)), np.int64)
     for k, a, b in zip(y, ends, ends[1:]):
         d[k, which[a:b]] += 1
@@ -299,7 +302,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     order = np.lexsort((heaviest, y))
     place = np.empty(len(y), np.int32)
     place[order] = np.arange(len(y))
-    index = Index(names, idf, (np.repeat(place, size), which, weight), y[order], ids[order], search=False)
+    # examples in the order of their places fill the lists of their terms: no sort of all entries
+    each = d.sum(0)
+    begin = np.cumsum(each) - each
+    example, listed = np.empty(len(which), np.int32), np.empty(len(which), np.float32)
+    for p, i in enumerate(order):
+        t = which[ends[i] : ends[i + 1]]
+        example[begin[t]], listed[begin[t]] = p, weight[ends[i] : ends[i + 1]]
+        begin[t] += 1
+    del which, weight
+    index = Index(names, idf, (example, np.repeat(np.arange(len(names), dtype=np.int32), each), listed), y[order], ids[order], search=False)
     if not len(y):
         return index
     by = np.argsort(row)
