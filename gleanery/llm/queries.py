@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, ftrl, jaccard, languages, neighbours, packing, pieces, quality, repair, substring
+from . import contamination, forest, ftrl, heaps, jaccard, languages, neighbours, packing, pieces, quality, ranked, repair, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,19 @@ def op10_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.get("evidence", F.lit(0))["doc_id"].alias("nearest"))
 
 
+def op11_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op12_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heaps.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, salt="3:")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +83,9 @@ QUERIES = {
         op8_count_vector_rtree_join,
         op9_minhash_containment,
         op10_block_max_neighbours,
+        op11_hash_prefix_forest,
+        op12_limited_accumulators,
+        op13_heap_bounds,
     )
 }
 #: Words w of each document, and (folded) of each document or item.
@@ -77,6 +93,31 @@ _WORDS = "select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\
 _FOLDED = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _SHINGLES = "list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)"
 
+
+
+def _clusters(k: int, rounds: int, dims: int, salt: str) -> str:
+    """Rounds of assignment and floored means, one table each."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    assigned = f"select vec_id, v, arg_min(j, {{'d': {far}, 'j': j}}) j, min({far}) d from x, cROUND group by vec_id, v"
+    steps = [
+        f"""x as materialized (select vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) v from embeddings
+            where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims})""",
+        f"c0 as materialized (select (row_number() over (order by h) - 1)::int j, v c from (select v, sha256('{salt}' || vec_id) h from x order by h limit {k}))",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} as materialized ({assigned.replace("ROUND", str(r))})",
+            f"s{r} as (select j, i, sum(e)::hugeint s, count(*) n from (select j, unnest(v) e, unnest(range(1, {dims} + 1)) i from a{r}) group by j, i)",
+            f"m{r} as (select j, list(((s - ((s % n) + n) % n) // n)::bigint order by i) c from s{r} group by j)",
+            f"c{r + 1} as materialized (select j, coalesce(m{r}.c, c{r}.c) c from c{r} left join m{r} using (j))",
+        ]
+    return f"""
+        with {", ".join(steps)},
+        last as materialized ({assigned.replace("ROUND", str(rounds))})
+        select vec_id, j "cluster", d distance, (sum(d) over (partition by j))::bigint cluster_inertia, (sum(d) over ())::bigint inertia,
+            sha256(array_to_string(c, ',')) centroid_sha256 from last join c{rounds} using (j)"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op2_difference_cover_dedup": f"""
@@ -105,4 +146,15 @@ ORACLE: dict[str, str] = {
         dx as (select doc_id, unnest(s) x from d)
         select doc_id, item_id, n::bigint n_item_shingles, count(*)::bigint n_shared from ix join dx using (x)
         group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+    "op12_limited_accumulators": r"""
+        with folded as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from documents),
+        tf as (select doc_id, t, count(*) f from folded group by all),
+        lengths as (select doc_id, sum(f)::bigint n from tf group by 1),
+        whole as (select count(*) big_n, sum(n)::bigint l from lengths),
+        asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark),
+        w as (select t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::bigint w from tf, whole group by t, big_n),
+        scores as (select item_id, doc_id, sum(w * ((1000000000 * f) // (1000 * f + 8 * (100 - 90 + ((90 * n * big_n) // l)))))::bigint score from asked join tf using (t) join w using (t) join lengths using (doc_id), whole group by 1, 2)
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int "rank", doc_id, score from scores where score > 0
+        qualify "rank" <= 10""",
+    "op13_heap_bounds": _clusters(8, 10, 64, "3:"),
 }
