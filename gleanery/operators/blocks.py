@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html as entities
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,13 @@ from ..functions import htmltree
 from ..functions.text import collapse, fnv1a
 
 _TEXT = T.StringType()
-BLOCK = T.StructType([T.StructField(k, t) for k, t in (("type", _TEXT), ("text", _TEXT), ("level", T.IntegerType()), ("language", _TEXT), ("ordered", T.BooleanType()), ("url", _TEXT), ("hrefs", T.ArrayType(_TEXT)), ("link_only", T.BooleanType()))])
+#: A run of text under the same marks; a null mark is none.
+SPAN = T.StructType([T.StructField("text", _TEXT), T.StructField("href", _TEXT), *(T.StructField(k, T.BooleanType()) for k in ("bold", "italic", "code"))])
+_FIELDS = (
+    ("type", _TEXT), ("text", _TEXT), ("identity", _TEXT), ("level", T.IntegerType()), ("language", _TEXT), ("ordered", T.BooleanType()), ("url", _TEXT), ("alt", _TEXT),
+    ("caption", _TEXT), ("cite", _TEXT), ("provider", _TEXT), ("video_id", _TEXT), ("content", T.ArrayType(SPAN)), ("items", T.ArrayType(T.ArrayType(SPAN))),
+)
+BLOCK = T.StructType([T.StructField(k, t) for k, t in _FIELDS])
 MOST_BLOCKS, MOST_CHARS = 400, 200_000
 # fixed values
 SHARE_LINK = r"(?i)(twitter\.com/intent|x\.com/intent|facebook\.com/sharer|linkedin\.com/share|reddit\.com/submit|news\.ycombinator\.com/submitlink|t\.me/share|wa\.me/)"
@@ -28,8 +33,14 @@ AVATAR_HOST = r"(?i)((^|\.)gravatar\.com$)|(avatars\d*\.githubusercontent\.com$)
 
 @F.pandas_udf(T.ArrayType(BLOCK))
 def html_blocks(html: pd.Series, page: pd.Series) -> pd.Series:
-    keys = ("type", "text", "level", "language", "ordered", "url", "hrefs", "link_only")
-    return pd.Series([[{k: b.get(k) for k in keys} for b in htmltree.blocks(x, at)] for x, at in zip(html, page)])
+    keys, marks = BLOCK.fieldNames(), SPAN.fieldNames()
+    spans = lambda found: None if found is None else [{k: x.get(k) for k in marks} for x in found]
+
+    def row(b: dict) -> dict:
+        items = None if b.get("items") is None else [spans(x) for x in b["items"]]
+        return {**{k: b.get(k) for k in keys}, "content": spans(b.get("content")), "items": items}
+
+    return pd.Series([[row(b) for b in htmltree.blocks(x, at)] for x, at in zip(html, page)])
 
 
 @F.pandas_udf(_TEXT)
@@ -38,11 +49,6 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else entities.unescape(x))
 
 
-@F.pandas_udf(_TEXT)
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def meta(html: Column, name: str) -> Column:
     """A meta tag's content, by name or property."""
     tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*>", 0)
@@ -74,26 +80,33 @@ def is_icon(url: Column) -> Column:
     return host.rlike(BADGE_HOST) | F.array_contains(F.split(path, "/"), "badge") | host.rlike(AVATAR_HOST) | F.regexp_extract(path, "([^/]*)$", 1).rlike(ICON_FILENAME)
 
 
+def _shared(spans: Column) -> Column:
+    return F.exists(spans, lambda s: F.coalesce(s["href"].rlike(SHARE_LINK), F.lit(False)))
+
+
 def is_noise(b: Column, host: Column) -> Column:
-    text = F.trim(b["text"])
-    links = F.coalesce(b["hrefs"], F.array().cast("array<string>"))
-    all_shared = F.size(F.filter(links, lambda h: h.rlike(SHARE_LINK))) >= F.size(F.split(b["text"], "\n"))
-    shared = F.exists(F.coalesce(b["hrefs"], F.array().cast("array<string>")), lambda h: h.rlike(SHARE_LINK))
-    inside = F.forall(F.coalesce(b["hrefs"], F.array().cast("array<string>")), lambda h: h.startswith("/") | (F.regexp_replace(F.lower(F.regexp_extract(h, r"^https?://([^/?#]+)", 1)), r"^www\.", "") == host))
-    worded = b["type"].isin("paragraph", "quote", "heading")
+    """Empty texts, short calls to act, share links, links that lead back into the site alone, icons. host: of the page, without www."""
+    text, spans, items = F.trim(b["text"]), F.coalesce(b["content"], _none(SPAN)), F.coalesce(b["items"], _none(T.ArrayType(SPAN)))
+    own = lambda href: F.regexp_replace(F.lower(F.regexp_extract(href, r"^https?://([^/?#:]+)", 1)), r"^www\.", "") == host
+    running, worded = b["type"].isin("paragraph", "quote"), b["type"].isin("paragraph", "quote", "heading")
+    inside = F.forall(spans, lambda s: F.coalesce(own(s["href"]), F.trim(s["text"]) == ""))
     return (
         (worded & (text == ""))
         | (worded & (F.length(text) < 120) & (text.rlike(BOILERPLATE_PHRASE) | text.rlike(BOILERPLATE_EXACT) | text.rlike(BOILERPLATE_PREFIX)))
-        | (b["type"].isin("paragraph", "quote") & shared & (F.length(text) < 200))
-        | ((b["type"] == "list") & all_shared)
-        | (b["type"].isin("paragraph", "quote") & F.coalesce(b["link_only"], F.lit(False)) & (F.length(text) < 40) & inside)
+        | (running & _shared(spans) & (F.length(text) < 200))
+        | ((b["type"] == "list") & F.forall(items, lambda item: (F.trim(F.array_join(F.transform(item, lambda s: s["text"]), "")) == "") | _shared(item)))
+        | (running & (F.size(spans) > 0) & inside & (F.length(text) < 40))
         | ((b["type"] == "image") & is_icon(b["url"]))
     )
 
 
-def identity(b: Column) -> Column:
-    """What makes two blocks the same: an image's link, else the text (given in NFKC) in lower case with single blanks."""
-    return F.when(b["type"] == "image", b["url"]).otherwise(collapse(F.lower(b["text"])))
+def _none(kind: T.DataType) -> Column:
+    return F.array().cast(T.ArrayType(kind))
+
+
+def repeat_key(b: Column) -> Column:
+    """What makes a block a repeat of the one before: code by its exact text, others by their identity (an image's link, a video, folded text)."""
+    return F.when(b["type"] == "code", b["text"]).otherwise(b["identity"])
 
 
 def without_noise(blocks: Column, host: Column) -> Column:
@@ -103,7 +116,7 @@ def without_noise(blocks: Column, host: Column) -> Column:
 
     def step(kept: Column, b: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
-        again = (last["type"] == b["type"]) & (identity(b) != "") & (identity(last) == identity(b))
+        again = (last["type"] == b["type"]) & (repeat_key(b) != "") & (repeat_key(last) == repeat_key(b))
         idle = (b["type"] == "divider") & (last.isNull() | (last["type"] == "divider"))
         return F.when(F.coalesce(again, F.lit(False)) | F.coalesce(idle, F.lit(False)), kept).otherwise(F.concat(kept, F.array(b)))
 
@@ -136,9 +149,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)), r"^www\.", "")
     rows = pages.select("page_id", F.posexplode(without_noise(html_blocks("html", "url"), host)).alias("pos", "b")).select("page_id", "pos", "b.*")
     kept = clip(rows.withColumn("_n", F.length("text")), "page_id", "pos", "_n").drop("_n")
-    same = kept.withColumn("_same", nfkc("text"))
-    content = F.when(F.col("type") == "image", F.col("url")).otherwise(collapse(F.lower("_same")))
-    return with_ids(same, "page_id", "pos", F.col("type"), content).drop("_same")
+    return with_ids(kept, "page_id", "pos", F.col("type"), F.col("identity"))
 
 
 def extract_pages(pages: DataFrame, least: int = 200) -> DataFrame:

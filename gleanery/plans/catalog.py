@@ -582,13 +582,6 @@ def star_labels(spark, d):
     return table(spark, d, "orders").select(n.alias("n")).distinct().select("n", text.format_stars(F.col("n")).alias("label"))
 
 
-@query()
-def html_blocks(spark, d):
-    """Blocks of all pages after the noise rules, by kind."""
-    found = blocks.extract_pages(table(spark, d, "pages"))
-    return found.select("page_id", "error", F.explode_outer(F.transform("blocks", lambda b: b["type"])).alias("kind")).groupBy("page_id", "error", "kind").agg(F.count("kind").alias("n"))
-
-
 @query(r"select page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')), '') title from pages")
 def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", blocks.page_title(F.col("html")).alias("title"))
@@ -613,23 +606,6 @@ def block_ids(spark, d):
     return blocks.with_ids(_lines(spark, d), "doc_id", "pos", F.lit("paragraph"), F.col("line")).select("doc_id", "pos", "block_id")
 
 
-#: Bits of paragraphs that each rule takes away or leaves; the last blank in a link stands for the document.
-_BITS = {"Follow us on every channel": True, "Sponsored": True, "Sponsored work is work": False, "Related posts": True, "Oszd meg mindenkivel": True, "We follow users": False}
-_PICTURES = {"https://a.test/silicon-photonics.jpg": False, "https://a.test/site-logo.png": True, "https://img.shields.io/x.svg": True, "https://a.test/badge/x.svg": True, "https://avatars2.githubusercontent.com/u/1": True, "https://a.test/avatar-generation-demo.png": False, "https://a.test/logo/figure.png": False}
-
-
-@query(f"""with b(kind, value, noise) as (values {", ".join(f"('paragraph', '{k}', {v})" for k, v in _BITS.items())}, {", ".join(f"('image', '{k}', {v})" for k, v in _PICTURES.items())})
-    select doc_id, kind, value, noise and not (kind = 'paragraph' and length(text) >= 120) noise from b, (select doc_id, split_part(text, chr(10), 1) text from documents)""")
-def block_noise(spark, d):
-    """The noise rules on fixed blocks beside each document's first line: a label in a text of 120 characters or more stays."""
-    fixed = [("paragraph", k) for k in _BITS] + [("image", k) for k in _PICTURES]
-    rows = table(spark, d, "documents").select("doc_id", _headline().alias("line"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in fixed))).alias("x")).select("doc_id", "line", "x.*")
-    picture = F.col("kind") == "image"
-    told = F.when(F.length("line") >= 120, F.concat_ws(" ", "value", "line")).otherwise(F.col("value"))
-    block = F.struct(F.col("kind").alias("type"), F.when(picture, "").otherwise(told).alias("text"), F.when(picture, F.col("value")).alias("url"), F.array().cast("array<string>").alias("hrefs"), F.lit(False).alias("link_only"))
-    return rows.withColumn("b", block).select("doc_id", "kind", "value", blocks.is_noise(F.col("b"), F.lit("a.test")).alias("noise"))
-
-
 @query("select strftime(ts, '%G-W%V') as week, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def tumbling_week_stream(spark, d):
     stream = streams.weekly(streams.events_stream(spark, _folder(spark, d, "events")))
