@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_is_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
     want = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in want.description]
