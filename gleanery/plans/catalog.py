@@ -608,23 +608,40 @@ def block_ids(spark, d):
 
 @query("select strftime(ts, '%G-W%V') as week, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def tumbling_week_stream(spark, d):
-    stream = streams.weekly(streams.events_stream(spark, _folder(spark, d, "events")))
-    return streams.run_once(stream, "weekly", _place(spark), "complete").withColumn("total", F.round("total", 4))
+    """The table as a stream in update mode: a batch writes the weeks that it changes."""
+    weeks, place = streams.weekly(streams.table_stream(spark, d, "events", streams.EVENT)), _place(spark)
+    streams.drain_weeks(weeks, f"{place}/weeks", f"{place}/state")
+    return spark.read.schema(weeks.schema).parquet(f"{place}/weeks").withColumn("total", F.round("total", 4))
 
 
 @query("select distinct event_id, event_type from events")
 def dedupe_watermark_stream(spark, d):
-    once = streams.events_stream(spark, _folder(spark, d, "events"))
+    once = streams.table_stream(spark, d, "events", streams.EVENT)
     stream = streams.first_seen(once.unionByName(once), "event_id", "60 days").select("event_id", "event_type")
     return streams.run_once(stream, "first-seen", _place(spark))
 
 
-def _place(spark) -> str:
-    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+#: Steps of the queue that events stand for, a second apart.
+_STEP = "case event_type when 'click' then 'done' when 'view' then 'error' else 'claim' end"
+
 
+@query(
+    f"""with recursive s as (select event_id % 500 id, ts, {_STEP} step, row_number() over (partition by event_id % 500 order by ts, event_id) n from events),
+    q(id, n, status, attempts, claimed) as (select distinct id, 0::bigint, 'pending', 0, null::timestamp from s
+        union all select q.id, s.n, case when step = 'done' then 'done' when step = 'error' and status <> 'done' then case when attempts >= 3 then 'failed' else 'pending' end else status end,
+            case when step = 'claim' and status = 'pending' and attempts < 3 and not coalesce(ts < claimed + interval 10 minute, false) then attempts + 1 else attempts end,
+            case when step = 'claim' and status = 'pending' and attempts < 3 and not coalesce(ts < claimed + interval 10 minute, false) then ts when step in ('done', 'error') and status <> 'done' then null else claimed end
+        from q join s on s.id = q.id and s.n = q.n + 1),
+    last as (select id, arg_max(status, n) status, arg_max(attempts, n) attempts, arg_max(coalesce(claimed, timestamp '1970-01-01'), n) claimed from q group by id)
+    select id, case when status = 'pending' and attempts >= 3 and ended then 'failed' else status end status, attempts, claimed > timestamp '1970-01-01' and not ended held
+    from (select *, claimed > timestamp '1970-01-01' and date_trunc('millisecond', claimed) + interval 10 minute < (select max(ts) from events) ended from last)"""
+)
+def queue_stream(spark, d):
+    """Links' state after a stream of steps, leases ended by the stream's time alone among it."""
+    steps = streams.table_stream(spark, d, "events", streams.EVENT).selectExpr("event_id % 500 as id", "ts", f"{_STEP} as step")
+    told = streams.run_once(streams.work_queue(steps), "queue", _place(spark), "update")
+    return told.groupBy("id").agg(F.max_by(F.struct("status", "attempts", "held"), "batch").alias("s")).select("id", "s.*")
 
-def _folder(spark, d, name) -> str:
-    """A folder for the file stream that holds the table."""
-    path = f"{_place(spark)}/{name}"
-    table(spark, d, name).write.parquet(path)
-    return path
+
+def _place(spark) -> str:
+    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"

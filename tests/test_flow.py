@@ -1,6 +1,8 @@
 """The daily run, extractors and the queue stream."""
 
 import datetime as dt
+import os
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -44,10 +46,45 @@ def test_extractors(spark):
     assert body.b.text == "é" and body.c.error == "body too large"
 
 
+def feed(spark, folder, batches, schema):
+    """Files of a folder, one a batch, in order."""
+    for i, rows in enumerate(batches):
+        path = f"{folder}/{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+        (part,) = Path(path).glob("*.parquet")
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
 def test_queue_stream(spark, tmp_path):
-    steps = [(1, "claim", 0), (1, "error", 1), (1, "claim", 20), (1, "claim", 21), (1, "done", 30), (2, "claim", 0), (2, "error", 1), (2, "claim", 2), (2, "error", 15), (2, "claim", 16), (2, "error", 17)]
-    rows = [(i, s, dt.datetime(2026, 1, 1, 0, m)) for i, s, m in steps]
-    spark.createDataFrame(rows, "id long, step string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, step string, ts timestamp").parquet(str(tmp_path / "in"))
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    steps = [(1, "claim", 0), (1, "error", 1), (1, "claim", 20), (1, "claim", 21), (1, "done", 30), (2, "claim", 0), (2, "error", 1), (2, "claim", 2), (2, "error", 15), (2, "claim", 16), (2, "error", 17), (3, "claim", 25), (4, "error", 3), (4, "claim", 5), (4, "claim", 15), (4, "claim", 25)]
+    schema = "id long, step string, ts timestamp"
+    feed(spark, tmp_path / "in", [[(i, s, at(m)) for i, s, m in steps], [(9, "claim", at(34))], [(9, "done", at(36))], [(8, "claim", at(60))], [(3, "claim", at(61)), (9, "claim", at(61))]], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = streams.run_once(streams.work_queue(stream), "queue", str(tmp_path), "update")
-    assert {r.id: (r.status, r.attempts) for r in got.collect()} == {1: ("done", 2), 2: ("failed", 3)}
+    rows = sorted((r.batch, r.id, r.status, r.attempts, r.held) for r in got.collect())
+    assert [r[1:] for r in rows if r[0] == 0] == [(1, "done", 2, False), (2, "failed", 3, False), (3, "pending", 1, True), (4, "pending", 3, True)]
+    ended = [r[1:] for r in rows if r[1] in (3, 4) and r[0] > 0]
+    # no step of theirs came: the leases of 3 and 4 end by time alone, the last attempt of 4 with it; then 3 is claimed again
+    assert ended == [(3, "pending", 1, False), (4, "failed", 3, False), (3, "pending", 2, True)]
+    assert [r[2:] for r in rows if r[1] == 9][-1] == ("done", 1, False)
+
+
+def test_weeks_close(spark, tmp_path):
+    day = lambda n, h=0: dt.datetime(2026, 1, 5) + dt.timedelta(days=n, hours=h)
+    row = lambda i, t, kind="a": (i, t, 1, kind, 1.5, None)
+    batches = [[row(1, day(0)), row(2, day(1)), row(3, day(8))], [row(4, day(6)), row(5, day(9), "b")], [row(6, day(16))], [row(7, day(2)), row(8, day(16))], [row(9, day(23))]]
+    feed(spark, tmp_path / "in", batches, streams.EVENT)
+    stream = spark.readStream.schema(streams.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    table = f"{tmp_path}/weeks"
+    query = streams.drain_weeks(streams.weekly(stream, "2 days"), table, f"{tmp_path}/state")
+    got = sorted((r.week, r.event_type, r.n, r.total) for r in spark.read.parquet(table).collect())
+    # event 7 comes when its week is over and is refused; event 4, a day late, is taken
+    assert got == [("2026-W02", "a", 3, 4.5), ("2026-W03", "a", 1, 1.5), ("2026-W03", "b", 1, 1.5), ("2026-W04", "a", 2, 3.0), ("2026-W05", "a", 1, 1.5)]
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(kept) <= 3 and kept[-1] <= 2
+    before = {p: p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet") if "W02" in str(p) or "W03" in str(p)}
+    spark.createDataFrame([row(10, day(0)), row(11, day(24))], streams.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    streams.drain_weeks(streams.weekly(stream, "2 days"), table, f"{tmp_path}/state")
+    assert [(r.n, r.total) for r in spark.read.parquet(table).where("week = '2026-W05'").collect()] == [(2, 3.0)]
+    assert before == {p: p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet") if "W02" in str(p) or "W03" in str(p)}
