@@ -13,8 +13,8 @@ from ..operators import daily, ingest, publish, queue, search, serve, state
 SEARCH_MOST = 8
 
 
-def get_search(kinds: dict[str, DataFrame], query: str) -> DataFrame:
-    return search.search_all(kinds, query, SEARCH_MOST)
+def get_search(tables: search.Tables | dict[str, DataFrame], query: str) -> DataFrame:
+    return search.search_all(tables, query, SEARCH_MOST)
 
 
 def get_state(log: DataFrame, viewer: str) -> DataFrame:

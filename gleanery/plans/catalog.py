@@ -327,16 +327,53 @@ def search_boolean(spark, d):
     return table(spark, d, "documents").where(search.matches(search.tokens(F.col("text")), 'the "of the" -idiot or und')).select("doc_id")
 
 
-@query()
-def search_trigram(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(search.word_similarity("gizmmo", F.lower("p_name")), 6).alias("similarity")).where(F.col("similarity") > search.SIMILAR)
+#: DuckDB: all trigrams of a text in order, and the similarity of a list of trigrams to the best run of another, over all runs.
+_GRAMS = r"flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+_ALIKE = "coalesce(list_max(list_transform(range(1, len(g) + 1), lambda i: list_max(list_transform(range(i, len(g) + 1), lambda j: len(list_intersect(g[i : j], n)) / (len(n) + len(list_distinct(g[i : j])) - len(list_intersect(g[i : j], n))))))), 0)"
+#: Titles hold 60 characters here: the twin measures every run of one.
+_SHORT = f"trim(left({_HEADLINE}, 60))"
 
 
-@query()
+@query(f"select p_partkey, round(s, 6) similarity from (select p_partkey, {_ALIKE} s from (select p_partkey, {_GRAMS.format('p_name')} g, list_distinct({_GRAMS.format(repr('smal gizmmo'))}) n from part)) where s > 0.45")
+def search_trigram(spark, d):
+    """Parts whose name is like a misspelt needle, measured where enough trigrams are shared."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("body"), none.alias("snippet"), none.alias("href"), none.alias("url"), none.alias("meta"))
+    tables, needle = search.index({"part": rows}), "smal gizmmo"
+    able = search.similar_titles(tables, needle).where(F.col("shared") > search.SIMILAR * len(set(search.trigrams(needle))))
+    found = tables.rows.join(able, ["kind", "id"]).select(F.col("id").cast("long").alias("p_partkey"), F.round(search.word_similarity(needle, F.col("title")), 6).alias("similarity"))
+    return found.where(F.col("similarity") > search.SIMILAR)
+
+
+def _search_kinds(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.trim(F.substring(_headline(), 1, 60)).alias("title"), F.col("text").alias("body"), F.col("text").alias("snippet"), F.concat(F.lit("/archive/"), "doc_id").alias("href"), F.lit(None).cast("string").alias("url"), F.concat_ws(" · ", "lang", "source").alias("meta"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("url").alias("body"), F.col("url").alias("snippet"), F.concat(F.lit("/library/"), "page_id").alias("href"), "url", urls.host_of(F.col("url")).alias("meta"))
+    return {"item": docs, "post": pages}
+
+
+def _search_sql(query: str, met: str, together: bool, words: list[str]) -> str:
+    """Every row of every kind is read: places of the words, the rule, the rank over all pairs of places, the title against all runs."""
+    pairs = " * ".join(f"list_product(list_transform(flatten(list_transform(p{a}, lambda x: list_transform(p{b}, lambda y: abs(x - y)))), lambda z: case when z between 1 and 100 then 1 - sqrt(0.01 / (1.005 + 0.05 * exp(z / 1.5 - 2))) else 1.0 end))" for a in range(len(words)) for b in range(a))
+    ranked = f"(case when 1 - {pairs} > 0 then 1 - {pairs} else 1e-20 end)" if together else "((" + " + ".join(f"coalesce(list_sum(list_transform(range(1, len(p{i}) + 1), lambda k: 0.1 / (k * k))), 0) / 1.64493406685" for i in range(len(words))) + f") / {len(words)})"
+    places = ", ".join(f"list_distinct(list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{w}'), lambda i: least(i, 16383)))[1 : 256] p{i}" for i, w in enumerate(words))
+    return f"""with k as (select 'item' kind, doc_id::varchar id, {_SHORT} title, concat_ws(' ', {_SHORT}, text) body, left(text, 240) snippet, '/archive/' || doc_id href, null url, concat_ws(' · ', lang, source) meta from documents
+        union all select 'post', page_id::varchar, url, concat_ws(' ', url, url), left(url, 240), '/library/' || page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') from pages),
+    t as (select * exclude (body), {_TOKENS.replace("text", "body")} t, {_GRAMS.format("coalesce(title, '')")} g, list_distinct({_GRAMS.format(repr(query))}) n from k),
+    p as (select *, {places}, ' ' || array_to_string(t, ' ') || ' ' s from t where len(list_intersect(t, {words!r})) > 0 or len(list_intersect(g, n)) > 0.45 * len(n)),
+    r as (select *, ({met}) met, {_ALIKE} sim from p)
+    select kind, id, title, snippet, href, url, meta, round((2 * {ranked} + sim)::float::double, 5) "rank" from r where met or sim > 0.45 order by (2 * {ranked} + sim)::float desc, kind, id limit 40"""
+
+
+@query(_search_sql("reon ount", "contains(s, ' reon ') and contains(s, ' ount ')", True, ["ount", "reon"]))
 def search_all(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), _headline().alias("title"), F.col("text").alias("body"), F.col("text").alias("snippet"), F.concat(F.lit("/archive/"), "doc_id").alias("href"), F.lit(None).cast("string").alias("url"), F.concat_ws(" · ", "lang", "source").alias("meta"))
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), text.strip_html(F.col("html")).alias("body"), F.col("url").alias("snippet"), F.concat(F.lit("/library/"), "page_id").alias("href"), "url", urls.host_of(F.col("url")).alias("meta"))
-    return search.search_all({"item": docs, "post": pages}, "the and")
+    """Rows with both words, ranked by their nearness, and rows of a like title."""
+    return search.search_all(search.index(_search_kinds(spark, d)), "reon ount").withColumn("rank", F.round(F.col("rank").cast("double"), 5))
+
+
+@query(_search_sql('"of the" -ount or èch', "contains(s, ' of the ') and not contains(s, ' ount ') or contains(s, ' èch ')", False, ["of", "ount", "the", "èch"]))
+def search_alternatives(spark, d):
+    """A phrase without a word, or another word; ranked by how often the words come."""
+    return search.search_all(search.index(_search_kinds(spark, d)), '"of the" -ount or èch').withColumn("rank", F.round(F.col("rank").cast("double"), 5))
 
 
 @query("select user_id, arg_max(value, (ts, event_id)) filter (event_type = 'view') last_view, arg_max(value, (ts, event_id)) filter (event_type = 'click') last_click from events group by 1")
