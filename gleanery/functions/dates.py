@@ -48,12 +48,47 @@ def budapest_day_start(ts: Column) -> Column:
     return F.to_utc_timestamp(budapest_day(ts).cast("timestamp"), ZONE)
 
 
+_TIME = r"(?:,?\s+(?:at\s+)?(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([ap]m)?)?"
+_ZONE = r"\s*(?:(?:gmt|utc|z)?\s*([+-]\d{2}):?(\d{2})|(gmt|utc|ut|z|[ecmp][sd]t))?$"
+_WEEKDAY = r"^(?:[a-z]{3,9}\.?,?\s+)?"
+#: Forms of a date, and which group is its day, month and year.
+_FORMS = (
+    (_WEEKDAY + r"(\d{1,2})[\s-]+([a-z]{3,9})\.?,?[\s-]+(\d{4})", (1, 2, 3)),
+    (_WEEKDAY + r"([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})", (2, 1, 3)),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", (3, 2, 1)),
+    (r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})", (2, 1, 3)),
+)
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+#: Hours that names of zones are behind UTC.
+_BEHIND = {"est": 5, "edt": 4, "cst": 6, "cdt": 5, "mst": 7, "mdt": 6, "pst": 8, "pdt": 7}
+
+
+def _moment(text: Column, form: str, places: tuple[int, int, int]) -> Column:
+    """The UTC day of a text of one form; null for any other. Days run on into the next month, 31 at most."""
+    whole = form + _TIME + _ZONE
+    part = lambda i: F.nullif(F.regexp_extract(text, whole, i), F.lit(""))
+    number = lambda i: part(i).cast("int")
+    day, name, year = number(places[0]), part(places[1]), number(places[2])
+    month = F.when(name.rlike(r"^\d+$"), name.try_cast("int")).otherwise(F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(name, 1, 3)), F.lit(0)).cast("int"))
+    hour, half = F.coalesce(number(4), F.lit(0)), part(7)
+    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    minutes = hour * 60 + F.coalesce(number(5), F.lit(0))
+    sign = F.when(part(8).startswith("-"), -1).otherwise(1)
+    ahead = F.coalesce(number(8) * 60 + sign * number(9), F.lit(0)) - 60 * F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in _BEHIND.items() for x in kv)), F.coalesce(part(10), F.lit("z"))), F.lit(0))
+    good = text.rlike(whole) & day.between(1, 31) & month.between(1, 12) & (hour <= 24) & year.between(1, 9999)
+    start = F.when(F.coalesce(good, F.lit(False)), F.make_date(year, month, F.lit(1)))
+    return F.date_add(start, day - 1 + F.floor((minutes - ahead) / 1440).cast("int"))
+
+
 def published_date(text: Column) -> Column:
-    """An ISO prefix as written if it is a day; else a parsed moment's UTC day; else null."""
-    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
-    moments = [F.try_to_timestamp(bare, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z")]
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
-    return F.coalesce(iso, *(F.when(bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}.* (?:[+-]\d{4}|[A-Z]{1,5})$"), F.to_date(m)) for m in moments))
+    """An ISO prefix as written if it is a day; else the UTC day of a moment in one of the usual forms (a time without a zone is UTC); else null.
+
+    Forms: 22 Sep 2026, 22-September-2026, Sep 22, 2026, 2026/09/22 and
+    09/22/2026, with or without a weekday, a time and a zone.
+    """
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s+", " ")))
+    iso = F.substring(text, 1, 10).try_cast("date")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).otherwise(F.coalesce(*(_moment(plain, *form) for form in _FORMS)))
 
 
 def is_closed(week: Column, current: Column) -> Column:

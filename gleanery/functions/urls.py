@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,42 @@ def is_private_v4(name: Column) -> Column:
     return F.coalesce(_once(ipv4(name), _private), F.lit(False))
 
 
+def ipv6(text: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address, with or without brackets; null if it is none. Its last 32 bits may be written as an IPv4 address."""
+    bare = F.regexp_replace(F.lower(F.trim(text)), r"^\[|\]$", "")
+    byte = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    quad = [F.regexp_extract(bare, rf"^(.*:){byte}\.{byte}\.{byte}\.{byte}$", i) for i in range(1, 6)]
+    two = lambda a, b: F.lower(F.hex(F.nullif(a, F.lit("")).cast("int") * 256 + F.nullif(b, F.lit("")).cast("int")))
+    plain = F.when(quad[0] != "", F.concat(quad[0], two(quad[1], quad[2]), F.lit(":"), two(quad[3], quad[4]))).otherwise(bare)
+
+    def groups(sides: Column) -> Column:
+        pieces = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+        head, tail = pieces(F.get(sides, F.lit(0))), pieces(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        left = 8 - F.size(head) - F.size(tail)
+        good = F.forall(F.concat(head, tail), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(F.size(sides) == 2, left >= 1).otherwise((F.size(sides) == 1) & (left == 0))
+        filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(left, F.lit(0))), tail)
+        return F.when(F.coalesce(good, F.lit(False)), F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return _once(F.split(plain, "::"), groups)
+
+
+def carried_v4(groups: Column) -> Column:
+    """The IPv4 address that an IPv6 one carries, as a number: compatible, mapped, NAT64 (the last 32 bits) or 6to4 (after the first group); else null."""
+    at = lambda i: F.get(groups, F.lit(i)).cast("long")
+    front = F.slice(groups, 1, 6)
+    carries = reduce(Column.__or__, (front == F.array(*map(F.lit, p)) for p in ((0, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0xFFFF), (0x64, 0xFF9B, 0, 0, 0, 0))))
+    return F.when(at(0) == 0x2002, at(1) * 65536 + at(2)).when(carries, at(6) * 65536 + at(7))
+
+
+def is_private(address: Column) -> Column:
+    """Whether an address, IPv4 or IPv6, is loopback, private, link-local, carrier-grade, multicast or reserved, or carries such an IPv4 one."""
+    bare = F.regexp_replace(F.lower(F.trim(address)), r"^\[|\]$", "")
+    inner = _once(ipv6(address), carried_v4)
+    by_name = bare.rlike("^(f[cd]|fe[89ab]|ff)")
+    v4 = F.when(bare.rlike(r"^\d+\.\d+\.\d+\.\d+$"), ipv4(bare))
+    return F.coalesce(_once(F.coalesce(v4, inner), lambda n: F.when(n.isNotNull(), _private(n))), by_name, F.lit(False))
+
+
 def is_submittable(url: Column) -> Column:
     """http(s) to a public, dotted name or a public IPv4 address; every IPv6 literal is refused."""
 

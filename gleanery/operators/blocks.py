@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import htmltree
 from ..functions.text import collapse, fnv1a
+from . import stored
 
 _TEXT = T.StringType()
 #: A run of text under the same marks; a null mark is none.
@@ -66,11 +67,36 @@ def noarchive(html: Column, header: Column | None = None) -> Column:
     return said if header is None else said | F.coalesce(header.rlike("(?i)noarchive"), F.lit(False))
 
 
+def linked_nodes(html: Column) -> Column:
+    """Arrays of VARIANT nodes, one for each JSON-LD script: those of an array, of a graph, or the script itself; a broken script has none."""
+    kind = r"application/ld\+json"
+    scripts = F.regexp_extract_all(html, F.lit(rf"(?is)<script\b[^>]*\btype\s*=\s*(?:\"\s*{kind}\s*(?:;[^\"]*)?\"|'\s*{kind}\s*(?:;[^']*)?'|{kind}(?=[\s>;]))[^>]*>(.*?)</script>"), F.lit(1))
+
+    def nodes(v: Column) -> Column:
+        listed = F.coalesce(stored.elements(v), stored.elements(v, "$['@graph']"), F.array(v))
+        return F.filter(listed, lambda n: F.coalesce(stored.form(n).startswith("OBJECT"), F.lit(False)))
+
+    return F.coalesce(F.transform(scripts, lambda s: nodes(stored.opened(s))), F.array().cast("array<array<variant>>"))
+
+
+def _text_at(node: Column, path: str) -> Column:
+    return F.when(stored.is_text(node, path), stored.at(node, path, "string"))
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
+def linked_page(html: Column) -> Column:
+    """struct(published, site): of every script the first node that carries a date or a publisher's name, of these the first value of each field."""
+    own = lambda n: F.struct(_text_at(n, "$.datePublished").alias("published"), _text_at(n, "$.publisher.name").alias("site"))
+    chosen = F.transform(linked_nodes(html), lambda nodes: F.get(F.filter(F.transform(nodes, own), lambda x: x["published"].isNotNull() | x["site"].isNotNull()), F.lit(0)))
+    return F.struct(_first(F.transform(chosen, lambda x: x["published"])).alias("published"), _first(F.transform(chosen, lambda x: x["site"])).alias("site"))
+
+
 def linked_data(html: Column, field: str) -> Column:
-    """First value of a field over a page's JSON-LD scripts, objects, arrays or graphs; broken ones are passed over."""
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    paths = (f"$.{field}", f"$[0].{field}", f"$['@graph'][0].{field}")
-    return F.get(F.filter(F.transform(scripts, lambda s: F.coalesce(*(F.get_json_object(s, p) for p in paths))), lambda x: x.isNotNull()), F.lit(0))
+    """The first text at a path of any node, over all scripts in order."""
+    return _first(F.transform(F.flatten(linked_nodes(html)), lambda n: _text_at(n, f"$.{field}")))
 
 
 def is_icon(url: Column) -> Column:

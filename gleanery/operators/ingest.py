@@ -31,9 +31,10 @@ def _struct(**columns: Column) -> Column:
 
 def article(url: Column, html: Column, text: Column) -> Column:
     """A page by its metadata and blocks; the first date that is one; an error under 200 characters."""
-    published = F.coalesce(*(published_date(x) for x in (blocks.linked_data(html, "datePublished"), blocks.meta(html, "article:published_time"), blocks.meta(html, "date"))))
+    linked = blocks.linked_page(html)
+    published = F.coalesce(*(published_date(x) for x in (blocks.meta(html, "article:published_time"), linked["published"], blocks.meta(html, "date"))))
     author = trim_byline(F.coalesce(blocks.linked_data(html, "author.name"), blocks.linked_data(html, "author"), blocks.meta(html, "author")))
-    return _struct(title=F.coalesce(blocks.page_title(html), url), author=author, site=F.coalesce(blocks.meta(html, "og:site_name"), host_of(url)), published=published, text=text, error=F.when(F.coalesce(F.length(text), F.lit(0)) < LEAST_TEXT, "too little text"))
+    return _struct(title=F.coalesce(blocks.page_title(html), url), author=author, site=F.coalesce(blocks.meta(html, "og:site_name"), linked["site"], host_of(url)), published=published, text=text, error=F.when(F.coalesce(F.length(text), F.lit(0)) < LEAST_TEXT, "too little text"))
 
 
 def arxiv(url: Column, atom: Column) -> Column:

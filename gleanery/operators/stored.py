@@ -29,6 +29,11 @@ def opened(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -145,13 +150,13 @@ def texts_below(raw: Column) -> Column:
     return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
 
 
-def _trimmed(text: Column) -> Column:
+def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, "^[\\s ﻿]+|[\\s ﻿]+$", "")
 
 
 def localized(v: Column, path: str, most: int) -> Column:
     """struct(hu, en) of a field whose two texts hold 1 to ``most`` characters when trimmed; else null."""
-    texts = {lang: _trimmed(at(v, f"{path}.{lang}", "string")) for lang in ("hu", "en")}
+    texts = {lang: trimmed(at(v, f"{path}.{lang}", "string")) for lang in ("hu", "en")}
     good = reduce(Column.__and__, (is_text(v, f"{path}.{lang}") & _sure(F.length(t).between(1, most)) for lang, t in texts.items()))
     return F.when(good, F.struct(*(t.alias(lang) for lang, t in texts.items())))
 
@@ -186,7 +191,7 @@ def sections_to_blocks(sections: Column) -> Column:
 
 def edit_diff(made: Column, draft: Column, fields: tuple[str, ...] = ("title", "summary")) -> Column:
     """Of a draft, the fields that differ from what was made, trimmed texts compared; the others are null, so that no made text becomes an edit."""
-    same = lambda f: reduce(Column.__and__, (_trimmed(draft[f][lang]).eqNullSafe(_trimmed(made[f][lang])) for lang in ("hu", "en")))
+    same = lambda f: reduce(Column.__and__, (trimmed(draft[f][lang]).eqNullSafe(trimmed(made[f][lang])) for lang in ("hu", "en")))
     return F.struct(*(F.when(~same(f), draft[f]).alias(f) for f in fields))
 
 

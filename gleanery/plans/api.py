@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import daily, ingest, publish, queue, search, serve, state
+from ..operators import daily, ingest, publish, queue, search, serve, state, stored
 
 SEARCH_MOST = 8
 
@@ -17,17 +17,25 @@ def get_search(tables: search.Tables | dict[str, DataFrame], query: str) -> Data
     return search.search_all(tables, query, SEARCH_MOST)
 
 
-def get_state(log: DataFrame, viewer: str) -> DataFrame:
-    """The viewer's flags as last set; log: user_id, item_id, is_read, is_saved, ts."""
-    return state.latest(state.own(log, viewer), ["item_id"], ["is_read", "is_saved"], ["ts"])
+def get_state(there: state.State, viewer: str) -> state.State:
+    """The viewer's flags, to-dos (open ones first, the newest first) and ratings."""
+    mine = state.State(*(state.own(rows, viewer) for rows in there))
+    return mine._replace(todos=mine.todos.orderBy("is_done", F.desc("id")))
 
 
-def post_state(log: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(log with the valid flag actions, refused actions with their error); actions: user_id, kind, item_id, flag, text, rating, ts."""
-    found = actions.withColumn("a", state.parse_action(*(F.col(c) for c in ("kind", "item_id", "flag", "text", "rating"))))
-    flags = found.where("a.error is null and kind in ('read', 'save')")
-    rows = flags.select("user_id", F.col("a.item_id").alias("item_id"), F.when(F.col("kind") == "read", F.col("a.flag")).alias("is_read"), F.when(F.col("kind") == "save", F.col("a.flag")).alias("is_saved"), "ts")
-    return log.unionByName(rows), found.where("a.error is not null").select("user_id", "kind", F.col("a.error").alias("error"))
+def post_state(there: state.State, actions: DataFrame) -> tuple[state.State, DataFrame]:
+    """(state after the actions, an answer to each); actions: seq, user_id, body."""
+    return state.applied(there, actions)
+
+
+def reextract(posts: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(posts whose reading was begun again, an answer to each request)."""
+    return stored.claim_extraction(posts, requests, now)
+
+
+def save_posts(posts: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(posts after requests to edit them, an answer to each)."""
+    return stored.save_edits(posts, edits)
 
 
 def post_sources(sources: DataFrame, links: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

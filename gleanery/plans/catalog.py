@@ -587,11 +587,53 @@ def rating_toggle(spark, d):
     return state.toggled(table(spark, d, "events").select("user_id", (F.col("event_id") % 40).alias("part"), value.alias("value"), "ts", "event_id"), ["user_id", "part"], "value", ["ts", "event_id"])
 
 
-@query("""select event_id, case when event_type not in ('click', 'view') then 'unknown action' when event_type = 'click' and event_id % 5 = 0 then 'missing item' when event_type = 'view' and event_id % 4 = 0 then 'bad text' end error from events""")
+#: Requests that events stand for: every kind of action, and what can be wrong with each.
+_BODY = """case event_id % 14 when 0 then concat('{"action":"set_read","itemId":"i', event_id % 40, '","value":', case when value > 50 then 'true' else '"true"' end, '}') when 1 then concat('{"action":"set_saved","itemId":"i', event_id % 40, '","value":true}')
+    when 2 then concat('{"action":"add_todo","text":" t', event_id, ' ","itemId":', case when event_id % 3 = 0 then 'null' else '"i"' end, '}') when 3 then concat('{"action":"set_todo","id":', event_id % 60, ',"value":', case when value > 50 then 'true' else 'false' end, '}') when 4 then concat('{"action":"delete_todo","id":', event_id % 300, '}')
+    when 5 then concat('{"action":"set_rating","kind":"repo","id":" R', event_id % 30, ' ","value":', case when value > 70 then 'null' when value > 30 then '2' else '-1' end, '}') when 6 then concat('{"action":"set_rating","kind":"item","id":"', event_id % 30, '","value":', case when event_id % 4 = 0 then '3' else '1' end, '}')
+    when 7 then '{"action":"set_read","itemId":7}' when 8 then '{"action":"add_todo","text":" "}' when 9 then '{"action":"delete_todo","id":"4"}' when 10 then '{"action":"set_rating","kind":"page","id":"a","value":1}' when 11 then '{"action":"set_saved","itemId":""}' when 12 then '{"action":"other"}' else '{"action":' end"""
+_ERRORS = "case event_id % 14 when 6 then case when event_id % 4 = 0 then 'invalid_rating' end when 7 then 'invalid_item' when 8 then 'missing_text' when 9 then 'invalid_id' when 10 then 'invalid_target' when 11 then 'missing_item' when 12 then 'unknown_action' when 13 then 'unknown_action' end"
+
+
+@query(
+    f"""select event_id, error, case when error is null then j ->> '$.action' end action, case when error is null then case j ->> '$.action' when 'set_read' then (j ->> '$.itemId') || '=' || (value > 50) when 'set_saved' then (j ->> '$.itemId') || '=true' when 'add_todo' then 't' || event_id || '@' || coalesce(j ->> '$.itemId', '-')
+        when 'set_todo' then (j ->> '$.id') || '=' || (j ->> '$.value') when 'delete_todo' then j ->> '$.id' else (j ->> '$.kind') || ':' || lower(trim(j ->> '$.id')) || '=' || coalesce(j ->> '$.value', 'null') end end what
+    from (select event_id, value, {_ERRORS} error, case when event_id % 14 = 13 then null else ({_BODY})::json end j from events)"""
+)
 def parse_actions(spark, d):
-    kind = F.when(F.col("event_type") == "click", "read").when(F.col("event_type") == "view", "todo_add").otherwise("other")
-    found = state.parse_action(kind, F.when(F.col("event_id") % 5 != 0, "item"), F.lit(True), F.when(F.col("event_id") % 4 != 0, "buy milk").otherwise(" "), F.lit(None).cast("int"))
-    return table(spark, d, "events").select("event_id", found["error"].alias("error"))
+    """Requests of all six kinds: their values, or the code of their first error."""
+    a = state.read_action(F.expr(_BODY))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    what = (
+        F.when(a["action"].isin("set_read", "set_saved"), F.concat_ws("=", a["item_id"], a["value"]))
+        .when(a["action"] == "add_todo", F.concat(a["text"], F.lit("@"), F.coalesce(a["item_id"], F.lit("-"))))
+        .when(a["action"] == "set_todo", F.concat_ws("=", a["todo_id"], a["value"]))
+        .when(a["action"] == "delete_todo", a["todo_id"].cast("string"))
+        .when(a["action"] == "set_rating", F.concat(a["kind"], F.lit(":"), a["target"], F.lit("="), said(a["rating"])))
+    )
+    return table(spark, d, "events").select("event_id", a["error"].alias("error"), a["action"].alias("action"), what.alias("what"))
+
+
+@query(
+    f"""with e as (select event_id, user_id % 5 u, value, event_id % 14 form, {_ERRORS} error from events),
+    old as (select o_custkey % 5 u, o_orderkey id from orders), m as (select coalesce(max(id), 0) base from old),
+    todos as (select u, id, 'o' || id t, false done from old union all select u, base + event_id + 1, 't' || event_id, false from e, m where form = 2),
+    sets as (select u, event_id % 60 id, arg_max(value > 50, event_id) done from e where form = 3 group by 1, 2), gone as (select distinct u, event_id % 300 id from e where form = 4),
+    ratings as (select u, case form when 5 then 'repo:r' else 'item:' end || event_id % 30 k, event_id, case when form = 6 then 1 when value > 70 then null when value > 30 then 2 else -1 end r from e where form in (5, 6) and error is null),
+    flags as (select u, 'i' || event_id % 40 k, coalesce(arg_max(value > 50, event_id) filter (form = 0), false) r, coalesce(arg_max(true, event_id) filter (form = 1), false) s from e where form in (0, 1) group by 1, 2)
+    select 'todo' part, t.u user_id, t.id::varchar as key, t || '=' || coalesce(s.done, t.done) what from todos t left join sets s using (u, id) anti join gone using (u, id)
+    union all select 'rating', u, k, arg_max(coalesce(r, 0), event_id)::varchar from ratings group by u, k having arg_max(coalesce(r, 0), event_id) <> 0
+    union all select 'flag', u, k, r || '/' || s from flags"""
+)
+def state_after(spark, d):
+    """Flags, to-dos and ratings after a log of requests, on what was there."""
+    empty = lambda schema: spark.createDataFrame([], schema)
+    old = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("user_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("o"), "o_orderkey").alias("text"), F.lit(None).cast("string").alias("item_id"), F.lit(False).alias("is_done"))
+    there = state.State(empty("user_id long, item_id string, is_read boolean, is_saved boolean"), old, empty("user_id long, kind string, target string, rating int"))
+    after, _ = state.applied(there, table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("user_id"), F.expr(_BODY).alias("body")))
+    todos = after.todos.select(F.lit("todo").alias("part"), "user_id", F.col("id").cast("string").alias("key"), F.concat_ws("=", "text", "is_done").alias("what"))
+    ratings = after.ratings.select(F.lit("rating"), "user_id", F.concat_ws(":", "kind", "target"), F.col("rating").cast("string"))
+    return todos.union(ratings).union(after.flags.select(F.lit("flag"), "user_id", "item_id", F.concat_ws("/", "is_read", "is_saved")))
 
 
 @query("""select user_id, count(*) filter (event_type = 'view') read, floor(100.0 * count(*) filter (event_type = 'view') / count(*) + 0.5)::bigint percent, count(*) filter (event_type = 'signup') open_todos from events group by 1""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stored
+from ..functions import dates, urls
+from ..operators import blocks, stored
 from ..sources.tables import table
 from .catalog import query
 
@@ -147,3 +148,58 @@ def extraction_claims(spark, d):
     posts = table(spark, d, "orders").selectExpr("o_orderkey as post_id", "o_custkey % 2 as owner", f"{at} as extracted_at")
     requests = table(spark, d, "events").selectExpr("event_id as request_id", "user_id % 2 as viewer", "event_id div 2 as post_id")
     return stored.claim_extraction(posts, requests, F.lit("2024-01-01 12:00:00").cast("timestamp"))[1]
+
+
+#: JSON-LD of a page by its id: an object, an array, a graph, a broken script before a good one, nodes without a text.
+_LINKED = """concat('<script type="application/ld+json">', case when page_id % 5 = 4 then '{{"datePublished":' else concat('{{"datePublished":', page_id, '}}') end, '</script><SCRIPT type=''application/ld+json; charset=utf-8''>',
+    case page_id % 4 when 0 then concat('[{{"name":"x"}},{{"publisher":{{"name":"P', page_id, '"}}}},{{"datePublished":"never"}}]') when 1 then concat('{{"@graph":[7,{{"publisher":{{"name":5}}}},{{"datePublished":"D', page_id, '"}}]}}') when 2 then '{{"publisher":"text"}}' else concat('{{"datePublished":"D', page_id, '","publisher":{{"name":"Q"}}}}') end,
+    '</SCRIPT><script>{{"datePublished":"no"}}</script><script type="application/ld+json">[[1],{{"publisher":{{"name":"last"}},"datePublished":"L"}}]</script>', substr(html, 1, 0))""".format()
+
+
+@query(
+    """select page_id, case when page_id % 4 in (1, 3) then 'D' || page_id else 'L' end published, case page_id % 4 when 0 then 'P' || page_id when 3 then 'Q' else 'last' end site,
+    case page_id % 4 when 0 then 'P' || page_id when 3 then 'Q' else 'last' end publisher from pages"""
+)
+def linked_pages(spark, d):
+    """Dates and publishers of JSON-LD: the first node that has one in every script, the first value of each field over all."""
+    rows = table(spark, d, "pages").selectExpr("page_id", f"{_LINKED} as html")
+    page = blocks.linked_page(F.col("html"))
+    return rows.select("page_id", page["published"].alias("published"), page["site"].alias("site"), blocks.linked_data(F.col("html"), "publisher.name").alias("publisher"))
+
+
+#: Forms that the day of an order is written in, with the days that the zone moves it by.
+_WRITTEN = {
+    "date_format(o_orderdate, 'yyyy-MM-dd')": 0, "concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T23:30:00-05:00')": 0, "concat('Tue, ', date_format(o_orderdate, 'd MMM yyyy'), ' 23:30:00 -0500')": 1, "concat(date_format(o_orderdate, 'd MMM yyyy'), ' 00:10 GMT')": 0,
+    "date_format(o_orderdate, 'MMMM d, yyyy')": 0, "concat('Monday ', date_format(o_orderdate, 'MMM d yyyy'), ' 12:30 am GMT+0100')": -1, "date_format(o_orderdate, 'yyyy/M/d')": 0, "concat(date_format(o_orderdate, 'M/d/yyyy'), ', 9:15:00 PM PST (Pacific)')": 1,
+    "concat('on ', o_orderdate)": None, "concat(date_format(o_orderdate, 'yyyy-MM'), '-32')": None, "'yesterday'": None,
+}
+
+
+@query("select o_orderkey, case " + " ".join(f"when o_orderkey % {len(_WRITTEN)} = {i} then {'null' if n is None else f'o_orderdate::date + {n}'}" for i, n in enumerate(_WRITTEN.values())) + " end published from orders")
+def published_dates(spark, d):
+    """Days of orders written in eleven forms, three of which are no dates."""
+    text = "case " + " ".join(f"when o_orderkey % {len(_WRITTEN)} = {i} then {sql}" for i, sql in enumerate(_WRITTEN)) + " end"
+    return table(spark, d, "orders").selectExpr("o_orderkey", f"{text} as t").select("o_orderkey", dates.published_date(F.col("t")).alias("published"))
+
+
+#: An event's address: its first byte is often one of the special ones, the others are bits of a hash of its number.
+_BYTES = {
+    "a": "case event_id % 12 when 0 then 0 when 1 then 10 when 2 then 100 when 3 then 127 when 4 then 169 when 5 then 172 when 6 then 192 when 7 then 224 else event_id * 7 % 250 end",
+    "b": "case when event_id % 5 = 0 then 254 when event_id % 5 = 1 then 168 else event_id * 13 % 256 end",
+    "c": "event_id * 31 % 256",
+    "e": "event_id * 57 % 256",
+}
+
+
+@query(
+    f"""with v as (select event_id, event_id % 9 form, {", ".join(f"{sql} {k}" for k, sql in _BYTES.items())} from events), n as (select *, (a << 24) + (b << 16) + (c << 8) + e n from v)
+    select event_id, case when form in (5, 7) then true when form in (6, 8) then false else n >> 24 in (0, 10, 127) or n >> 24 >= 224 or n >> 22 = (100 << 2) + 1 or n >> 16 = (169 << 8) + 254 or n >> 20 = (172 << 4) + 1 or n >> 16 = (192 << 8) + 168 end private from n"""
+)
+def private_addresses(spark, d):
+    """Addresses in IPv4 and in the forms of IPv6 that carry one: what is private stays private in each."""
+    high, low = "lower(hex(a * 256 + b))", "lower(hex(c * 256 + e))"
+    quad = "concat(a, '.', b, '.', c, '.', e)"
+    forms = [quad, f"concat('::ffff:', {quad})", f"concat('[::FFFF:', {high}, ':', {low}, ']')", f"concat('64:ff9b::', {high}, ':', {low})", f"concat('2002:', {high}, ':', {low}, '::1')", f"concat('fe80::', {low})", f"concat('2001:db8::', {high})", f"concat('fd00:0:0:0:0:0:', {high}, ':', {low})", f"concat('1:2:3:4:5:6:', {high}, ':', {low}, ':9')"]
+    text = "case " + " ".join(f"when form = {i} then {sql}" for i, sql in enumerate(forms)) + " end"
+    rows = table(spark, d, "events").selectExpr("event_id", "event_id % 9 as form", *(f"{sql} as {k}" for k, sql in _BYTES.items()))
+    return rows.selectExpr("event_id", f"{text} as address").select("event_id", urls.is_private(F.col("address")).alias("private"))

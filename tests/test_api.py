@@ -1,10 +1,12 @@
 """The service's calls on small frames."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.operators import state
 from gleanery.plans import api
 
 NOW = dt.datetime(2026, 9, 23, 12)
@@ -24,12 +26,20 @@ def test_sources(spark):
 
 
 def test_state(spark):
-    log = spark.createDataFrame([("u", "i", True, None, NOW), ("v", "i", False, None, NOW)], "user_id string, item_id string, is_read boolean, is_saved boolean, ts timestamp")
-    later = NOW + dt.timedelta(hours=1)
-    actions = spark.createDataFrame([("u", "save", "i", True, None, None, later), ("u", "read", "i", None, None, None, later), ("u", "rate", "i", None, None, 7, later)], "user_id string, kind string, item_id string, flag boolean, text string, rating int, ts timestamp")
-    new, refused = api.post_state(log, actions)
-    assert [tuple(r) for r in api.get_state(new, "u").collect()] == [("i", False, True)]
-    assert [r.error for r in refused.collect()] == ["bad rating"]
+    make = spark.createDataFrame
+    there = state.State(make([("u", "i", True, False), ("v", "i", False, True)], "user_id string, item_id string, is_read boolean, is_saved boolean"), make([("u", 4, "old", None, False), ("v", 5, "hers", None, False)], "user_id string, id long, text string, item_id string, is_done boolean"), make([("u", "item", "i", 1)], "user_id string, kind string, target string, rating int"))
+    bodies = [{"action": "set_saved", "itemId": "i", "value": True}, {"action": "set_read", "itemId": "i", "value": 1}, {"action": "add_todo", "text": " buy ", "itemId": "i"}, {"action": "set_todo", "id": 4, "value": True}, {"action": "delete_todo", "id": 5}, {"action": "set_rating", "kind": "item", "id": "i", "value": None}, {"action": "set_rating", "kind": "repo", "id": "A/B", "value": 2}, {"action": "add_todo", "text": "second"}]
+    bad = {"missing_item": {"action": "set_read"}, "invalid_item": {"action": "add_todo", "text": "x", "itemId": 5}, "missing_text": {"action": "add_todo", "text": "  "}, "invalid_id": {"action": "set_todo", "id": 1.5}, "invalid_target": {"action": "set_rating", "kind": "item", "id": "x" * 201, "value": 1}, "invalid_rating": {"action": "set_rating", "kind": "item", "id": "x"}, "unknown_action": {"action": "x"}}
+    rows = [(i, "u", json.dumps(b)) for i, b in enumerate([*bodies, *bad.values()])] + [(90, "u", "{"), (91, "u", None)]
+    new, answers = api.post_state(there, make(rows, "seq long, user_id string, body string"))
+    mine = api.get_state(new, "u")
+    assert [tuple(r) for r in mine.flags.collect()] == [("u", "i", False, True)]
+    assert [tuple(r) for r in mine.todos.collect()] == [("u", 13, "second", None, False), ("u", 8, "buy", "i", False), ("u", 4, "old", None, True)]
+    assert [tuple(r) for r in mine.ratings.collect()] == [("u", "repo", "a/b", 2)]
+    assert new.todos.where("user_id = 'v'").count() == 1  # another reader's to-do stays
+    got = {r.seq: (r.error, r.id) for r in answers.collect()}
+    assert [got[i] for i in range(8)] == [(None, 8 if i == 2 else 13 if i == 7 else None) for i in range(8)]
+    assert [got[i][0] for i in (*range(8, 15), 90, 91)] == [*bad, "unknown_action", "unknown_action"]
 
 
 def test_edits(spark):
