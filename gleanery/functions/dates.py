@@ -116,6 +116,11 @@ def week_label(week: Column) -> Column:
     return F.replace(week, F.lit("-"), F.lit(" / "))
 
 
+def archive_label(monday: Column) -> Column:
+    """The Sunday of a week by its Monday, as 'MM. DD.'."""
+    return F.date_format(F.date_add(monday, 6), "MM. dd.")
+
+
 def finished_days(since: Column, now: Column) -> Column:
     """Days from since to the last one that has ended; none if there is none."""
     last = F.date_sub(F.to_date(now), 1)

@@ -151,6 +151,17 @@ def format_stars(n: Column) -> Column:
     return F.when(n < 1000, n.cast("string")).when(n < 999_500, big(n / 1000, "K")).otherwise(big(n / 1_000_000, "M"))
 
 
+def repo_line(language: Column, stars: Column, score: Column) -> Column:
+    """The line under a repository's name: language, stars, score; a dash for what isn't known."""
+    said = lambda x: F.coalesce(x, F.lit("—"))
+    return F.concat(said(language), F.lit(" · ★ "), said(format_stars(stars)), F.lit(" · "), said(F.concat(score.cast("string"), F.lit("/100"))))
+
+
+def week_span(first: Column, last: Column) -> Column:
+    """W36–W39, or W38 for a single week."""
+    return F.when(first == last, F.substring(last, 6, 8)).otherwise(F.concat(F.substring(first, 6, 8), F.lit("–"), F.substring(last, 6, 8)))
+
+
 def timestamp_label(seconds: Column) -> Column:
     """h:mm:ss, or m:ss under an hour."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
@@ -164,3 +175,8 @@ def original_text(value: Column) -> Column:
 
 def in_both(value: Column) -> Column:
     return F.struct(value.alias("hu"), value.alias("en"))
+
+
+def original_list(value: Column) -> Column:
+    """A localized list's English, else its Hungarian."""
+    return F.when(F.size(value["en"]) > 0, value["en"]).otherwise(value["hu"])

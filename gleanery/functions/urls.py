@@ -147,6 +147,14 @@ def youtube_id(url: Column) -> Column:
     return F.when(found.rlike(r"^[A-Za-z0-9_-]{11}$") & (found != "videoseries"), found)
 
 
+def video_of(url: Column) -> Column:
+    """struct(provider, video_id) of the single video that a link plays; null for lists and other links."""
+    tube = youtube_id(url)
+    vimeo = F.when(host(url).rlike(r"(^|\.)player\.vimeo\.com$"), F.nullif(F.regexp_extract(_part(url, 3), r"^/video/(\d+)", 1), F.lit("")))
+    found = F.coalesce(tube, vimeo)
+    return F.when(found.isNotNull(), F.struct(F.when(tube.isNotNull(), "youtube").otherwise("vimeo").alias("provider"), found.alias("video_id")))
+
+
 def arxiv_id(url: Column) -> Column:
     return F.when(host(url).rlike(r"(^|\.)arxiv\.org$"), F.nullif(F.regexp_extract(_part(url, 3), ARXIV_PATH, 1), F.lit("")))
 

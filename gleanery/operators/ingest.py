@@ -80,10 +80,15 @@ def extracted(rows: DataFrame, extractors: dict[str, Column], kind: str = "kind"
 
 
 def judged(candidates: DataFrame, judge: Callable, schema: str = "pos long, score double, promotion double, category string") -> DataFrame:
-    """candidates with a judge's answers by pos. The judge is a ``mapInPandas`` function of batches; made-up places and second answers count for nothing, missing ones are null."""
-    told = candidates.mapInPandas(judge, schema).withColumn("turn", F.monotonically_increasing_id())
-    answers = told.groupBy("pos").agg(F.min_by(F.struct("score", "promotion", "category"), "turn").alias("answer"))
-    return candidates.join(answers, "pos", "left")
+    """candidates with a judge's answers by pos. The judge is a ``mapInPandas`` function of batches; it is asked a batch at a time, of its answers on a row the first counts, made-up places and second answers count for nothing, missing ones are null."""
+
+    def asked(batches):
+        for batch in batches:
+            for told in judge(iter([batch])):
+                yield told[told["pos"].isin(batch["pos"])].drop_duplicates("pos")
+
+    answers = candidates.mapInPandas(asked, schema)
+    return candidates.join(answers.groupBy("pos").agg(F.first(F.struct("score", "promotion", "category")).alias("answer")), "pos", "left")
 
 
 def brief_targets(day_items: DataFrame, sources: DataFrame, posts: DataFrame, least: int = 600, most: int = 6000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import url_key
+
 LEASE_MINUTES, ATTEMPTS, BATCH = 10, 3, 10
 
 
@@ -51,3 +53,15 @@ def library_state(post_id: Column, status: Column, attempts: Column) -> Column:
     """struct(state, post_id) of an item's copy."""
     open_ = (status != "done") & (attempts < ATTEMPTS)
     return F.struct(F.when(post_id.isNotNull(), "post").when(F.coalesce(open_, F.lit(False)), "pending").otherwise("unavailable").alias("state"), post_id.alias("post_id"))
+
+
+def read_here(items: DataFrame, sources: DataFrame, posts: DataFrame) -> DataFrame:
+    """id and copy (state, post_id) of every item whose link has a source, links compared in their one form.
+
+    items: id, url; sources: source_id, url, status, attempts; posts:
+    source_id, post_id.  Of several sources of a link the least id counts.
+    """
+    known = sources.join(posts.select("source_id", "post_id"), "source_id", "left").groupBy(url_key(F.col("url")).alias("_key"))
+    first = known.agg(F.min_by(F.struct("post_id", "status", "attempts"), "source_id").alias("_s"))
+    found = items.select("id", url_key(F.col("url")).alias("_key")).join(first, "_key")
+    return found.select("id", library_state(F.col("_s.post_id"), F.col("_s.status"), F.col("_s.attempts")).alias("copy"))

@@ -49,5 +49,23 @@ def override(mine: Column, made: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(mine), F.lit("")), made)
 
 
-def visible(blocks: Column, hidden: Column) -> Column:
-    return F.filter(blocks, lambda b: ~F.array_contains(F.coalesce(hidden, F.array().cast("array<string>")), b["id"]))
+def visible(blocks: Column, hidden: Column, show_all: bool = False, editing: bool = False) -> Column:
+    """Blocks that a reader sees: hidden ones only if all are asked for or the post is being edited."""
+    gone = F.coalesce(hidden, F.array().cast("array<string>"))
+    return blocks if show_all or editing else F.filter(blocks, lambda b: ~F.array_contains(gone, b["id"]))
+
+
+#: What a list of repositories can be narrowed to, and the rating that it means.
+RATED = {"heart": 2, "up": 1, "down": -1, "none": None}
+
+
+def narrowed(rows: DataFrame, rating: str | None = None, language: str | None = None) -> DataFrame:
+    """rows (rating, language) of one rating, where none means that there is none, and of one language; an unknown name narrows nothing."""
+    if rating in RATED:
+        rows = rows.where(F.col("rating").isNull() if RATED[rating] is None else F.col("rating") == RATED[rating])
+    return rows.where(F.col("language") == language) if language else rows
+
+
+def targets(items: DataFrame, repos: DataFrame) -> DataFrame:
+    """kind and id of what a page lets its readers rate: its items (id) and its repositories (repo, in any case)."""
+    return items.select(F.lit("item").alias("kind"), F.col("id").cast("string").alias("id")).unionByName(repos.select(F.lit("repo").alias("kind"), F.lower("repo").alias("id")))

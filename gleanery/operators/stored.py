@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_HIDDEN, MOST_PARAGRAPHS = 400, 6
+from ..functions.text import TAGS
+
 # fixed values
 TITLE_MAX, SUMMARY_MAX = 300, 2000
+MOST_HIDDEN, MOST_PARAGRAPHS, MOST_POINTS, MOST_TAGS, MOST_SECTIONS, MOST_SECTION_POINTS = 400, 6, 8, 4, 8, 10
 
 SPANS = "array<struct<text:string,href:string,bold:boolean,italic:boolean,code:boolean>>"
 _CHAPTERS = "array<struct<seconds:double,title:string>>"
@@ -180,6 +182,29 @@ def read_brief(raw: Column) -> Column:
     return F.when(good, F.struct(*(at(v, f"$.{lang}", "array<string>").alias(lang) for lang in ("hu", "en"))))
 
 
+def read_generated(raw: Column) -> Column:
+    """What a model wrote about a source, as a post stores it: title, summary (in both slots), key_points, tags and brief; null unless all of it has its form."""
+
+    def read(v: Column) -> Column:
+        lists = {"keyPoints": MOST_POINTS, "tags": MOST_TAGS, "brief": MOST_PARAGRAPHS}
+        good = is_text(v, "$.title") & is_text(v, "$.summary")
+        for name, most in lists.items():
+            good = good & every(v, f"$.{name}", lambda e: is_text(e)) & _sure(F.size(elements(v, f"$.{name}")) <= most)
+        tags = at(v, "$.tags", "array<string>")
+        good = good & _sure(F.forall(tags, lambda t: t.isin(*TAGS)))
+        both = lambda f, kind="string": F.struct(at(v, f"$.{f}", kind).alias("hu"), at(v, f"$.{f}", kind).alias("en"))
+        return F.when(good, F.struct(both("title").alias("title"), both("summary").alias("summary"), both("keyPoints", "array<string>").alias("key_points"), tags.alias("tags"), both("brief", "array<string>").alias("brief")))
+
+    return once(opened(raw), read)
+
+
+def read_notes(raw: Column) -> Column:
+    """Blocks of a model's notes: a heading and a list for each section; null unless all sections have their form."""
+    section = lambda e: is_text(e, "$.heading") & every(e, "$.points", lambda p: is_text(p)) & _sure(F.size(elements(e, "$.points")) <= MOST_SECTION_POINTS)
+    good = lambda v: every(v, "$.sections", section) & _sure(F.size(elements(v, "$.sections")) <= MOST_SECTIONS)
+    return once(opened(raw), lambda v: F.when(good(v), sections_to_blocks(at(v, "$.sections", "array<struct<heading:string,points:array<string>>>"))))
+
+
 def sections_to_blocks(sections: Column) -> Column:
     """array(struct(heading, points)) as a heading and a list each."""
     span = lambda p: F.array(F.struct(p.alias("text")))

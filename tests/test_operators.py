@@ -9,19 +9,29 @@ from gleanery.operators import blocks, dedupe, publish, queue, ranking, reading,
 from gleanery.sources import feeds
 
 
-def picks(spark, rows):
-    df = spark.createDataFrame([(1, f"{k}{i}", s, m, p) for p, (k, i, s, m) in enumerate(rows)], "day int, id string, score int, minutes int, pos int")
-    got = ranking.daily_top(df, ["day"], F.col("minutes") <= 15, [F.desc("score"), "pos"]).orderBy("rank").collect()
-    return [r.id for r in got]
+def quota(rows, n=10, least=3, most=5):
+    """The rule as it reads: of the best n, the last of the unwanted kind gives way to the best left of the wanted one."""
+    order = sorted(rows, key=lambda r: (-r[1], r[3]))
+    top, left = order[:n], order[n:]
+    short = lambda r: r[2] <= 15
+    while True:
+        many = sum(map(short, top))
+        wanted = True if many < least else False if many > most else None
+        come = next((r for r in left if short(r) == wanted), None)
+        go = next((r for r in reversed(top) if short(r) != wanted), None)
+        if wanted is None or come is None or go is None:
+            return [r[0] for r in sorted(top, key=lambda r: (-r[1], r[3]))]
+        top.remove(go)
+        left.remove(come)
+        top.append(come)
 
 
 def test_daily_quota(spark):
-    long = [("L", i, 90 - i, 30) for i in range(10)]
-    assert picks(spark, long[:8] + [("S", 1, 70, 5), ("S", 2, 69, 10), ("S", 3, 68, 15), ("X", 0, 10, 4)]) == [f"L{i}" for i in range(7)] + ["S1", "S2", "S3"]
-    short = [("S", i, 99 - i, 5) for i in range(12)]
-    assert picks(spark, short + [("L", i, 50 - i, 30) for i in range(3)]) == [f"S{i}" for i in range(7)] + ["L0", "L1", "L2"]
-    assert sum(x[0] == "S" for x in picks(spark, short + [("L", i, 50 - i, 30) for i in range(9)])) == 5
-    assert picks(spark, []) == []
+    rng = random.Random(12)
+    days = {d: [(f"{d}-{p}", rng.randint(1, 30), rng.choice([5, 15, 16, 40] if d % 3 else [4, 9, 50]), p) for p in range(rng.randint(0, 30))] for d in range(120)}
+    df = spark.createDataFrame([(d, *r) for d, rows in days.items() for r in rows], "day int, id string, score int, minutes int, pos int")
+    got = ranking.daily_top(df, ["day"], F.col("minutes") <= 15, [F.desc("score"), "pos"]).orderBy("day", "rank").collect()
+    assert {d: [r.id for r in got if r.day == d] for d in days} == {d: quota(rows) for d, rows in days.items()}
 
 
 def greedy(rows, covered):
@@ -128,6 +138,20 @@ def test_feeds(spark):
     assert [r.source for r in feeds.parse_hacker_news(hn, day("2026-09-20"), day("2026-09-24")).collect()] == ["Hacker News · 120 pts"]
 
 
+def test_requests_and_answers_of_sources(spark):
+    bodies = spark.createDataFrame([("A", "<?xml version='1.0'?><!-- x --><rss><channel>" + "".join(f"<item><title>{i}</title><link>https://a.test/{i}</link></item>" for i in range(9)) + "</channel></rss>", 2), ("B", "<rss><channel><item>", None), ("C", "<html></html>", None), ("D", None, None)], "source string, body string, limit int").selectExpr("*", "'local' as hint", "1.0 as weight", "cast(null as string) as exclude")
+    day = lambda x: F.lit(x).cast("date")
+    assert sorted(r.url for r in feeds.parse_feeds(bodies, day("2026-09-20"), day("2026-09-24")).collect()) == ["https://a.test/0", "https://a.test/1"]
+    assert {r.source: r.error for r in feeds.feed_errors(bodies).collect()} == {"B": "breaks off", "C": "no feed", "D": "nothing fetched"}
+    at = F.lit("2026-03-04 10:00:00").cast("timestamp")
+    assert [(str(r.day), r.url) for r in feeds.paper_requests(spark.range(1), "https://p.test", day("2026-03-02"), at).collect()] == [("2026-03-02", "https://p.test?date=2026-03-02"), ("2026-03-03", "https://p.test?date=2026-03-03")]
+    asked = spark.createDataFrame([("big news", False), ("Name", True)], "query string, exact boolean")
+    assert [r.url for r in feeds.search_requests(asked, "https://s.test", at).collect()] == ["https://s.test?tags=story&query=big%20news&numericFilters=created_at_i>1772618400,points>80", "https://s.test?tags=story&query=Name&typoTolerance=false&restrictSearchableAttributes=title&numericFilters=created_at_i>1772618400,points>80"]
+    assert [r.url for r in feeds.repository_requests(asked.selectExpr("'rag' as topic").limit(1), "https://g.test", at).collect()] == ["https://g.test?q=topic%3Arag%20created%3A%3E2026-02-25&sort=stars&order=desc&per_page=10"]
+    papers = spark.createDataFrame([("2026-03-02", '[{"title":"P","summary":"<b>s</b>","paper":{"id":"2603.00001","upvotes":4}},{"title":"odd","paper":{"id":"x","upvotes":99}}]'), ("2026-03-03", '[{"title":"Q","paper":{"id":"2603.00002","upvotes":9}}]'), ("2026-03-04", "broken")], "day string, body string").withColumn("day", F.to_date("day"))
+    assert [(r.title, r.source, r.snippet, str(r.published)) for r in feeds.parse_papers(papers).collect()] == [("Q", "Papers · 9 upvotes", "", "2026-03-03"), ("P", "Papers · 4 upvotes", "s", "2026-03-02")]
+
+
 def test_queue_and_state(spark):
     rows = spark.createDataFrame([(1, "pending", 3, None, "u"), (2, "failed", 1, None, "u"), (3, "failed", 1, None, "v"), (4, "pending", 0, None, "u")], "id long, status string, attempts int, claimed_at timestamp, owner string")
     now = F.lit("2026-01-01 00:00:00").cast("timestamp")
