@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import once
+
 ZONE = "Europe/Budapest"
 
 
@@ -86,9 +88,13 @@ def published_date(text: Column) -> Column:
     Forms: 22 Sep 2026, 22-September-2026, Sep 22, 2026, 2026/09/22 and
     09/22/2026, with or without a weekday, a time and a zone.
     """
-    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s+", " ")))
-    iso = F.substring(text, 1, 10).try_cast("date")
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).otherwise(F.coalesce(*(_moment(plain, *form) for form in _FORMS)))
+
+    def read(raw: Column) -> Column:
+        plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(raw, r"\([^)]*\)", " "), r"\s+", " ")))
+        iso = F.substring(raw, 1, 10).try_cast("date")
+        return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).otherwise(once(plain, lambda x: F.coalesce(*(_moment(x, *form) for form in _FORMS))))
+
+    return once(text, read)
 
 
 def is_closed(week: Column, current: Column) -> Column:

@@ -272,8 +272,8 @@ def said(spans: list[dict]) -> str:
 class Reader:
     """Reads a tree into blocks; ``late`` are elements of running text that wait for the end of their block."""
 
-    def __init__(self, page: str):
-        self.page = page
+    def __init__(self, page: str, images: str):
+        self.page, self.images = page, images
         self.out: list[dict] = []
         self.late: list[Element] = []
 
@@ -354,7 +354,7 @@ class Reader:
             self.children(node)
 
     def picture(self, node: Element | None, caption: str | None = None) -> None:
-        link = image_link(node.attrs, self.page) if node else ""
+        link = image_link(node.attrs, self.images) if node else ""
         size = [float(x) for x in (node.attrs.get("width", ""), node.attrs.get("height", "")) if re.fullmatch(r"\d+(\.\d+)?", x)] if node else []
         if link and not any(0 < x < SMALLEST_IMAGE for x in size):
             alt = collapse(node.attrs.get("alt"))
@@ -434,12 +434,12 @@ def _owned(figure: Element) -> Iterator[Element]:
             yield from _owned(kid)
 
 
-def blocks(html: str | None, page: str | None = None) -> list[dict]:
-    """Blocks of a page; links are made whole by the page's own."""
+def blocks(html: str | None, page: str | None = None, images: str | None = None) -> list[dict]:
+    """Blocks of a page; links are made whole by the page's own, those of pictures by ``images`` if they are relative to another address."""
     before = sys.getrecursionlimit()
     sys.setrecursionlimit(max(before, 12 * DEEPEST))  # some calls a level
     try:
-        reader = Reader(page or "")
+        reader = Reader(page or "", images or page or "")
         reader.children(cleaned(html or "", page or ""))
         return reader.out
     finally:

@@ -127,10 +127,10 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")).cast("long")
 
 
-def read_minutes(text: Column) -> Column:
-    """At 220 words a minute, one at least; null under ten words."""
+def read_minutes(text: Column, video: Column | None = None) -> Column:
+    """At 220 words a minute, one at least; null under ten words and for videos."""
     n = word_count(text)
-    return F.when(n >= 10, F.greatest(F.lit(1), F.floor(n / 220 + 0.5)).cast("long"))
+    return F.when((n >= 10) & (F.lit(True) if video is None else ~F.coalesce(video, F.lit(False))), F.greatest(F.lit(1), F.floor(n / 220 + 0.5)).cast("long"))
 
 
 def trim_byline(text: Column) -> Column:

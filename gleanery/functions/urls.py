@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import once
+
 # fixed values
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|ref_src)$"
 ARXIV_PATH = r"(?i)^/(?:abs|pdf|html)/(\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?(?:\.pdf)?/?$"
@@ -28,11 +30,6 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host(url), r"^www\.", ""), F.lit(""))
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _number(part: Column) -> Column:
     """Value of one part of an address: decimal, 0x.. or 0.. (octal); null if it is no such number."""
     hexed, octal = F.regexp_extract(part, r"^0x([0-9a-f]{0,12})$", 1), F.regexp_extract(part, r"^0([0-7]{1,16})$", 1)
@@ -60,7 +57,7 @@ def ipv4(name: Column) -> Column:
         good = (n <= 4) & ~F.exists(parts, lambda x: x.isNull()) & ~F.exists(front, lambda x: x > 255) & (last < left)
         return F.when(F.coalesce(good, F.lit(False)), head * left + last)
 
-    return _once(F.transform(F.split(name, r"\."), _number), whole)
+    return once(F.transform(F.split(name, r"\."), _number), whole)
 
 
 def _private(whole: Column) -> Column:
@@ -70,7 +67,7 @@ def _private(whole: Column) -> Column:
 
 def is_private_v4(name: Column) -> Column:
     """Loopback, private, link-local, carrier, multicast and reserved addresses, in any spelling."""
-    return F.coalesce(_once(ipv4(name), _private), F.lit(False))
+    return F.coalesce(once(ipv4(name), _private), F.lit(False))
 
 
 def ipv6(text: Column) -> Column:
@@ -89,7 +86,7 @@ def ipv6(text: Column) -> Column:
         filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(left, F.lit(0))), tail)
         return F.when(F.coalesce(good, F.lit(False)), F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
 
-    return _once(F.split(plain, "::"), groups)
+    return once(F.split(plain, "::"), groups)
 
 
 def carried_v4(groups: Column) -> Column:
@@ -103,10 +100,10 @@ def carried_v4(groups: Column) -> Column:
 def is_private(address: Column) -> Column:
     """Whether an address, IPv4 or IPv6, is loopback, private, link-local, carrier-grade, multicast or reserved, or carries such an IPv4 one."""
     bare = F.regexp_replace(F.lower(F.trim(address)), r"^\[|\]$", "")
-    inner = _once(ipv6(address), carried_v4)
+    inner = once(ipv6(address), carried_v4)
     by_name = bare.rlike("^(f[cd]|fe[89ab]|ff)")
     v4 = F.when(bare.rlike(r"^\d+\.\d+\.\d+\.\d+$"), ipv4(bare))
-    return F.coalesce(_once(F.coalesce(v4, inner), lambda n: F.when(n.isNotNull(), _private(n))), by_name, F.lit(False))
+    return F.coalesce(once(F.coalesce(v4, inner), lambda n: F.when(n.isNotNull(), _private(n))), by_name, F.lit(False))
 
 
 def is_submittable(url: Column) -> Column:
@@ -114,10 +111,10 @@ def is_submittable(url: Column) -> Column:
 
     def public(name: Column) -> Column:
         plain = (name != "") & (name != "localhost") & ~name.rlike(r"\.(local|internal|localhost)$") & name.contains(".") & ~name.startswith("[")
-        address = _once(ipv4(name), lambda whole: whole.isNotNull() & ~F.coalesce(_private(whole), F.lit(False)))
+        address = once(ipv4(name), lambda whole: whole.isNotNull() & ~F.coalesce(_private(whole), F.lit(False)))
         return F.when(is_numeric(name), address).otherwise(plain)
 
-    return F.coalesce(_once(host(url), public), F.lit(False))
+    return F.coalesce(once(host(url), public), F.lit(False))
 
 
 def safe_href(raw: Column, base: Column) -> Column:

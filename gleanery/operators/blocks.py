@@ -33,7 +33,8 @@ AVATAR_HOST = r"(?i)((^|\.)gravatar\.com$)|(avatars\d*\.githubusercontent\.com$)
 
 
 @F.pandas_udf(T.ArrayType(BLOCK))
-def html_blocks(html: pd.Series, page: pd.Series) -> pd.Series:
+def image_blocks(html: pd.Series, page: pd.Series, images: pd.Series) -> pd.Series:
+    """Blocks of pages; ``images`` is the address that pictures are relative to, a page's own if it is null."""
     keys, marks = BLOCK.fieldNames(), SPAN.fieldNames()
     spans = lambda found: None if found is None else [{k: x.get(k) for k in marks} for x in found]
 
@@ -41,7 +42,20 @@ def html_blocks(html: pd.Series, page: pd.Series) -> pd.Series:
         items = None if b.get("items") is None else [spans(x) for x in b["items"]]
         return {**{k: b.get(k) for k in keys}, "content": spans(b.get("content")), "items": items}
 
-    return pd.Series([[row(b) for b in htmltree.blocks(x, at)] for x, at in zip(html, page)])
+    return pd.Series([[row(b) for b in htmltree.blocks(x, at, of)] for x, at, of in zip(html, page, images)])
+
+
+def html_blocks(html: Column | str, page: Column | str) -> Column:
+    return image_blocks(html, page, F.lit(None).cast("string"))
+
+
+def readme_blocks(html: Column, repository: Column, branch: Column) -> Column:
+    """Blocks of a repository's read-me: links lead to its files, pictures to their raw contents, wherever the read-me has them from."""
+    place = F.concat_ws("/", repository, F.lit("blob"), branch, F.lit(""))
+    raw = F.concat_ws("/", F.lit("https://raw.githubusercontent.com"), repository, branch, F.lit(""))
+    found = image_blocks(html, F.concat(F.lit("https://github.com/"), place), raw)
+    fixed = lambda url: F.regexp_replace(F.regexp_replace(url, r"^https://raw\.githubusercontent\.com/([^/]+/[^/]+)/(?:blob|raw)/", "https://raw.githubusercontent.com/$1/"), r"^https://github\.com/([^/]+/[^/]+)/(?:blob|raw)/", "https://raw.githubusercontent.com/$1/")
+    return F.transform(found, lambda b: b.withField("url", F.when(b["type"] == "image", fixed(b["url"])).otherwise(b["url"])))
 
 
 @F.pandas_udf(_TEXT)
@@ -50,6 +64,13 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else entities.unescape(x))
 
 
+def unescape_basic(text: Column) -> Column:
+    """The five references that every page may use, as what they stand for."""
+    for mark, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(letter))
+    return text
+
+
 def meta(html: Column, name: str) -> Column:
     """A meta tag's content, by name or property."""
     tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*>", 0)

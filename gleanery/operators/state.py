@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from . import stored
 
 
@@ -48,7 +49,7 @@ def read_action(raw: Column) -> Column:
     unknown_action.  A flag that isn't true is false; only an explicit null
     takes a rating back.
     """
-    return stored.once(stored.opened(raw), lambda v: stored.once(_action_error(v), lambda error: _action_values(v, error)))
+    return once(stored.opened(raw), lambda v: once(_action_error(v), lambda error: _action_values(v, error)))
 
 
 def _text(v: Column, field: str) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..functions.text import TAGS
 
 # fixed values
@@ -31,11 +32,6 @@ def opened(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 

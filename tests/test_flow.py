@@ -38,12 +38,29 @@ def test_extractors(spark):
     rows = spark.createDataFrame([("article", "https://a.com/x", html, long), ("article", "https://a.com/f%20g.zip", None, None), ("x", "https://x.com/a/status/1", '{"author_name":"A","html":"<p>one<br><br>two</p>"}', None), ("github", "https://github.com/o/r", "not json", None)], "kind string, url string, body string, text string")
     u, b = F.col("url"), F.col("body")
     got = ingest.extracted(rows, {"article": ingest.article(u, b, F.col("text")), "x": ingest.x_post(b), "github": ingest.github(u, b, F.lit(None))}, fallback=ingest.metadata_only(u, b)).collect()
-    assert [r.extracted.title for r in got] == ["T", "f g.zip", "one", "r"] and str(got[0].extracted.published) == "2026-01-02" and got[2].extracted.text == "one\n\ntwo"
+    assert [r.extracted.title for r in got] == ["T", "f g.zip", "A: one\n\ntwo", "r"] and str(got[0].extracted.published) == "2026-01-02" and got[2].extracted.text == "one\n\ntwo"
     atom = "<feed><entry><title>P\n q</title><summary>s</summary><published>2026-01-02T00:00:00Z</published><author><name>A</name></author><author><name>B</name></author><author><name>C</name></author><author><name>D</name></author></entry></feed>"
     paper = spark.range(1).select(ingest.arxiv(F.lit("https://arxiv.org/abs/2411.01234"), F.lit(atom)).alias("p")).first().p
     assert (paper.title, paper.author, paper.error) == ("P q", "A, B, C et al.", None)
     body = spark.range(1).select(ingest.body_text(F.lit("é").cast("binary"), F.lit("text/html")).alias("b"), ingest.body_text(F.lit("long").cast("binary"), F.lit(None), 2).alias("c")).first()
     assert body.b.text == "é" and body.c.error == "body too large"
+    latin = [("ő".encode("iso-8859-2"), 'text/html; charset="ISO-8859-2"'), (b"\x80", "text/html; charset=iso-8859-1"), ("ő".encode(), "text/html; charset=none-such"), (b"a\xff", None), (b"abcdef", "text/plain"), (None, "text/html; charset=cp1250")]
+    texts = spark.createDataFrame(latin, "b binary, t string").select(ingest.body_text(F.col("b"), F.col("t"), 4, truncate=True).alias("x"), ingest.is_html(F.col("t")).alias("h")).collect()
+    assert [r.x.text for r in texts] == ["ő", "€", "ő", "a\ufffd", "abcd", None] and [r.h for r in texts] == [True, True, True, True, False, True]
+    objects = spark.createDataFrame([('{"a":1}',), ("[1]",), ("null",), ("x",), (None,)], "b string").select(ingest.json_object(F.col("b")).isNotNull().alias("x")).collect()
+    assert [r.x for r in objects] == [True, False, False, False, False]
+
+
+def test_what_falls_back_to_what(spark):
+    answer = '{"author_name":"A","html":"<blockquote><p>#tag &amp; one<br>line<br><br>two</p>&mdash; A <a href=\\"u\\">March 5, 2026</a></blockquote>"}'
+    rows = [("x", "https://x.com/a/status/1", answer), ("x", "https://x.com/a/status/2", "gone"), ("youtube", "https://youtu.be/abcdefghijk", '{"title":"V","author_name":"B"}'), ("youtube", "https://youtube.com/x", None), ("pdf", "https://a.test/p.pdf", None), ("github", "https://github.com/o/r", "down")]
+    df = spark.createDataFrame(rows, "kind string, url string, body string")
+    u, b = F.col("url"), F.col("body")
+    bad = F.when(F.lit(True), ingest._struct(error=F.lit("no reader")))
+    page = ingest._struct(title=F.lit("page"), text=F.lit("t"))
+    got = ingest.extracted(df, {"x": ingest.x_post(b), "youtube": ingest.video_only(u, b), "pdf": bad, "github": ingest.github(u, b, F.lit(None)), "article": page}, fallback=ingest.metadata_only(u, F.lit(None).cast("string"))).collect()
+    assert [(r.extracted.title if r.extracted else None, r.error) for r in got] == [("A: #tag & one line\n\ntwo", None), (None, "unreachable: no post"), ("V", None), (None, "unreachable: no video"), ("p.pdf", None), ("page", None)]
+    assert str(got[0].extracted.published) == "2026-03-05" and got[2].extracted.text == "V — B"
 
 
 def feed(spark, folder, batches, schema):

@@ -105,3 +105,8 @@ def test_hostile_pages():
     assert [b["text"] for b in deep] == ["end"]
     assert len(blocks("<p>x" * 5000, PAGE)) == 5000
     assert shapes("<img src='http://[bad'><a href='http://[bad'>t</a>") == [("paragraph", "t")]
+
+
+def test_pictures_of_another_address():
+    found = blocks("<a href='docs/a.md'>a</a> text<img src='shot.png'><img src='/b.png'>", "https://github.com/o/r/blob/main/", "https://raw.githubusercontent.com/o/r/main/")
+    assert found[0]["content"][0]["href"] == "https://github.com/o/r/blob/main/docs/a.md" and [b["url"] for b in found[1:]] == ["https://raw.githubusercontent.com/o/r/main/shot.png", "https://raw.githubusercontent.com/b.png"]
