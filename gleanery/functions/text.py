@@ -114,13 +114,24 @@ def bounded(pattern: str) -> str:
 
 
 def keyword_tags(title: Column, text: Column, tags: dict[str, str] | None = None, most: int = TAGS_MAX) -> Column:
-    """Tags with two hits or more, a title's counting double, most hits first, then in the vocabulary's order."""
-    body = F.substring(F.coalesce(text, F.lit("")), 1, TAG_CHARS)
-    hits = [
-        F.struct((-(F.regexp_count(body, F.lit(bounded(p))) + 2 * F.regexp_count(F.coalesce(title, F.lit("")), F.lit(bounded(p))))).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t"))
-        for i, (t, p) in enumerate((tags or TAGS).items())
-    ]
-    return F.transform(F.slice(F.array_sort(F.filter(F.array(*hits), lambda x: x["n"] <= -2)), 1, most), lambda x: x["t"])
+    """Tags with two hits or more, a title's counting double, most hits first, then in the vocabulary's order.
+
+    Most texts hit none of the service's tags: one scan for all of them finds
+    that out, and only the others are scanned for each.
+    """
+    own = tags or TAGS
+    head, body = F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, TAG_CHARS)
+    groups = [{t: p for t, p in own.items() if (t in TAGS) is service} for service in (True, False)]
+    count = lambda p: F.regexp_count(body, F.lit(bounded(p))) + 2 * F.regexp_count(head, F.lit(bounded(p)))
+    place, kind = {t: i for i, t in enumerate(own)}, "array<struct<n:int,i:int,t:string>>"
+
+    def hits(group: dict[str, str]) -> Column:
+        every = F.lit(bounded("|".join(group.values())))
+        rows = F.array(*(F.struct((-count(p)).alias("n"), F.lit(place[t]).alias("i"), F.lit(t).alias("t")) for t, p in group.items()))
+        return F.when(F.rlike(body, every) | F.rlike(head, every), rows.cast(kind)).otherwise(F.array().cast(kind))
+
+    found = [hits(group) for group in groups if group]
+    return F.transform(F.slice(F.array_sort(F.filter(F.concat(*found), lambda x: x["n"] <= -2)), 1, most), lambda x: x["t"])
 
 
 def word_count(text: Column) -> Column:
