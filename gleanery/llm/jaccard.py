@@ -255,15 +255,15 @@ def _entries(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: Br
         doc, key, place, bucket = doc[order], (key[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), place[order], bucket[order]
         size = np.minimum(np.log2(np.maximum(n, 1)) * _SIZES, 255).astype(np.uint8)[doc]
         place = (place * _PLACES // np.maximum(n[doc], 1)).astype(np.uint8)
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        for b, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
-            if z > a:
-                own = ids[doc[a:z]]
-                step = np.diff(own)
-                # ascending: the first, then 32-bit steps
-                near = own[0] >= 0 and (not len(step) or step.max() < 1 << 32)
-                sent = own[:1].astype("<i8").tobytes() + step.astype("<u4").tobytes() if near else own.astype("<i8").tobytes()
-                rows.append((b, key[a:z].tobytes(), sent, size[a:z].tobytes(), place[a:z].tobytes(), b""))
+        # only buckets that the slice has shingles for, however many there are
+        edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)).tolist() if len(bucket) else []
+        for a, z in zip(edges, edges[1:]):
+            own = ids[doc[a:z]]
+            step = np.diff(own)
+            # ascending: the first, then 32-bit steps
+            near = own[0] >= 0 and (not len(step) or step.max() < 1 << 32)
+            sent = own[:1].astype("<i8").tobytes() + step.astype("<u4").tobytes() if near else own.astype("<i8").tobytes()
+            rows.append((int(bucket[a]), key[a:z].tobytes(), sent, size[a:z].tobytes(), place[a:z].tobytes(), b""))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

@@ -86,12 +86,13 @@ def marked(docs: DataFrame, entries: Callable[[pa.RecordBatch], Entries], n: int
             out = order[first]
             out.sort()  # documents in order compress better
             bucket = (keys[out] % np.uint64(n)).astype(np.int64)
-            out = out[np.argsort(bucket, kind="stable")]
-            ends = np.cumsum(np.bincount(bucket, minlength=n))
-            for b, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                if z > a:
-                    i = out[a:z]
-                    rows.append((b, False, keys[i].astype("<u8").tobytes(), more[i].astype("<u4").tobytes() if more[i].any() else b"", ids[i].astype("<i8").tobytes(), marks[i].astype("<i4").tobytes()))
+            by = np.argsort(bucket, kind="stable")
+            out, bucket = out[by], bucket[by]
+            # only buckets that the slice has keys for, however many there are
+            at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(out))
+            for a, z in zip(at, at[1:]):
+                i = out[a:z]
+                rows.append((int(bucket[a]), False, keys[i].astype("<u8").tobytes(), more[i].astype("<u4").tobytes() if more[i].any() else b"", ids[i].astype("<i8").tobytes(), marks[i].astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT.types)], schema=_SENT)
 
     def meet(table: pa.Table) -> pa.Table:
