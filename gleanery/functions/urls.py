@@ -13,6 +13,9 @@ from .columns import once
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|ref_src)$"
 ARXIV_PATH = r"(?i)^/(?:abs|pdf|html)/(\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?(?:\.pdf)?/?$"
 RESERVED_OWNERS = ["orgs", "topics", "features", "settings", "marketplace", "sponsors", "about", "search", "explore"]
+YOUTUBE_HOSTS, YOUTUBE_PATH, YOUTUBE_ID = ["youtube.com", "youtube-nocookie.com"], r"^/(?:shorts|embed|live)/([\w-]+)", r"^[A-Za-z0-9_-]{11}$"
+VIMEO_HOST, VIMEO_PATH = r"(^|\.)player\.vimeo\.com$", r"^/video/(\d+)"
+X_HOSTS, X_PATH = ["x.com", "twitter.com"], r"^/[^/]+/status/(\d+)"
 PARTS = r"(?i)^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -139,15 +142,15 @@ def param(url: Column, name: str) -> Column:
 def youtube_id(url: Column) -> Column:
     name, path = F.regexp_replace(host(url), r"^(www|m|music)\.", ""), _part(url, 3)
     found = F.when(name == "youtu.be", F.regexp_extract(path, r"^/([^/]*)", 1)).when(
-        name.isin("youtube.com", "youtube-nocookie.com"), F.coalesce(param(url, "v"), F.regexp_extract(path, r"^/(?:shorts|embed|live)/([\w-]+)", 1))
+        name.isin(YOUTUBE_HOSTS), F.coalesce(param(url, "v"), F.regexp_extract(path, YOUTUBE_PATH, 1))
     )
-    return F.when(found.rlike(r"^[A-Za-z0-9_-]{11}$") & (found != "videoseries"), found)
+    return F.when(found.rlike(YOUTUBE_ID) & (found != "videoseries"), found)
 
 
 def video_of(url: Column) -> Column:
     """struct(provider, video_id) of the single video that a link plays; null for lists and other links."""
     tube = youtube_id(url)
-    vimeo = F.when(host(url).rlike(r"(^|\.)player\.vimeo\.com$"), F.nullif(F.regexp_extract(_part(url, 3), r"^/video/(\d+)", 1), F.lit("")))
+    vimeo = F.when(host(url).rlike(VIMEO_HOST), F.nullif(F.regexp_extract(_part(url, 3), VIMEO_PATH, 1), F.lit("")))
     found = F.coalesce(tube, vimeo)
     return F.when(found.isNotNull(), F.struct(F.when(tube.isNotNull(), "youtube").otherwise("vimeo").alias("provider"), found.alias("video_id")))
 
@@ -166,7 +169,7 @@ def github_repo(url: Column) -> Column:
 
 def x_status_id(url: Column) -> Column:
     name = F.regexp_replace(host(url), r"^(www|mobile)\.", "")
-    return F.when(name.isin("x.com", "twitter.com"), F.nullif(F.regexp_extract(_part(url, 3), r"^/[^/]+/status/(\d+)", 1), F.lit("")))
+    return F.when(name.isin(X_HOSTS), F.nullif(F.regexp_extract(_part(url, 3), X_PATH, 1), F.lit("")))
 
 
 def detect_source(url: Column) -> Column:

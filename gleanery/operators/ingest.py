@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.columns import once
 from ..functions.dates import published_date
-from ..functions.text import author_list, collapse, strip_html, trim_byline
+from ..functions.text import author_list, collapse, trim_byline
 from ..functions.urls import arxiv_id, filename_of, host_of, youtube_id
 from . import blocks, stored
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gleanery.plans import catalog, documents, markup, reader  # noqa: F401  (their queries are in the catalogue)
+from gleanery.plans import catalog, documents, markup, reader, service  # noqa: F401  (their queries are in the catalogue)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
