@@ -9,11 +9,13 @@ Documents meet by the few shingles of each that a partner of the wanted
 similarity must share (under any one order of shingles, here: very common ones
 last).  All that meet under a shingle go to the cell of the least of them, so
 that a group of near copies shares one or a few cells however many shingles it
-shares.  A cell's points drop the documents without a possible partner; the
-texts of the others come once a cell and are verified there on whole sets, and
-only links that join two components leave it.  A cell too heavy for a task is
-first held against a few of its documents, spread over tasks; what then is in
-other components than most of it is held against the rest in blocks.
+shares.  As linked sets differ little in size, a cell is one for each size.
+Its points drop the documents without a possible partner, in blocks where it
+has many, so that no text moves for a chance meeting; the texts of the others
+come once a cell and are verified there on whole sets, and only links that
+join two components leave it.  What then is too heavy for a task is first
+held against a few of its documents, spread over tasks; what is in other
+components than most of it is held against the rest in blocks.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ COMMON = 2000
 SLICE, BUCKET = 8 << 20, 2_000_000
 #: Documents and shingles of a cell, or of a block of a heavier one, that one task holds.
 CELL_DOCS, CELL_SHINGLES = 1024, 1 << 22
+#: Points of a cell, or of a block of a wider one, that one task compares, and their bytes, about.
+POINT_DOCS, POINT_BYTES = 4096, 1 << 23
+#: Points next to one in size that are tried first.
+BESIDE = 64
 #: Documents of a heavy cell that all others are held against first.
 CENTRES = 4
 #: Steps of a set's size and of a shingle's place that travel with a key, as bytes.
@@ -172,17 +178,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * (100 - percent) / 100 + n_docs) // BUCKET)
     sent = rows.mapInArrow(lambda b: _entries(b, k, percent, common, buckets), "bucket int, keys binary, docs binary, sizes binary, places binary, leads binary")
     met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent, buckets), "owner int, leads binary, docs binary").groupBy("owner").applyInArrow(_once, "lead long, doc long")
-    cells = written(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").select("lead", F.col("rep").alias("doc"), "n").distinct(), "cells")
+    cells = written(_by_size(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").select("lead", F.col("rep").alias("doc"), "n").distinct(), percent), "cells")
+    near = _possible(cells, classes.select(F.col("rep").alias("doc"), "n", "point"), percent)
     centres = [F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(i))) for i in range(CENTRES - 1))]
-    weights = cells.groupBy("lead").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*centres)).alias("centres"))
+    weights = near.groupBy("lead").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*centres)).alias("centres"))
     heavy = written(weights.where((F.col("docs") > CELL_DOCS) | (F.col("shingles") > CELL_SHINGLES)).where("docs > 1").select("lead", "centres", _blocks("docs", "shingles").alias("blocks")), "heavy")
-    light = cells.join(heavy, "lead", "left_anti").join(classes.select(F.col("rep").alias("doc"), "n", "point"), ["doc", "n"])
-    near = written(_by(light, ["lead"]).mapInArrow(lambda b: _near(b, percent), "lead long, doc long").distinct(), "near")
-    large = cells.join(heavy, "lead")
-    texts = written(rows.join(near.select("doc").unionAll(large.select("doc")).distinct(), "doc", "left_semi").distinct(), "texts")
+    large = near.join(heavy, "lead")
+    texts = written(rows.join(near.select("doc").distinct(), "doc", "left_semi").distinct(), "texts")
 
     # a light cell in one task, a heavy one against a few of its documents
-    task = near.select("lead", F.lit(0).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "doc", F.col("doc").alias("component"))
+    task = near.select("lead", "doc").distinct().join(heavy, "lead", "left_anti").select("lead", F.lit(0).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "doc", F.col("doc").alias("component"))
     several = named.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc", "a")  # texts of one doc_id
     links = written(_linked(task, texts, percent, k).unionAll(several.join(named, "doc").select("a", F.col("rep").alias("b"))), "links")
     if heavy.isEmpty():
@@ -201,6 +206,38 @@ def _by(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
 
 
+def _by_size(cells: DataFrame, percent: int) -> DataFrame:
+    """Cells (lead, doc, n) by steps of size: linked sets are of one step or of two next to each other; ``high`` is the upper one of a cell. Cells in which no two could be linked go."""
+    step = F.floor(F.log("n") / (float(np.log(100 / percent)) + 1e-9)).cast("long")
+    rows = cells.select("lead", "doc", "n", F.explode(F.array(F.struct(step.alias("step"), F.lit(False).alias("high")), F.struct((step - 1).alias("step"), F.lit(True).alias("high")))).alias("s"))
+    rows = rows.select(F.xxhash64("lead", "s.step").alias("lead"), "doc", "n", F.col("s.high").alias("high"))
+    return rows.join(rows.groupBy("lead").agg(F.count("*").alias("docs"), F.bool_and("high").alias("none")).where("docs > 1 and not none").select("lead"), "lead", "left_semi")
+
+
+def _possible(cells: DataFrame, point: DataFrame, percent: int) -> DataFrame:
+    """lead, doc, n of the rows of cells whose points allow a partner there. A wide cell's blocks are held against themselves, then who has found none against every block."""
+    bytes_ = F.sum(F.greatest(F.lit(GROUPS), F.col("n") / 2))
+    blocks = F.greatest(F.ceil(F.count("*") / POINT_DOCS), F.ceil(bytes_ / POINT_BYTES)).cast("int").alias("blocks")
+    wide = written(cells.groupBy("lead").agg(blocks).where("blocks > 1"), "wide")
+    placed = cells.join(wide, "lead", "left").withColumn("x", F.expr("cast(pmod(xxhash64(doc), coalesce(blocks, 1)) as int)"))
+    names = ["lead", "x", "y"]
+
+    def near(rows: DataFrame) -> DataFrame:
+        rows = _by(rows.join(point, ["doc", "n"]), names).mapInArrow(lambda b: _near(b, percent), "lead long, doc long, n long")
+        return written(rows.distinct(), "near")
+
+    found = near(placed.select("lead", "doc", "n", "high", "x", F.lit(0).alias("y"), F.lit(True).alias("wants")))
+    if wide.isEmpty():
+        return found
+    rest = placed.where("blocks is not null").join(found.withColumn("has", F.lit(True)), ["lead", "doc", "n"], "left").withColumn("wants", F.col("has").isNull())
+    # the rest in blocks y of its own, as few as hold it
+    rests = rest.where("wants").groupBy("lead").agg(blocks.alias("rests"))
+    rest = rest.join(rests, "lead").withColumn("r", F.expr("cast(pmod(xxhash64(doc, 1), rests) as int)"))
+    to = """concat(transform(sequence(0, rests - 1), j -> named_struct('x', x, 'y', j, 'wants', wants and j = r)),
+        if(wants, transform(filter(sequence(0, blocks - 1), i -> i <> x), i -> named_struct('x', i, 'y', r, 'wants', true)), array()))"""
+    return found.unionAll(near(rest.select("lead", "doc", "n", "high", F.explode(F.expr(to)).alias("t")).select("lead", "doc", "n", "high", "t.*")))
+
+
 def _blocks(docs: str, shingles: str):
     """How many blocks of what a task may hold."""
     return F.greatest(F.ceil(F.col(docs) / CELL_DOCS), F.ceil(F.col(shingles) / CELL_SHINGLES), F.lit(1)).cast("int")
@@ -356,39 +393,62 @@ def _tasks(batches: Iterable[pa.RecordBatch], names: list[str], limit: int, size
 
 
 def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(lead, doc) of those whose points allow a partner in the cell."""
-    for t, at in _tasks(batches, ["lead"], 16 << 20, lambda b: b.nbytes):
+    """(lead, doc, n) of those that want a partner and whose points allow one in the cell or block. Two that are both of the upper size, or both want none, aren't held against each other."""
+    for t, at in _tasks(batches, ["lead", "x", "y"], 16 << 20, lambda b: b.nbytes):
         lead, doc, n = (t.column(c).to_numpy() for c in ("lead", "doc", "n"))
-        order = np.lexsort((n, lead))
+        order = np.lexsort((n, np.repeat(np.arange(len(at) - 1), np.diff(at))))
         lead, doc, n = lead[order], doc[order], n[order]
+        high, wants = (t.column(c).to_numpy(zero_copy_only=False)[order] for c in ("high", "wants"))
         raw = t.column("point").to_pylist()
         fine = [np.frombuffer(raw[i], np.uint8) for i in order.tolist()]
-        point = np.stack([folded(x, GROUPS, m) for x, m in zip(fine, n.tolist())])
-        good = np.zeros(len(doc), bool)
+        open_ = wants.copy()  # who looks for a partner still
         m = np.diff(at)
         small = np.flatnonzero((m > 1) & (m <= LEAF))
         own = tk.gather(at[small], m[small])
-        after = np.repeat(at[1:][small], m[small]) - own - 1
-        a, b = np.repeat(own, after), tk.gather(own + 1, after)
-        fit = (doc[a] != doc[b]) & (n[a] * 100 >= percent * n[b])
-        a, b = a[fit], b[fit]
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            ok = _bound(point[x], point[y]) >= needed(n[x], n[y], percent)
-            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
-                if not (good[p] and good[q]) and bound(fine[p], fine[q], n[p], n[q]) >= needed(n[p], n[q], percent):
-                    good[p] = good[q] = True
+        if len(own):
+            point = np.zeros((len(doc), GROUPS), np.int32)
+            point[own] = np.stack([folded(fine[i], GROUPS, n[i]) for i in own.tolist()])
+            after = np.repeat(at[1:][small], m[small]) - own - 1
+            a, b = np.repeat(own, after), tk.gather(own + 1, after)
+            fit = (doc[a] != doc[b]) & (n[a] * 100 >= percent * n[b]) & ~(high[a] & high[b]) & (wants[a] | wants[b])
+            a, b = a[fit], b[fit]
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                ok = _bound(point[x], point[y]) >= needed(n[x], n[y], percent)
+                for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                    if (open_[p] or open_[q]) and bound(fine[p], fine[q], n[p], n[q]) >= needed(n[p], n[q], percent):
+                        open_[p] = open_[q] = False
         for f, e in zip(at[:-1][m > LEAF].tolist(), at[1:][m > LEAF].tolist()):
-            tree = Tree(point[f:e], n[f:e], doc[f:e].copy())
-            for i in range(f + 1, e):
-                j = tree.partners(i - f, percent) + f
-                j = j[np.argsort(good[j], kind="stable")]  # those without a partner so far, all; then any
-                for q in j.tolist():
-                    if good[q] and good[i]:
-                        break
-                    if bound(fine[q], fine[i], n[q], n[i]) >= needed(n[q], n[i], percent):
-                        good[q] = good[i] = True
-        yield pa.RecordBatch.from_arrays([pa.array(lead[good]), pa.array(doc[good])], names=["lead", "doc"])
+            _search(fine[f:e], doc[f:e], n[f:e], high[f:e], open_[f:e], percent)
+        good = wants & ~open_
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (lead, doc, n)], names=["lead", "doc", "n"])
+
+
+def _search(fine: list[np.ndarray], doc: np.ndarray, n: np.ndarray, high: np.ndarray, open_: np.ndarray, percent: int) -> None:
+    """Takes from ``open_`` who has a possible partner among the points, which come by size: over half of their groups first, then over all."""
+    groups = min(map(len, fine))
+    levels = []
+    for g in (max(groups // 2, GROUPS), groups):
+        point = np.stack([folded(x, g, m) for x, m in zip(fine, n.tolist())])
+        levels.append(point.astype(np.uint8) if point.max() < 256 else point)
+    first = np.searchsorted(n * 100, percent * n)  # the least partner in size
+
+    def hold(i: int, j: np.ndarray) -> None:
+        j = j[(open_[j] | open_[i]) & ~(high[j] & high[i]) & (doc[j] != doc[i])]
+        for point in levels:
+            if not len(j):
+                return
+            j = j[np.minimum(point[j], point[i]).sum(axis=1, dtype=np.int64) >= needed(n[j], n[i], percent)]
+        if len(j):
+            open_[i] = False
+            open_[j] = False
+
+    for i in range(1, len(n)):
+        near = max(int(first[i]), i - BESIDE)
+        hold(i, np.arange(near, i))
+        if near > first[i]:
+            j = np.arange(first[i], near)
+            hold(i, j if open_[i] else j[open_[j]])
 
 
 _TASK = ["lead", "kind", "x", "y"]

@@ -111,3 +111,23 @@ def test_components(spark):
         for a, b in real:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+@pytest.mark.parametrize("docs,block", [(6, 4096), (6, 7), (4096, 7)])
+def test_no_text_moves_for_a_chance_meeting(spark, docs, block, monkeypatch):
+    """A wide cell of documents that share one passage alone sends its points, not its texts."""
+    monkeypatch.setattr(jaccard, "CELL_DOCS", docs)
+    monkeypatch.setattr(jaccard, "POINT_DOCS", block)
+    tables = {}
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda frame, name="table": tables.setdefault(name, keep(frame, name)))
+    rng = random.Random(6)
+    passage = [rng.choice("abcdefgh") * 3 + str(i) for i in range(40)]
+    rows = [(i, [f"{rng.randrange(10**6)}" for _ in range(60)] + passage) for i in range(90)]
+    rows += [(100 + i, [*rows[7][1][:i], "changed", *rows[7][1][i + 1 :]]) for i in (3, 50)]
+    rows += [(200 + i, [f"{rng.randrange(10**6)}" for _ in range(90 + i)] + passage) for i in range(40)]
+    rows.append((300, ["first", *rows[-1][1]]))
+    found = jaccard.jaccard_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    want = {i: i for i, _ in rows} | {103: 7, 150: 7, 300: 239}
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert {r.doc for r in tables["texts"].select("doc").collect()} == {7, 103, 150, 239, 300}
