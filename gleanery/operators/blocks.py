@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import html as entities
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import htmltree
-from ..functions.text import collapse, fnv1a
+from ..functions.text import collapse, fnv1a, let
 from . import stored
 
 _TEXT = T.StringType()
@@ -32,17 +36,29 @@ BADGE_HOST = r"(?i)(^|\.)img\.shields\.io$"
 AVATAR_HOST = r"(?i)((^|\.)gravatar\.com$)|(avatars\d*\.githubusercontent\.com$)"
 
 
-@F.pandas_udf(T.ArrayType(BLOCK))
-def image_blocks(html: pd.Series, page: pd.Series, images: pd.Series) -> pd.Series:
-    """Blocks of pages; ``images`` is the address that pictures are relative to, a page's own if it is null."""
-    keys, marks = BLOCK.fieldNames(), SPAN.fieldNames()
-    spans = lambda found: None if found is None else [{k: x.get(k) for k in marks} for x in found]
+#: Bytes of markup that are read into blocks at once; what a worker holds doesn't grow with a batch's rows.
+AT_ONCE = 2 << 20
+_LIST = to_arrow_type(T.ArrayType(BLOCK))
 
-    def row(b: dict) -> dict:
-        items = None if b.get("items") is None else [spans(x) for x in b["items"]]
-        return {**{k: b.get(k) for k in keys}, "content": spans(b.get("content")), "items": items}
 
-    return pd.Series([[row(b) for b in htmltree.blocks(x, at, of)] for x, at, of in zip(html, page, images)])
+def _pieces(size: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about AT_ONCE together, one row at least."""
+    first = have = 0
+    for i, n in enumerate(size.to_pylist()):
+        if i > first and have + (n or 0) > AT_ONCE:
+            yield first, i
+            first, have = i, 0
+        have += n or 0
+    yield first, len(size)
+
+
+@F.arrow_udf(T.ArrayType(BLOCK))
+def image_blocks(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Blocks of pages from their markup and address; the third is the address that pictures are relative to, a page's own if it is null."""
+    for html, page, images in batches:
+        for a, b in _pieces(pc.binary_length(html)):
+            rows = zip(*(x.slice(a, b - a).to_pylist() for x in (html, page, images)))
+            yield pa.array([htmltree.blocks(*row) for row in rows], _LIST)
 
 
 def html_blocks(html: Column | str, page: Column | str) -> Column:
@@ -71,6 +87,11 @@ def unescape_basic(text: Column) -> Column:
     return text
 
 
+def closed_references(html: Column | str) -> Column:
+    """Markup in which only the five references that every page may use, closed by a semicolon, are any; every other ampersand stands for itself."""
+    return F.regexp_replace(html, "&(?!(?:lt|gt|quot|#x27|amp);)", "&amp;")
+
+
 def meta(html: Column, name: str) -> Column:
     """A meta tag's content, by name or property."""
     tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*>", 0)
@@ -191,11 +212,23 @@ def plain_text(blocks: Column) -> Column:
     return F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda x: F.trim(x) != ""), "\n\n")
 
 
+def _clipped(blocks: Column, most: int = MOST_BLOCKS, chars: int = MOST_CHARS) -> Column:
+    """struct(blocks, clipped) of one page's array: what ``clip`` keeps of its rows, counted in place."""
+    lengths = F.transform(blocks, lambda b: F.coalesce(F.length(b["text"]), F.lit(0)).cast("long"))
+    state = lambda n, c: F.struct(n.alias("n"), c.alias("c"))
+    fits = lambda s, x: (s["n"] == 0) | ((s["n"] < most) & (s["c"] + x <= chars))
+    kept = F.aggregate(lengths, state(F.lit(0), F.lit(0).cast("long")), lambda s, x: state(F.when(fits(s, x), s["n"] + 1).otherwise(s["n"]), s["c"] + x))["n"]
+    return F.struct(F.slice(blocks, F.lit(1), kept).alias("blocks"), (kept < F.size(blocks)).alias("clipped"))
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, pos, clipped, block_id and the fields of each block of pages (page_id, url, html), after the noise rules and clipped."""
+    """page_id, pos, clipped, block_id and the fields of each block of pages (page_id, url, html; a row a page), after the noise rules and clipped."""
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)), r"^www\.", "")
-    rows = pages.select("page_id", F.posexplode(without_noise(html_blocks("html", "url"), host)).alias("pos", "b")).select("page_id", "pos", "b.*")
-    kept = clip(rows.withColumn("_n", F.length("text")), "page_id", "pos", "_n").drop("_n")
+    # markup goes to all tasks before it is read: a file's pages are more than one task's work
+    pages = pages.select("page_id", "url", "html").repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    own = pages.select("page_id", let(without_noise(html_blocks("html", "url"), host), lambda b: _clipped(b)).alias("c"))
+    # an outer one, as for the other the optimizer would read every page twice to find out which have blocks
+    kept = own.select("page_id", "c.clipped", F.posexplode_outer("c.blocks").alias("pos", "b")).where("pos is not null").select("page_id", "pos", "b.*", "clipped")
     return with_ids(kept, "page_id", "pos", F.col("type"), F.col("identity"))
 
 

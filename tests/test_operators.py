@@ -185,3 +185,39 @@ def test_reading(spark):
     assert [r.t for r in reading.by_id(rows, "id", 2).collect()] == ["b"] and reading.by_id(rows, "id", 3).count() == 0
     said = spark.createDataFrame([("failed", 1), ("done", None), ("done", 4)], "s string, p int").select(reading.reply(F.col("s"), F.col("p"), F.lit("e")).alias("r")).collect()
     assert [tuple(r.r) for r in said] == [("failed", None, "e"), ("pending", None, None), ("done", 4, None)]
+
+
+def test_pages_are_read_once_and_in_small_pieces(spark, monkeypatch):
+    from gleanery.operators import blocks
+
+    pages = spark.createDataFrame([(i, f"https://a.test/{i}", "<p>" + "word " * n + "</p>" if n else "") for i, n in enumerate([0, 3, 50_000, 1, 45_000])], "page_id long, url string, html string")
+    found = blocks.page_blocks(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {(r.page_id, r.pos, r.clipped, len(r.text)) for r in found.collect()} == {(1, 0, False, 14), (2, 0, False, 249_999), (3, 0, False, 4), (4, 0, False, 224_999)}
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "AT_ONCE", 10)
+    assert list(blocks._pieces(pa.array([4, 4, 4, 30, None, 1]))) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
+def test_clipped_in_place_as_in_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.operators import blocks
+
+    lists = [[], [9], [2, 2, 2, 2], [1, 5, 1], [0] * 6, [6, 0, 1]]
+    rows = spark.createDataFrame([(i, [("x" * n,) for n in own]) for i, own in enumerate(lists)], "id long, b array<struct<text: string>>")
+    got = {r.id: (len(r.c.blocks), r.c.clipped) for r in rows.select("id", blocks._clipped(F.col("b"), 4, 6).alias("c")).collect()}
+    flat = rows.select("id", F.posexplode("b").alias("pos", "b")).withColumn("n", F.length("b.text"))
+    want = {r.id: (r.n, r.clipped) for r in blocks.clip(flat, "id", "pos", "n", 4, 6).groupBy("id").agg(F.count("*").alias("n"), F.max("clipped").alias("clipped")).collect()}
+    assert got == {0: (0, False)} | want
+
+
+def test_open_references_stand_for_themselves_in_queries(spark):
+    from gleanery.operators import blocks
+
+    page = spark.createDataFrame([("<title>A &amp;&amp; b&amp</title><h1>A &lt;&eacute; &amp</h1>",)], "html string")
+    row = page.select(blocks.closed_references("html").alias("h"), blocks.page_title(blocks.closed_references("html")).alias("title")).head()
+    assert row.title == "A && b&amp"
+    assert row.h == "<title>A &amp;&amp; b&amp;amp</title><h1>A &lt;&amp;eacute; &amp;amp</h1>"
