@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import once
+from ..sources.tables import written
 from . import stored
 
 
@@ -112,7 +113,7 @@ def applied(there: State, actions: DataFrame) -> tuple[State, DataFrame]:
     what is done, an aggregate each; a new to-do's id is the greatest there is
     plus seq, a step on one that isn't there does nothing.
     """
-    told = actions.select("seq", "user_id", read_action(F.col("body")).alias("a"))
+    told = written(actions.select("seq", "user_id", read_action(F.col("body")).alias("a")))  # requests are read once
     good = told.where("a.error is null").select("seq", "user_id", "a.*")
     old = lambda rows: rows.withColumn("seq", F.lit(-1).cast("long"))
     flag = lambda name: F.when(F.col("action") == name, F.col("value"))
@@ -121,7 +122,7 @@ def applied(there: State, actions: DataFrame) -> tuple[State, DataFrame]:
 
     base = there.todos.agg(F.max("id")).head()[0] or 0
     answers = told.select("seq", F.col("a.error").alias("error"), F.when(F.col("a.action") == "add_todo", F.lit(base) + F.col("seq") + 1).alias("id"))
-    new = good.where("action = 'add_todo'").join(answers.where("id is not null").select("seq", "id"), "seq").select("user_id", "id", "text", "item_id", F.lit(False).alias("is_done"))
+    new = good.where("action = 'add_todo'").select("user_id", (F.lit(base) + F.col("seq") + 1).alias("id"), "text", "item_id", F.lit(False).alias("is_done"))
     steps = good.where(F.col("action").isin("set_todo", "delete_todo")).groupBy("user_id", F.col("todo_id").alias("id")).agg(F.max_by("value", F.when(F.col("action") == "set_todo", F.col("seq"))).alias("_done"), F.bool_or(F.col("action") == "delete_todo").alias("_gone"))
     kept = there.todos.select("user_id", "id", "text", "item_id", "is_done").unionByName(new).join(steps, ["user_id", "id"], "left").where(~F.coalesce("_gone", F.lit(False)))
     todos = kept.select("user_id", "id", "text", "item_id", F.coalesce("_done", "is_done").alias("is_done"))
