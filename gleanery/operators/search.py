@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType
 from ..sources.tables import written
 
 SIMILAR, SHORTEST, LONGEST = 0.45, 2, 100
+#: Characters of a hit's snippet.
+SNIPPET = 240
 
 
 def normal(query: str) -> str:
@@ -138,8 +140,8 @@ class Tables(NamedTuple):
     grams: DataFrame
 
 
-def index(kinds: dict[str, DataFrame]) -> Tables:
-    """Index frames of id, title, body, snippet, href, url, meta, by the name of their kind.
+def index(kinds: dict[str, DataFrame], query: str | None = None) -> Tables:
+    """Index frames of id, title, body, snippet, href, url, meta, by the name of their kind; for one query alone, of all rows the words and trigrams that it asks for.
 
     Words and trigrams are sorted over all files, so that a query's keys are
     found by the files' and row groups' least and greatest ones.  A common
@@ -147,11 +149,25 @@ def index(kinds: dict[str, DataFrame]) -> Tables:
     """
     fields = ("title", "snippet", "href", "url", "meta")
     whole = reduce(DataFrame.unionByName, (rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), *fields, "body") for kind, rows in kinds.items()))
-    told = whole.select("kind", "id", F.posexplode(tokens(F.concat_ws(" ", "title", "body"))).alias("at", "token")).repartitionByRange("token", "kind", "id")
+    own, grams = F.posexplode(tokens(F.concat_ws(" ", "title", "body"))).alias("at", "token"), title_trigrams(F.col("title"))
+    told = whole.select("kind", "id", own)
+    if query is None:
+        told = told.repartitionByRange("token", "kind", "id")
+    else:
+        told = told.where(F.col("token").isin(asked(query)))
+        grams = F.filter(grams, lambda g: g.isin(sorted(set(trigrams(normal(query))))))
     places = F.slice(F.array_distinct(F.array_sort(F.collect_list(F.least(F.col("at") + 1, F.lit(LAST_PLACE))))), 1, MOST_PLACES)
     words = told.groupBy("token", "kind", "id").agg(places.alias("places")).sortWithinPartitions("token", "kind", "id")
-    grams = whole.select("kind", "id", F.explode(title_trigrams(F.col("title"))).alias("gram")).repartitionByRange("gram", "kind", "id").sortWithinPartitions("gram")
-    return Tables(written(whole.select("kind", "id", *fields)), written(words), written(grams))
+    grams = whole.select("kind", "id", F.explode(grams).alias("gram"))
+    if query is None:
+        grams = grams.repartitionByRange("gram", "kind", "id").sortWithinPartitions("gram")
+    rows = whole.select("kind", "id", *fields).withColumn("snippet", F.substring("snippet", 1, SNIPPET))
+    return Tables(written(rows), written(words), written(grams))
+
+
+def asked(query: str) -> list[str]:
+    """The words that a query asks for."""
+    return sorted({w for g in parsed(normal(query)) for _, own in g for w in own})
 
 
 def similar_titles(tables: Tables, needle: str) -> DataFrame:
@@ -167,10 +183,9 @@ def search_all(tables: Tables | dict[str, DataFrame], query: str, limit: int = 4
     twice the words' and the title's; ties go by kind and id.
     """
     query, limit = normal(query), min(max(limit, 1), 100)
-    tables = tables if isinstance(tables, Tables) else index(tables)
+    tables = tables if isinstance(tables, Tables) else index(tables, query)
     groups, needle, keys = parsed(query), set(trigrams(query)), ["kind", "id"]
-    asked = sorted({w for g in groups for _, own in g for w in own})
-    have = tables.words.where(F.col("token").isin(asked)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("have"))
+    have = tables.words.where(F.col("token").isin(asked(query))).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("have"))
     if any(all(minus for minus, _ in g) for g in groups):  # rows without any of the words may be hits
         have = tables.rows.select(*keys).join(have, keys, "left")
 
@@ -187,5 +202,5 @@ def search_all(tables: Tables | dict[str, DataFrame], query: str, limit: int = 4
     rows = tables.rows.join(able, keys).withColumn("_sim", word_similarity(query, F.when(F.col("shared") > 0, F.col("title"))))
     hits = rows.where((F.coalesce("met", F.lit(False)) | (F.col("_sim") > SIMILAR)) & F.lit(bool(query)))
     ranked = (rank(F.coalesce("have", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<int>>"))), query) * 2 + F.col("_sim")).cast("float")
-    out = hits.select("kind", "id", "title", F.substring("snippet", 1, 240).alias("snippet"), "href", "url", "meta", ranked.alias("rank"))
+    out = hits.select("kind", "id", "title", F.substring("snippet", 1, SNIPPET).alias("snippet"), "href", "url", "meta", ranked.alias("rank"))
     return out.orderBy(F.desc("rank"), "kind", "id").limit(limit)
