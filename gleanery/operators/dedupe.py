@@ -15,6 +15,8 @@ from .ranking import first_per
 
 #: Two headlines this alike tell one story.
 SAME_STORY = 0.6
+#: Words of a headline that meets others by pairs of them.
+SHORT = 16
 
 
 def keep_first(rows: DataFrame, key: str, order: list, title: str | None = None) -> DataFrame:
@@ -38,8 +40,12 @@ def alike(left: DataFrame, right: DataFrame | None = None, least: float = SAME_S
     Without ``right``, pairs a < b of left alone.  Only headlines that share
     one of the words that any partner must share meet: of a set's words in one
     order, rarest first, the first n - ceil(least * n) + 1.  A pair is taken at
-    the first such word that both have, so that it comes once.
+    the first such word that both have, so that it comes once.  Above a half,
+    sets of two words or more share two at least: short ones meet by pairs of
+    words among one word more, as single ones become common in large tables.
+    Those that a longer one may be like have their single words too.
     """
+    by_two = least > 0.5
     both = left.select("words") if right is None else left.select("words").unionAll(right.select("words"))
     df = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
@@ -47,7 +53,13 @@ def alike(left: DataFrame, right: DataFrame | None = None, least: float = SAME_S
         bits = rows.select("id", F.explode("words").alias("word")).join(df, "word")
         own = bits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("by"))
         n = F.size("by")
-        own = own.withColumn("p", F.slice("by", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int")))
+        first = lambda more: F.slice("by", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1 + more).cast("int"))
+        own = own.withColumn("p", first(0))
+        if by_two:
+            few = first(1)
+            pairs = F.flatten(F.transform(few, lambda x, i: F.transform(F.slice(few, i + 2, F.greatest(F.size(few) - i - 1, F.lit(0))), lambda y: F.concat_ws(" ", x, y))))
+            short = F.when(n.between(2, SHORT), pairs).otherwise(F.array().cast("array<string>"))
+            own = own.withColumn("p", F.concat(short, F.when((n < 2) | (n > SHORT * least - 1), F.col("p")).otherwise(F.array().cast("array<string>"))))
         return own.select(F.col("id").alias(name), F.col("by").alias(f"w{name}"), F.col("p").alias(f"p{name}"), F.explode("p").alias("word"))
 
     n, m = F.size("wa"), F.size("wb")

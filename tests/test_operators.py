@@ -221,3 +221,26 @@ def test_open_references_stand_for_themselves_in_queries(spark):
     row = page.select(blocks.closed_references("html").alias("h"), blocks.page_title(blocks.closed_references("html")).alias("title")).head()
     assert row.title == "A && b&amp"
     assert row.h == "<title>A &amp;&amp; b&amp;amp</title><h1>A &lt;&amp;eacute; &amp;amp</h1>"
+
+
+def test_alike_short_and_long_headlines_meet_by_few_keys(spark):
+    import random
+
+    from gleanery.operators import dedupe
+
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample([f"w{k}" for k in range(26)], rng.choice([1, 2, 3, 9, 15, 16, 17, 22]))) for i in range(150)}
+    sets = {min(i for i in sets if sets[i] == own): own for own in sets.values()}
+    found = dedupe.alike(spark.createDataFrame(list(sets.items()), "id long, words array<string>"))
+    alike = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.6}
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+
+
+def test_an_index_for_one_query_holds_its_words_alone(spark):
+    from gleanery.operators import search
+
+    rows = spark.sql("select 1L id, 'one two' title, 'three one' body, repeat('s', 500) snippet, '' href, '' url, '' meta")
+    own = search.index({"item": rows}, "one -three")
+    assert {(r.token, tuple(r.places)) for r in own.words.collect()} == {("one", (1, 4)), ("three", (3,))}
+    assert own.rows.head().snippet == "s" * 240
