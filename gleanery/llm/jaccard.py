@@ -9,7 +9,9 @@ Documents meet by the few shingles of each that a partner of the wanted
 similarity must share (under any one order of shingles, here: very common ones
 last).  All that meet under a shingle go to the cell of the least of them, so
 that a group of near copies shares one or a few cells however many shingles it
-shares.  As linked sets differ little in size, a cell is one for each size.
+shares.  A prefix is so long that partners share several shingles of it; a
+document's cells are dropped where it meets others too seldom for that, given
+the number of its cells.  As linked sets differ little in size, a cell is one for each size.
 Its points drop the documents without a possible partner, in blocks where it
 has many, so that no text moves for a chance meeting; the texts of the others
 come once a cell and are verified there on whole sets, and only links that
@@ -39,6 +41,10 @@ SHINGLE, PERCENT, GROUPS = 5, 80, 64
 LEAF = 32
 #: A shingle in more than one of so many documents comes last in the order. The table of those is broadcast: at most so many times the mean set size.
 COMMON = 2000
+#: Shingles of its prefix that a document shares with a partner at least: so many and so many per cent of its set.
+FEW, SHARED = 3, 4
+#: Bits that say which documents' texts are wanted, at most; 8 MB are broadcast then.
+BITS = 1 << 26
 #: Bytes of text of which a task sends the shingles at once; entries of a bucket, about.
 SLICE, BUCKET = 8 << 20, 2_000_000
 #: Documents and shingles of a cell, or of a block of a heavier one, that one task holds.
@@ -51,6 +57,8 @@ BESIDE = 64
 CENTRES = 4
 #: Steps of a set's size and of a shingle's place that travel with a key, as bytes.
 _SIZES, _PLACES = 12, 255
+#: Bits of a row of the bitmap of documents.
+_ROW = 1 << 15
 
 
 def sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +84,13 @@ def sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return flat[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
+def shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles the prefixes of a set of size n and of a partner that isn't smaller have in common at least. It ascends with n."""
+    return np.minimum((percent * n + 99) // 100, FEW + n * SHARED // 100)
+
+
 def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, index in flat, place in the order) of the shingles of which a partner shares one at least."""
+    """(document, index in flat, place in the order) of the shingles of which a partner's prefix has ``shared`` at least, by the smaller of both sets."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
     last = np.isin(flat, common) if len(common) else np.zeros(len(flat), bool)
@@ -85,7 +98,7 @@ def prefix(flat: np.ndarray, at: np.ndarray, common: np.ndarray, percent: int) -
     before = seen[:-1] - seen[at[:-1]][doc]  # common ones of the document before each
     place = np.arange(len(flat)) - at[:-1][doc]
     rank = np.where(last, (n - np.diff(seen[at]))[doc] + before, place - before)
-    take = np.flatnonzero(rank < (n - (percent * n + 99) // 100 + 1)[doc])
+    take = np.flatnonzero(rank < (n - (percent * n + 99) // 100 + shared(n, percent))[doc])
     return doc[take], take, rank[take]
 
 
@@ -175,16 +188,20 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     named = sizes.select("doc", "s1", "s2", "n").join(classes.drop("point"), ["s1", "s2", "n"], "left")
 
     # documents meet: those without words or partners have no row
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * (100 - percent) / 100 + n_docs) // BUCKET)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_shingles * (100 - percent + SHARED) / 100 + n_docs * FEW) // BUCKET)
     sent = rows.mapInArrow(lambda b: _entries(b, k, percent, common, buckets), "bucket int, keys binary, docs binary, sizes binary, places binary, leads binary")
-    met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent, buckets), "owner int, leads binary, docs binary").groupBy("owner").applyInArrow(_once, "lead long, doc long")
-    cells = written(_by_size(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").select("lead", F.col("rep").alias("doc"), "n").distinct(), percent), "cells")
+    met = sent.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent, buckets), "owner int, leads binary, docs binary, times binary").groupBy("owner").applyInArrow(_once, "lead long, doc long, times long, leads long")
+    # what a document's prefix shares with a partner's, m shingles being the least partner, is dealt to cells of both: one of them holds its mean over the document's cells, or more
+    m = f"(({percent} * n + 99) div 100)"
+    few = F.expr(f"least(({percent} * {m} + 99) div 100, {FEW} + {m} * {SHARED} div 100)")
+    cells = written(_by_size(met.join(named.where("rep is not null").select("doc", "rep", "n").distinct(), "doc").where(F.col("times") * F.col("leads") >= few).select("lead", F.col("rep").alias("doc"), "n").distinct(), percent), "cells")
     near = _possible(cells, classes.select(F.col("rep").alias("doc"), "n", "point"), percent)
     centres = [F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(i))) for i in range(CENTRES - 1))]
     weights = near.groupBy("lead").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*centres)).alias("centres"))
     heavy = written(weights.where((F.col("docs") > CELL_DOCS) | (F.col("shingles") > CELL_SHINGLES)).where("docs > 1").select("lead", "centres", _blocks("docs", "shingles").alias("blocks")), "heavy")
     large = near.join(heavy, "lead")
-    texts = written(rows.join(near.select("doc").distinct(), "doc", "left_semi").distinct(), "texts")
+    wanted = near.select("doc").distinct()
+    texts = written(_about(rows, wanted, n_docs).join(wanted, "doc", "left_semi").distinct(), "texts")
 
     # a light cell in one task, a heavy one against a few of its documents
     task = near.select("lead", "doc").distinct().join(heavy, "lead", "left_anti").select("lead", F.lit(0).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "doc", F.col("doc").alias("component"))
@@ -201,6 +218,17 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     return reps.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep", "doc")).alias("component_id"), real(F.coalesce("rep", "doc")).alias("copy_of"))
 
 
+def _about(rows: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
+    """Rows of these documents and few others: a bitmap of the documents' hashes, of bounded size, goes to the rows, so that no text moves."""
+    bits = min(BITS, max(_ROW, 1 << (16 * n_docs).bit_length()))
+    place = F.expr(f"pmod(xxhash64(doc), {bits})")
+    at = docs.select(place.alias("place")).select(F.expr(f"place div {_ROW}").alias("row"), F.expr(f"place % {_ROW}").alias("bit")).distinct()
+    maps = at.repartition("row").groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("map"))
+    byte = F.expr(f"cast(conv(hex(substring(map, cast(place % {_ROW} div 8 as int) + 1, 1)), 16, 10) as int)")
+    on = (F.expr(f"place div {_ROW}") == F.col("row")) & (F.getbit(byte, F.expr("cast(place % 8 as int)")) == 1)
+    return rows.withColumn("place", place).join(F.broadcast(maps), on, "left_semi").drop("place")
+
+
 def _by(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows with the same names in one task, one after another."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names)
@@ -284,13 +312,13 @@ def _entries(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: Br
             i = np.minimum(np.searchsorted(names, key), len(names) - 1)
             hot = names[i] == key
             if hot.any():
-                pairs = np.unique(np.stack([leads[i[hot]], ids[doc[hot]]], 1), axis=0)
-                rows.append((int(ids[0] % buckets), b"", pairs[:, 1].astype("<i8").tobytes(), b"", b"", pairs[:, 0].astype("<i8").tobytes()))
+                rows.append((int(ids[0] % buckets), b"", ids[doc[hot]].astype("<i8").tobytes(), b"", b"", leads[i[hot]].astype("<i8").tobytes()))
             doc, key, place = doc[~hot], key[~hot], place[~hot]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((ids[doc], bucket))
         doc, key, place, bucket = doc[order], (key[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), place[order], bucket[order]
         size = np.minimum(np.log2(np.maximum(n, 1)) * _SIZES, 255).astype(np.uint8)[doc]
+        place = np.maximum(place - shared(n, percent)[doc] + 1, 0)  # as if the last of those shared were the first
         place = (place * _PLACES // np.maximum(n[doc], 1)).astype(np.uint8)
         # only buckets that the slice has shingles for, however many there are
         edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)).tolist() if len(bucket) else []
@@ -305,11 +333,11 @@ def _entries(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: Br
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-_MET = pa.schema([("owner", pa.int32()), ("leads", pa.binary()), ("docs", pa.binary())])
+_MET = pa.schema([("owner", pa.int32()), ("leads", pa.binary()), ("docs", pa.binary()), ("times", pa.binary())])
 
 
 def _cells(table: pa.Table, percent: int, buckets: int) -> pa.Table:
-    """(lead, doc) of the documents that meet in a bucket, many in a row, by bucket of the document: under each key those that may have a partner by size and place go to the least of them."""
+    """(lead, doc, times) of the documents that meet in a bucket, many in a row, by bucket of the document: under each key those that may have a partner by size and place go to the least of them."""
     get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
     key, size, place, lead = get("keys", "<u4"), get("sizes", "u1").astype(np.int64), get("places", "u1").astype(np.int64), get("leads", "<i8")
     docs, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -351,16 +379,18 @@ def _cells(table: pa.Table, percent: int, buckets: int) -> pa.Table:
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         lead = np.concatenate([np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key)))), lead])
-    pairs = np.unique(np.stack([tk.mix(np.concatenate([doc, *known]).view(np.uint64)) % np.uint64(buckets), lead.view(np.uint64), np.concatenate([doc, *known]).view(np.uint64)], 1), axis=0)
+    pairs, times = np.unique(np.stack([tk.mix(np.concatenate([doc, *known]).view(np.uint64)) % np.uint64(buckets), lead.view(np.uint64), np.concatenate([doc, *known]).view(np.uint64)], 1), axis=0, return_counts=True)
     at = np.append(np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])), len(pairs)) if len(pairs) else np.zeros(1, np.int64)
-    return pa.table([pa.array(pairs[at[:-1], 0].astype(np.int32)), tk.blobs(pairs[:, 1].view(np.int64), at), tk.blobs(pairs[:, 2].view(np.int64), at)], schema=_MET)
+    return pa.table([pa.array(pairs[at[:-1], 0].astype(np.int32)), tk.blobs(pairs[:, 1].view(np.int64), at), tk.blobs(pairs[:, 2].view(np.int64), at), tk.blobs(times.astype("<u4"), at)], schema=_MET)
 
 
 def _once(table: pa.Table) -> pa.Table:
-    """The pairs (lead, doc) of a bucket of documents, each once."""
-    pairs = np.stack([np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in table.column(c).to_pylist())]) for c in ("leads", "docs")], 1)
-    pairs = np.unique(pairs, axis=0)
-    return pa.table({"lead": pairs[:, 0], "doc": pairs[:, 1]})
+    """The pairs (lead, doc) of a bucket of documents, each once, with its times and the number of the document's leads."""
+    get = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+    pairs, own = np.unique(np.stack([get("docs", "<i8"), get("leads", "<i8")], 1), axis=0, return_inverse=True)
+    times = np.bincount(own.ravel(), get("times", "<u4"), len(pairs)).astype(np.int64)
+    _, own, leads = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    return pa.table({"lead": pairs[:, 1], "doc": pairs[:, 0], "times": times, "leads": leads[own]})
 
 
 def _tasks(batches: Iterable[pa.RecordBatch], names: list[str], limit: int, size) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -131,3 +131,49 @@ def test_no_text_moves_for_a_chance_meeting(spark, docs, block, monkeypatch):
     want = {i: i for i, _ in rows} | {103: 7, 150: 7, 300: 239}
     assert {r.doc_id: r.component_id for r in found} == want
     assert {r.doc for r in tables["texts"].select("doc").collect()} == {7, 103, 150, 239, 300}
+
+
+def test_prefixes_share_several():
+    """Linked sets have ``shared`` shingles of the smaller one in both prefixes, whichever are very common."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 5, 9, 20, 62, 63, 100, 500):
+        for percent in (60, 80, 95):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+                b = np.unique(np.concatenate([a[rng.random(n) < rng.choice([0.8, 0.9, 1])], rng.integers(0, 1 << 62, rng.integers(0, n // 8 + 1)).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                doc, at, _ = jaccard.prefix(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.sort(rng.choice(a, n // 3)), percent)
+                of = np.concatenate([a, b])[at]
+                met = len(np.intersect1d(of[doc == 0], of[doc == 1]))
+                sizes = np.array([len(a), len(b)])
+                assert met >= jaccard.shared(sizes, percent).min() >= jaccard.shared((percent * sizes + 99) // 100, percent).max()
+
+
+def kept_tables(monkeypatch):
+    tables, keep = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda frame, name="table": tables.setdefault(name, keep(frame, name)))
+    return tables
+
+
+def test_a_few_common_shingles_make_no_cell(spark, monkeypatch):
+    """Documents that have one run of six words each in common with others, and no partner, are in no cell."""
+    tables = kept_tables(monkeypatch)
+    rng = random.Random(10)
+    word = lambda: str(rng.randrange(10**9))
+    runs = [[word() for _ in range(6)] for _ in range(40)]
+    rows = [(i, [word() for _ in range(60)] + runs[i % 40] + [word() for _ in range(200)]) for i in range(160)]
+    rows += [(500 + i, ["changed", *w[1:]]) for i, w in rows[:3]]
+    found = jaccard.jaccard_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 500 for i, _ in rows}
+    assert {r.doc for r in tables["cells"].select("doc").collect()} == {0, 1, 2, 500, 501, 502}
+
+
+def test_few_unwanted_texts_move(spark):
+    rows = spark.range(-50, 20_000).selectExpr("id as doc", "cast(id as string) as text")
+    for step, most in ((997, 25), (3, 8000)):
+        wanted = spark.range(-50, 20_000, step).selectExpr("id as doc")
+        got = {r.doc for r in jaccard._about(rows, wanted, 20_050).collect()}
+        assert got >= set(range(-50, 20_000, step)) and len(got) <= most
+    assert jaccard._about(rows, wanted.limit(0), 20_050).count() == 0
