@@ -158,12 +158,13 @@ def is_noise(b: Column, host: Column) -> Column:
     own = lambda href: F.regexp_replace(F.lower(F.regexp_extract(href, r"^https?://([^/?#:]+)", 1)), r"^www\.", "") == host
     running, worded = b["type"].isin("paragraph", "quote"), b["type"].isin("paragraph", "quote", "heading")
     inside = F.forall(spans, lambda s: F.coalesce(own(s["href"]), F.trim(s["text"]) == ""))
+    # lengths come first: most texts are too long for the rules that read all their spans
     return (
         (worded & (text == ""))
         | (worded & (F.length(text) < 120) & (text.rlike(BOILERPLATE_PHRASE) | text.rlike(BOILERPLATE_EXACT) | text.rlike(BOILERPLATE_PREFIX)))
-        | (running & _shared(spans) & (F.length(text) < 200))
+        | (running & (F.length(text) < 200) & _shared(spans))
         | ((b["type"] == "list") & F.forall(items, lambda item: (F.trim(F.array_join(F.transform(item, lambda s: s["text"]), "")) == "") | _shared(item)))
-        | (running & (F.size(spans) > 0) & inside & (F.length(text) < 40))
+        | (running & (F.length(text) < 40) & (F.size(spans) > 0) & inside)
         | ((b["type"] == "image") & is_icon(b["url"]))
     )
 

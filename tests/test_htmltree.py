@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from gleanery.functions import htmltree
 from gleanery.functions.htmltree import blocks
 
 PAGE = "https://page.test/d/x"
@@ -55,6 +56,32 @@ def test_spans_against_a_letter_by_letter_reading(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_a_marked_paragraph_is_read_without_a_tree_and_alike(seed, monkeypatch):
+    rng = random.Random(seed)
+
+    def make(depth):
+        out = ""
+        for _ in range(rng.randint(1, 5)):
+            tag = rng.choice(["b", "em", "strong", "code", "samp", "a"]) if depth and rng.random() < 0.6 else ""
+            start = f'a href="{rng.choice(["/x", "#", "javascript:1", "", "/y z", "up/z"])}"' if tag == "a" else tag
+            text = rng.choice(["x", " ", "a  b", "\n", "&amp;", "&nbsp;", "y\u3000z", "\x1c", "\ufeff", ">"])
+            out += f"<{start}>{text if tag in ('code', 'samp') else make(depth - 1)}</{tag}>" if tag else text
+        return out
+
+    html = f"<p>{make(4)}</p>"
+    with monkeypatch.context() as m:
+        m.setattr(htmltree, "cleaned", None)
+        got = blocks(html, PAGE)
+    monkeypatch.setattr(htmltree, "paragraph", lambda html, page: None)
+    assert got == blocks(html, PAGE)
+
+
+@pytest.mark.parametrize("html", ["<p><b>a<i>b</b>c</i></p>", "<p>a<br>b</p>", "<p>a<p>b</p>", "<p><code>a<b>b</b></code></p>", "<p><a class='ad' href='/x'>a</a></p>", "<p>a</b></p>", "<p>a <b</p>", "<p><b>a</p>"])
+def test_other_pages_are_no_marked_paragraph(html):
+    assert htmltree.paragraph(html, PAGE) is None and blocks(html, PAGE)
+
+
 def test_lists_follow_the_one_that_they_are_in():
     assert shapes("<ul><li>one<ol><li>two<ul><li>three</ul></ol><li>four</ul>") == [("list", "one\nfour"), ("list", "two"), ("list", "three")]
     assert shapes("<ol><li><p>Run:</p><pre>a\n b</pre><li><img src='/p.png' alt='P'></ol>") == [("list", "Run:"), ("code", "a\n b"), ("image", "P")]
