@@ -15,8 +15,10 @@ from .ranking import first_per
 
 #: Two headlines this alike tell one story.
 SAME_STORY = 0.6
-#: Words of a headline that meets others by pairs of them.
-SHORT = 16
+#: Headlines of a word up to which it brings them together alone.
+OFTEN = 256
+#: Bits of a headline's parity of words.
+BITS = 256
 
 
 def keep_first(rows: DataFrame, key: str, order: list, title: str | None = None) -> DataFrame:
@@ -39,36 +41,45 @@ def alike(left: DataFrame, right: DataFrame | None = None, least: float = SAME_S
 
     Without ``right``, pairs a < b of left alone.  Only headlines that share
     one of the words that any partner must share meet: of a set's words in one
-    order, rarest first, the first n - ceil(least * n) + 1.  A pair is taken at
-    the first such word that both have, so that it comes once.  Above a half,
-    sets of two words or more share two at least: short ones meet by pairs of
-    words among one word more, as single ones become common in large tables.
-    Those that a longer one may be like have their single words too.
+    order, rarest first, the first n - ceil(least * n) + 1.  If the first word
+    that two share has more than OFTEN headlines, all that they share have.
+    Above a half they share two at least, so that such words need to meet by
+    pairs of them alone, among one word more.  Who meets is told apart by a
+    parity of the words in BITS bits, which differs in no more places than the
+    sets do; only what is left is compared word by word.
     """
     by_two = least > 0.5
     both = left.select("words") if right is None else left.select("words").unionAll(right.select("words"))
+    # a word that one headline has meets none
     df = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    bit = F.pmod(F.xxhash64("word"), F.lit(BITS))
+    parts = [f"s{i}" for i in range(BITS // 64)]
 
-    def prefix(rows: DataFrame, name: str) -> DataFrame:
-        bits = rows.select("id", F.explode("words").alias("word")).join(df, "word")
-        own = bits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("by"))
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        bits = rows.select("id", F.explode("words").alias("word")).join(df, "word").withColumn("bit", bit)
+        parity = [F.bit_xor(F.expr(f"if(bit div 64 = {i}, shiftleft(1L, cast(bit % 64 as int)), 0L)")).alias(f"{name}{x}") for i, x in enumerate(parts)]
+        own = bits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by"), *parity)
         n = F.size("by")
         first = lambda more: F.slice("by", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1 + more).cast("int"))
-        own = own.withColumn("p", first(0))
+        often = (F.lit(OFTEN) if by_two else F.lit(2**62)).cast("long")
+        found = F.transform(F.filter(first(0), lambda x: (x["df"] > 1) & ((x["df"] <= often) | (n == 1))), lambda x: F.xxhash64(x["word"]))
         if by_two:
-            few = first(1)
-            pairs = F.flatten(F.transform(few, lambda x, i: F.transform(F.slice(few, i + 2, F.greatest(F.size(few) - i - 1, F.lit(0))), lambda y: F.concat_ws(" ", x, y))))
-            short = F.when(n.between(2, SHORT), pairs).otherwise(F.array().cast("array<string>"))
-            own = own.withColumn("p", F.concat(short, F.when((n < 2) | (n > SHORT * least - 1), F.col("p")).otherwise(F.array().cast("array<string>"))))
-        return own.select(F.col("id").alias(name), F.col("by").alias(f"w{name}"), F.col("p").alias(f"p{name}"), F.explode("p").alias("word"))
-
-    n, m = F.size("wa"), F.size("wb")
-    met = prefix(left, "a").join(prefix(left if right is None else right, "b"), "word")
-    met = met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("word")))
+            own = own.withColumn("most", F.filter(first(1), lambda x: x["df"] > often)["word"])
+            pairs = F.transform("most", lambda x, i: F.transform(F.slice("most", i + 2, F.greatest(F.size("most") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y)))
+            found = F.concat(found, F.flatten(pairs))
+        return own.select(F.col("id").alias(name), n.alias(f"{name}n"), *(f"{name}{x}" for x in parts), F.explode(found).alias("key"))
+
+    n, m = F.col("an"), F.col("bn")
+    met = keys(left, "a").join(keys(left if right is None else right, "b"), "key")
+    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in parts[1:]), F.bit_count(F.col(f"a{parts[0]}").bitwiseXOR(F.col(f"b{parts[0]}"))))
+    met = met.where((n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-6))
     if right is None:
         met = met.where("a < b")
+    met = met.select("a", "b").distinct()
+    words = lambda rows, name: rows.select(F.col("id").alias(name), F.col("words").alias(f"w{name}"))
+    met = met.join(words(left, "a"), "a").join(words(left if right is None else right, "b"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    return met.select("a", "b", (shared / (n + m - shared)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    return met.select("a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
 def headline_links(rows: DataFrame, least: float = SAME_STORY) -> DataFrame:

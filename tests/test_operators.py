@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import htmltree, text
@@ -237,6 +238,26 @@ def test_alike_short_and_long_headlines_meet_by_few_keys(spark):
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("least", [0.45, 0.6, 0.8])
+def test_alike_long_headlines_of_frequent_words_meet_by_pairs_of_them(spark, monkeypatch, least):
+    """Against all pairs, where most words have more than OFTEN headlines and sets differ by a few words."""
+    import random
+
+    from gleanery.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "OFTEN", 5)
+    rng = random.Random(4)
+    sets = {}
+    for i in range(160):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.6 else rng.sample([f"w{k}" for k in range(60)], rng.choice([1, 2, 5, 20, 40]))
+        sets[i] = sorted({*base, *(f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 6)))} - set(rng.sample(base, len(base) // 6)))
+    sets = {min(i for i in sets if sets[i] == own): own for own in sets.values()}
+    frame = lambda odd: spark.createDataFrame([(i, w) for i, w in sets.items() if odd in (None, i % 2)], "id long, words array<string>")
+    close = {(a, b) for a in sets for b in sets if a != b and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= least}
+    assert sorted((r.a, r.b) for r in dedupe.alike(frame(None), least=least).collect()) == sorted(x for x in close if x[0] < x[1])
+    assert sorted((r.a, r.b) for r in dedupe.alike(frame(0), frame(1), least).collect()) == sorted(x for x in close if x[0] % 2 == 0 and x[1] % 2)
+
+
 def test_an_index_for_one_query_holds_its_words_alone(spark):
     from gleanery.operators import search
 
