@@ -238,6 +238,18 @@ def test_alike_short_and_long_headlines_meet_by_few_keys(spark):
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
 
 
+def test_repeated_stories_of_frequent_words(spark, monkeypatch):
+    """Words that many headlines have bring candidates together by pairs alone, with each other and with covered ones."""
+    monkeypatch.setattr(dedupe, "OFTEN", 3)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(24)]
+    rows = [(i, frozenset(rng.sample(vocabulary, rng.choice([0, 1, 2, 14, 18]))), rng.randint(1, 4)) for i in range(90)]
+    covered = [frozenset(rng.sample(vocabulary, n)) for n in (1, 13, 15)]
+    left = spark.createDataFrame([(i, " ".join(sorted(w)), k) for i, w, k in rows], "pos long, title string, weight int")
+    right = spark.createDataFrame([(" ".join(sorted(c)),) for c in covered], "title string")
+    assert sorted((r.pos, r.slot) for r in dedupe.drop_repeated(left, right).collect()) == greedy(rows, covered)
+
+
 @pytest.mark.parametrize("least", [0.45, 0.6, 0.8])
 def test_alike_long_headlines_of_frequent_words_meet_by_pairs_of_them(spark, monkeypatch, least):
     """Against all pairs, where most words have more than OFTEN headlines and sets differ by a few words."""
